@@ -121,7 +121,7 @@ def readable(text: str, a: int, b: int) -> float:
     return sum(c.isalpha() or c in " \n,.;:()-–’'0123456789%" for c in near) / len(near)
 
 
-WORDY = re.compile(r"[^\W\d_]{3,}")
+WORDY = re.compile(r"[A-Za-zÀ-ÿЀ-ӿ]{3,}")
 VOWELS = re.compile(r"[aeiouyäöüàâéèêëîïôùûœаеёиоуыэюя]", re.I)
 
 
@@ -150,10 +150,7 @@ def nodes_of(field: str, text: str) -> list[tuple[int, int, str, float]]:
                     before = text[a - 1 : a]
                     if before and (before in ":\\/._-" or before.isalnum() and "{" not in m.group() and m.group()[1:] not in ("hfill", "noindent")) or re.match(r"[\\/.]|\w*\.\w{2,4}\b", text[b : b + 8]):
                         cost -= 4.0
-                if kind == "wiki" and m.group()[0] == "'" and "\n\n" in m.group():
-                    cost -= 4.0
                 out.append((a, b, kind, cost))
-    # an entity in &lt;b&gt; isn't a mark of its own
     out.sort()
     return out
 
