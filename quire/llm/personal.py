@@ -28,7 +28,7 @@ ROUNDS = 8
 
 UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĘĚŁŃŇŐŘŚŞŠŤŮŹŻŽА-ЯЁІ"
 LOW = "a-zß-öø-ÿāăąćčďęěłńňőřśşšťůźżžа-яёі"
-CAP = rf"(?:[DLO]['’])?[{UP}][{LOW}]+(?:[-'’][{UP}]?[{LOW}]+)*"
+CAP = rf"(?:[DLOdl]['’])?[{UP}][{LOW}]+(?:[-'’][{UP}]?[{LOW}]+)*"
 CAPS = rf"[{UP}]{{2,}}(?:[-'’][{UP}]{{2,}})*|[DLO]['’][{UP}]{{2,}}(?:-[{UP}]{{2,}})*"
 INI = rf"[{UP}]\."
 S = r"[ \t ]*\n?[ \t ]*"  # space or one line break
@@ -39,7 +39,7 @@ GIVEN = (
     "Adam Adrian Albert Alexander Alfred Alice Amelia Andrew Angela Ann Anna Anne Arthur Barbara Benjamin Bernard Carol Catherine Charles Charlotte Christine Christopher Clara Daniel David Deborah Diana Donald Dorothy Edith Edward Eleanor "
     "Elizabeth Ellen Emily Emma Eric Eva Florence Frances Frank Frederick George Grace Hannah Harold Harry Helen Henry Hugh Ian Irene Jack James Jane Janet Jean Jennifer John Joseph Julia Karen Kenneth Laura Linda Louise Lucy Margaret Maria "
     "Mark Martin Mary Matthew Michael Michelle Nancy Nora Olivia Oscar Oliver Patricia Patrick Paul Peter Philip Rachel Rebecca Richard Robert Rose Ruth Samuel Sarah Sandra Simon Sophie Stephen Susan Theresa Thomas Victor Victoria Walter William "
-    "Andreas Bernd Birgit Dieter Elke Franz Friedrich Fritz Georg Gerda Greta Günter Hans Heike Heinrich Helga Hermann Holger Ilse Ingrid Johann Jürgen Karl Käthe Klaus Kurt Lena Lotte Monika Petra Rainer Renate Sabine Stefan Ursula Ute Uwe Werner Wolfgang "
+    "Andreas Anton Bernd Birgit Christian Emil Gustav Matthias Otto Paula Dieter Elke Franz Friedrich Fritz Georg Gerda Greta Günter Hans Heike Heinrich Helga Hermann Holger Ilse Ingrid Johann Jürgen Karl Käthe Klaus Kurt Lena Lotte Monika Petra Rainer Renate Sabine Stefan Ursula Ute Uwe Werner Wolfgang "
     "Agnès Alain Amélie André Antoine Bernadette Brigitte Camille Cécile Chantal Claire Claude Élise Émile Étienne Fabien François Françoise Gérard Gilles Guillaume Hélène Henri Isabelle Jacques Jeanne Jérôme Juliette Laurent Luc Lucie Madeleine Marc Marcel Margot "
     "Marie Mathilde Michel Monique Nathalie Nicolas Noël Odile Olivier Pascal Philippe Pierre Rémi René Simone Solange Sylvie Thérèse Valérie Yves "
     "Александр Алексей Алла Анастасия Анатолий Андрей Анна Антон Борис Вадим Валентина Василий Вера Виктор Владимир Галина Георгий Глеб Григорий Дарья Денис Дмитрий Евгений Егор Екатерина Елена Зинаида Иван Игорь Илья Ирина Кирилл Константин Ксения "
@@ -49,11 +49,11 @@ GIVEN_RE = "|".join(sorted(map(re.escape, {*GIVEN, *(g.upper() for g in GIVEN)})
 #: Words that make a capitalised pair a firm or a place (fixed values).
 NOT_PERSON = frozenset(
     "works werke werk ltd limited gmbh ag kg co company inc corp sarl sas sa ооо оао зао ао завод brothers sons söhne frères group gruppe port north south east west upper lower old new saint "
-    "street road lane avenue court drive terrace hill bridge quarry river lake bay canal harbour harbor sheet shaft lot reference straße weg platz allee rue chemin quai улица переулок dear the this that".split()
+    "street road lane avenue court drive terrace hill bridge quarry river lake bay canal harbour harbor sheet shaft lot reference straße weg platz allee rue chemin quai улица переулок dear the this that der die das den dem des ein eine einen kein keine unser unsere le la les un une notre leur leurs ces".split()
 )
 
 EMAIL = re.compile(
-    rf"(?<![\w.+-])(?:mailto:)?[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{S}[\[({{]{S}(?:at|AT|ät|собака){S}[\])}}]{S}|[@＠])(?:(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)(?:\.|{S}[\[({{]{S}(?:dot|DOT|punkt|point|точка){S}[\])}}]{S}))+(?!(?:png|jpe?g|gif|tiff?|svg|webp|pdf|bmp|txt|csv|md|html?|xml|json|py|js|css)\b)[A-Za-z]{{2,24}}(?![\w])(?!\()"
+    rf"(?<![\w.+-])(?:mailto:)?[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{S}[\[({{]{S}(?:at|AT|ät|собака){S}[\])}}]{S}|[ \t]?[@＠]{S})(?:(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)(?:\.|{S}[\[({{]{S}(?:dot|DOT|punkt|point|точка){S}[\])}}]{S}))+(?!(?:png|jpe?g|gif|tiff?|svg|webp|pdf|bmp|txt|csv|md|html?|xml|json|py|js|css)\b)[A-Za-z]{{2,24}}(?![\w])(?!\()"
 )
 EMAIL_HINT = re.compile(r"[@＠]|[\[({]\s*(?:at|AT|ät|собака)\s*[\])}]")
 
@@ -62,10 +62,9 @@ ID_WORDS = (
     r"driv(?:er's|ing)\s+licen[cs]e(?:\s+(?:number|no\.?))?|tax\s+(?:ID|number)|Steuer-?ID|Steuer(?:identifikations)?nummer|(?:Personal)?[Aa]usweis(?:nummer|-?[Nn]r\.?)?|Reisepass(?:nummer|-?[Nn]r\.?)?|(?:Sozial|Renten|Kranken)versicherungs(?:nummer|-?[Nn]r\.?)|Führerschein(?:nummer|-?[Nn]r\.?)?|"
     r"NIR|num[ée]ro\s+de\s+s[ée]curit[ée]\s+sociale|passeport|carte\s+(?:nationale\s+)?d['’]identit[ée]|CNI|permis\s+de\s+conduire|num[ée]ro\s+fiscal|СНИЛС|ИНН|паспорт(?:а|е|у|ом)?|удостоверени[ея]|водительско\w+\s+удостоверени\w+"
 )
-ID_VALUE = r"[A-ZА-Я]{0,3}[ -]?\d(?:[\dA-ZА-Я]|[ \t ]?[-–./]?[ \t \n]?(?=[\dA-Z]*\d|[A-D]\b)[\dA-Z]){4,22}|\d{2}[A-Z]{2}\d{4,6}|[A-Z]{2}-?\d[\d -]{4,14}\d"
+ID_VALUE = r"[A-ZА-Я]{0,3}[ \n-]?\d(?:[\dA-ZА-Я]|[ \t ]?[-–./]?[ \t \n]?(?=[\dA-Z]*\d|[A-D]\b)[\dA-Z]){4,22}|\d{2}[A-Z]{2}\d{4,6}|[A-Z]{2}-?\d[\d -]{4,14}\d"
 ID_CUED = re.compile(rf"(?<![\w])(?:{ID_WORDS})(?:{S}(?:n[°ºo]\.?|№|[Nn]r\.?|no\.?|#|:|серия|номер))*{S}(?P<v>{ID_VALUE})(?![\w])")
 ID_BARE = re.compile(r"(?<![\w.-])(?:(?P<v>\d{3}-\d{2}-\d{4})|(?P<w>[A-CEGHJ-PR-TW-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]))(?![\w-])")
-ID_HINT = re.compile(rf"{ID_WORDS}|\d{{3}}-\d\d-\d{{4}}|[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-D]\b")
 
 _ = r"(?:[ \t .\-–]|[ \t]?\n[ \t]*)"
 EXT = rf"(?:{S}(?:ext\.?|x|Durchwahl|poste|доб\.?){S}\d{{1,5}})?"
@@ -95,15 +94,6 @@ ADDRESS = [
     re.compile(rf"(?<!\w)(?:г\.{S}{CAP},{S})?(?:ул\.|улица|пер\.|переулок|просп\.|пр-т|проспект|наб\.|набережная|шоссе|бульвар|б-р|пл\.|площадь|проезд){S}{CAP}(?:(?:{G}){CAP})?,?{S}(?:д(?:ом)?\.?{S})?\d{{1,4}}[а-я]?(?:,{S}(?:стр|корп|к|кв|оф)\.{S}\d+)*"),
     re.compile(rf"(?<!\w)(?:г\.{S}{CAP},{S})?{CAP}(?:{G})(?:улица|ул\.|переулок|пер\.|проспект|набережная|шоссе|бульвар|площадь|проезд),?{S}(?:д(?:ом)?\.?{S})?\d{{1,4}}[а-я]?(?:,{S}(?:стр|корп|к|кв|оф)\.{S}\d+)*"),
 ]
-ADDRESS_HINT = [
-    re.compile(rf"(?:{STREET_EN})(?!\w)|(?:{STREET_EN.upper()})(?!\w)"),
-    re.compile(r"(?:No|NO|Nr)\.?\s+\d"),
-    re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|stieg)\s+\d|\d\s?[a-z]?,?\s+\d{5}\s"),
-    re.compile(r"\d(?: ?bis| ?ter| ?quater| ?[A-Z])?,?\s+(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|place|quai|allée|allee|route|cours|passage|sentier|square|venelle)\b"),
-    re.compile(r"(?:ул\.|улица|пер\.|переулок|просп\.|пр-т|проспект|наб\.|набережная|шоссе|бульвар|б-р|пл\.|площадь|проезд)"),
-]
-ADDRESS_HINT.append(ADDRESS_HINT[4])
-
 PERSON = rf"(?:{CAPS}),{S}(?:{CAP}|{INI})|(?:{INI}{S}){{1,2}}(?:{CAP}|{CAPS})|(?:{CAP}|{CAPS})(?:{G})(?:{INI}{S})?(?:{CAP}|{CAPS})|(?:{CAP}|{CAPS})(?:{G}){INI}(?:{S}{INI})?|{CAP},(?:{G}){CAP}"
 CUES = (
     r"signed by|[Pp]repared by:?|[Ww]ritten by:?|[Cc]hecked by:?|[Aa]pproved by:?|[Dd]rawn by:?|[Rr]ecorded by:?|[Rr]eturn(?:ed)?(?:\s+the\s+\w+)?\s+to|[Cc]ontact person:?|[Aa]ttn\.?:?|cc|Name:|"
@@ -113,16 +103,9 @@ CUES = (
     r"Dr\.?|Prof\.?|Mr\.?|Mrs\.?|Ms\.?"
 )
 NAME_CUED = re.compile(rf"(?<![\w.])(?:{CUES}){S}(?:(?:Dr|Prof|Mr|Mrs|Ms)\.?{S})?(?P<v>{PERSON})(?!\w)")
-VERBS = (
-    r"kept|checked|signed|wrote|approved|prepared|recorded|drew|at\s+the\s+front\s+desk|,\s+site\s+office|bewahrte|prüfte\s+die\s+Zeichnung|führte|unterschrieb|unterzeichnete|a\s+(?:conservé|signé|vérifié|rédigé|approuvé)|хранит|проверила?|подписала?|вёл|ведёт|составила?|утвердила?"
-)
-NAME_VERB = re.compile(rf"(?<![\w.-])(?P<v>{PERSON})(?={S}(?:{VERBS})\b)")
 NAME_GIVEN = re.compile(
     rf"(?<![\w.-])(?P<v>(?:{GIVEN_RE})(?:{G})(?:{INI}{S})?(?:{CAP}|{CAPS})|(?:{CAPS}),{S}(?:{GIVEN_RE}))(?!\w)"
 )
-NAME_HINT = re.compile(rf"(?:{CUES})\s*[{UP}]|\b(?:{VERBS})\b")
-GIVEN_HINT = re.compile(rf"(?<!\w)(?:{GIVEN_RE})(?!\w)")
-
 
 def is_person(value: str) -> bool:
     words = re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", value)
@@ -139,36 +122,113 @@ def is_phone(value: str, before: str) -> bool:
     return not re.search(r"(?:\b[A-ZА-Я]{1,4}\d*|lot|vol\.|No\.|№|Nr\.|§)[ \t-]*$", before) and len(digits) >= 10
 
 
+#: Literals that have to stand near a finding of a kind (fixed values); they are looked for in one pass over the text.
+NEAR = {
+    "ID": "SSN|ocial security|ational Insurance|NINO|NI number|NI no|nsurance n|assport|dentity card|ID card|river's lic|riving lic|tax ID|tax number|Steuer|usweis|Reisepass|versicherungs|Führerschein|NIR|curité soc|curite soc|passeport|identité|CNI|de conduire|fiscal|СНИЛС|ИНН|паспорт|достоверени",
+    "CUE": "signed by|repared by|ritten by|hecked by|pproved by|rawn by|ecorded by|eturn the|eturned to|eturn to|ontact person|ttn:|ttn.|cc |Name:|rotokoll f|Bearbeiter:|Bearbeiterin:|gez.|ezeichnet von|ezeichnet:|terschrift:|erfasser:|erfasserin:|nsprechpartner|z. Hd|rstellt von|eprüft von|rzeichnet von|Herr |Herrn |Frau |signé par|signée par|signés par|édigé par|et approuvé|érifié par|tabli par|ttention de|Monsieur|Madame|Mme|Mlle|оставил:|оставила:|ротокол в|роводит инж|одписал|твердил|сполнитель:|роверил|господин|г-н|г-жа|Dr |Dr.|Prof|Mr |Mr.|Mrs|Ms |Ms.",
+    "VERB": " kept| checked| signed| wrote| approved| prepared| recorded| drew| at the front desk|, site office| bewahrte| prüfte die Z| führte| unterschrieb| unterzeichnete| a conservé| a signé| a vérifié| a rédigé| a approuvé| хранит| проверил| подписал| вёл| ведёт| составил| утвердил",
+    "STREET": "Street|Road|Lane|Avenue|Court|Drive|Terrace|Close|Crescent|Square|Gardens|Row|Mews|Boulevard|Place|Walk| Way|Hill|St. | Rd|Ave|STREET|ROAD|LANE|AVENUE|COURT|DRIVE|TERRACE|CLOSE|CRESCENT|SQUARE|GARDENS|MEWS|BOULEVARD| PLACE| WALK| WAY| HILL",
+    "STRASSE": "straße |strasse |str. |weg |gasse |platz |allee |ring |ufer |damm |steig |stieg ",
+    "RUE": "rue |avenue |av. |boulevard |bd |chemin |impasse |place |quai |allée |allee |route |cours |passage |sentier |square |venelle ",
+    "УЛИЦА": "ул.|улица|пер.|переулок|просп|пр-т|наб.|набережная|шоссе|бульвар|б-р|пл.|площадь|проезд",
+}
+WINDOW = 110
+ZIP = re.compile(rf"\d[ ]?[a-z]?,?\s+(?:[A-Z]-)?\d{{5}}\s[{UP}]")
+NI = re.compile(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]")
+PERSON_BEFORE = re.compile(rf"(?<![\w.-])(?P<v>{PERSON})\s*$")
+NUMBER_AFTER = re.compile(r"\s*(?:No\.?\s*|NO\.?\s*|Nr\.?\s*)?\d")
+
+
+class Literals:
+    """One automaton of all literals and given names."""
+
+    def __init__(self):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        by: dict[str, list] = {}
+        for kind, words in NEAR.items():
+            for w in words.split("|"):
+                by.setdefault(w, []).append(kind)
+        for g in {*GIVEN, *(g.upper() for g in GIVEN)}:
+            by.setdefault(g, []).append("GIVEN")
+        for w, kinds in by.items():
+            self.automaton.add_word(w, (len(w), tuple(kinds)))
+        self.automaton.make_automaton()
+
+    def places(self, text: str) -> dict[str, list[tuple[int, int]]]:
+        """(start, end) of the literals of each kind."""
+        out: dict[str, list[tuple[int, int]]] = {}
+        for end, (n, kinds) in self.automaton.iter(text):
+            for kind in kinds:
+                out.setdefault(kind, []).append((end + 1 - n, end + 1))
+        return out
+
+
+_literals: list[Literals] = []
+
+
+def windows(places: list[tuple[int, int]], n: int, reach: int = WINDOW) -> list[tuple[int, int]]:
+    """Stretches of the text around the places, merged where they meet."""
+    out: list[list[int]] = []
+    for a, b in places:
+        a, b = max(0, a - reach), min(n, b + reach)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal data, without overlaps, in the order of the text."""
+    if not _literals:
+        _literals.append(Literals())
     out: list[tuple[int, int, str]] = []
+    near = _literals[0].places(text.replace("\n", " "))
+    n = len(text)
 
     def free(a: int, b: int) -> bool:
         return not any(x < b and a < y for x, y, _ in out)
 
-    if EMAIL_HINT.search(text):
-        out += [(m.start(), m.end(), "EMAIL") for m in EMAIL.finditer(text)]
-    if ID_HINT.search(text):
-        for m in ID_CUED.finditer(text):
-            if free(*m.span("v")):
-                out.append((*m.span("v"), "ID"))
-        for m in ID_BARE.finditer(text):
-            if free(*m.span()):
-                out.append((*m.span(), "ID"))
-    if PHONE_HINT.search(text):
-        for m in PHONE.finditer(text):
-            if free(*m.span()) and is_phone(m.group(), text[max(0, m.start() - 24) : m.start()]):
-                out.append((*m.span(), "PHONE"))
-    for hint, rule in zip(ADDRESS_HINT, ADDRESS):
-        if hint.search(text):
-            for m in rule.finditer(text):
-                if free(*m.span()):
-                    out.append((*m.span(), "ADDRESS"))
-    rules = ([NAME_CUED, NAME_VERB] if NAME_HINT.search(text) else []) + ([NAME_GIVEN] if GIVEN_HINT.search(text) else [])
-    for rule in rules:
-        for m in rule.finditer(text):
-            if free(*m.span("v")) and is_person(m["v"]):
+    def take(rule: re.Pattern, kind: str, group: str | int, areas: list[tuple[int, int]], right=None) -> None:
+        for a, b in areas:
+            for m in rule.finditer(text, a, b):
+                if free(*m.span(group)) and (right is None or right(m)):
+                    out.append((*m.span(group), kind))
+
+    whole = [(0, n)]
+    if "@" in text or "＠" in text or EMAIL_HINT.search(text):
+        take(EMAIL, "EMAIL", 0, whole)
+    if "ID" in near:
+        take(ID_CUED, "ID", "v", windows(near["ID"], n))
+    numbers = PHONE_HINT.search(text)
+    if numbers or NI.search(text):
+        take(ID_BARE, "ID", 0, whole)
+    if numbers:
+        take(PHONE, "PHONE", 0, whole, lambda m: is_phone(m.group(), text[max(0, m.start() - 24) : m.start()]))
+    if "STREET" in near:
+        for rule in ADDRESS[:2]:
+            take(rule, "ADDRESS", 0, windows(near["STREET"], n))
+    german = [p for p in near.get("STRASSE", ()) if text[p[1] : p[1] + 1].isdigit()] + [m.span() for m in ZIP.finditer(text)]
+    if german:
+        take(ADDRESS[2], "ADDRESS", 0, windows(sorted(german), n))
+    french = [p for p in near.get("RUE", ()) if any(c.isdigit() for c in text[max(0, p[0] - 12) : p[0]])]
+    if french:
+        take(ADDRESS[3], "ADDRESS", 0, windows(french, n))
+    if "УЛИЦА" in near:
+        for rule in ADDRESS[4:]:
+            take(rule, "ADDRESS", 0, windows(near["УЛИЦА"], n))
+    person = lambda m: is_person(m["v"])
+    if "CUE" in near:
+        take(NAME_CUED, "NAME", "v", windows(near["CUE"], n, 70), person)
+    for at, _end in near.get("VERB", ()):
+        if text[at - 1 : at].isalpha() or text[at - 1 : at] == ".":
+            if (m := PERSON_BEFORE.search(text, max(0, at - 60), at)) and free(*m.span("v")) and is_person(m["v"]):
                 out.append((*m.span("v"), "NAME"))
+    given = [p for p in near.get("GIVEN", ()) if not text[p[0] - 1 : p[0]].isalpha() and not text[p[1] : p[1] + 1].isalpha()]
+    if given:
+        take(NAME_GIVEN, "NAME", "v", windows(given, n, 50), person)
     return sorted(out)
 
 
