@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import columns as K
 
-ORDER = Window.partitionBy("result_id").orderBy("line_no")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def order():
+    return Window.partitionBy("result_id").orderBy("line_no")
+
+
+def so_far():
+    return order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def explode_lines(bodies: DataFrame) -> DataFrame:
@@ -20,14 +25,14 @@ def with_zones(lines: DataFrame) -> DataFrame:
     """protected: fences and what they hold, HTML tables; display: lines of display formulas; page: the page above."""
     fence = F.col("line").rlike(K.FENCE).cast("int")
     opened = F.regexp_count("line", F.lit(r"(?i)<table\b")) - F.regexp_count("line", F.lit(r"(?i)</table>"))
-    out = lines.withColumn("fence", fence).withColumn("fences", F.sum("fence").over(SO_FAR))
-    out = out.withColumn("depth", F.sum(opened).over(SO_FAR)).withColumn("opened", opened)
+    out = lines.withColumn("fence", fence).withColumn("fences", F.sum("fence").over(so_far()))
+    out = out.withColumn("depth", F.sum(opened).over(so_far())).withColumn("opened", opened)
     protected = (F.col("fence") == 1) | (F.col("fences") % 2 == 1) | (F.col("depth") > 0) | (F.col("opened") < 0)
     out = out.withColumn("protected", protected)
     dollars = F.when(~F.col("protected"), F.regexp_count("line", F.lit(r"\$\$"))).otherwise(0)
-    out = out.withColumn("dollars", dollars).withColumn("display", (F.col("dollars") > 0) | ((F.sum("dollars").over(SO_FAR) - F.col("dollars")) % 2 == 1))
+    out = out.withColumn("dollars", dollars).withColumn("display", (F.col("dollars") > 0) | ((F.sum("dollars").over(so_far()) - F.col("dollars")) % 2 == 1))
     page = F.when(F.col("line").rlike(K.PAGE_MARK), F.regexp_extract("line", K.PAGE_MARK, 1).cast("int"))
-    out = out.withColumn("page", F.last(page, ignorenulls=True).over(SO_FAR))
+    out = out.withColumn("page", F.last(page, ignorenulls=True).over(so_far()))
     return out.drop("fence", "fences", "depth", "opened", "dollars")
 
 
@@ -35,8 +40,8 @@ def with_blocks(lines: DataFrame) -> DataFrame:
     """block_id: runs of plain lines that aren't blank; null between them."""
     plain = (F.trim("line") != "") & ~F.col("protected")
     out = lines.withColumn("plain", plain)
-    first = F.col("plain") & ~F.coalesce(F.lag("plain").over(ORDER), F.lit(False))
-    return out.withColumn("block_id", F.when(F.col("plain"), F.sum(first.cast("int")).over(SO_FAR))).drop("plain")
+    first = F.col("plain") & ~F.coalesce(F.lag("plain").over(order()), F.lit(False))
+    return out.withColumn("block_id", F.when(F.col("plain"), F.sum(first.cast("int")).over(so_far()))).drop("plain")
 
 
 def islands(df: DataFrame, flag: str, keys: list[str], order: str, name: str = "run_id") -> DataFrame:
@@ -48,8 +53,8 @@ def islands(df: DataFrame, flag: str, keys: list[str], order: str, name: str = "
 
 def repeated_runs(lines: DataFrame, least: int = 3) -> DataFrame:
     """(result_id, line, first_line, copies): equal filled lines one below the other, table rows aside."""
-    out = lines.where("not protected").withColumn("fresh", (F.col("line") != F.coalesce(F.lag("line").over(ORDER), F.lit("\n"))) | (F.lag("line_no").over(ORDER) != F.col("line_no") - 1))
-    out = out.withColumn("run_id", F.sum(F.col("fresh").cast("int")).over(SO_FAR))
+    out = lines.where("not protected").withColumn("fresh", (F.col("line") != F.coalesce(F.lag("line").over(order()), F.lit("\n"))) | (F.lag("line_no").over(order()) != F.col("line_no") - 1))
+    out = out.withColumn("run_id", F.sum(F.col("fresh").cast("int")).over(so_far()))
     out = out.where(F.trim("line") != "").where(~F.col("line").rlike(K.TABLE_ROW))
     runs = out.groupBy("result_id", "run_id").agg(F.min("line").alias("line"), F.min("line_no").alias("first_line"), F.count("*").alias("copies"))
     return runs.where(F.col("copies") >= least).drop("run_id")
@@ -82,7 +87,7 @@ def flattened_runs(lines: DataFrame, longest: int = 25, least: int = 6) -> DataF
 
 def hyphenations(lines: DataFrame) -> DataFrame:
     """Lines that end in a letter and a hyphen while the next one opens in lower case."""
-    out = lines.withColumn("next", F.lead("line").over(ORDER)).withColumn("next_protected", F.lead("protected").over(ORDER))
+    out = lines.withColumn("next", F.lead("line").over(order())).withColumn("next_protected", F.lead("protected").over(order()))
     return out.where(~F.col("protected") & ~F.col("display") & ~F.col("next_protected") & F.col("line").rlike(r"\p{L}-\s*$") & F.col("next").rlike(r"^\s*\p{Ll}")).select("result_id", "line_no", F.regexp_extract("line", r"(\p{L}+)-\s*$", 1).alias("head"), F.regexp_extract("next", r"^\s*(\p{L}+)", 1).alias("tail"))
 
 
@@ -90,7 +95,7 @@ def headings(lines: DataFrame) -> DataFrame:
     """(result_id, line_no, level, title, number, previous): ATX headings outside of protected zones."""
     out = lines.where(~F.col("protected")).withColumn("level", K.heading_level(F.col("line"))).where("level is not null")
     out = out.select("result_id", "line_no", "level", K.heading_title(F.col("line")).alias("title"))
-    return out.withColumn("number", F.regexp_extract("title", r"^(\d+(\.\d+)*)", 1)).withColumn("previous", F.lag("level").over(ORDER))
+    return out.withColumn("number", F.regexp_extract("title", r"^(\d+(\.\d+)*)", 1)).withColumn("previous", F.lag("level").over(order()))
 
 
 def off_mode(headings: DataFrame, least: int = 2) -> DataFrame:
