@@ -15,7 +15,7 @@ def rows(lines: DataFrame) -> DataFrame:
     runs = islands(lines.withColumn("is_row", row), "is_row", ["result_id"], "line_no", "table_id")
     w = Window.partitionBy("result_id", "table_id").orderBy("line_no")
     inner = F.regexp_replace(F.regexp_replace("line", r"^\s*\|", ""), r"\|\s*$", "")
-    out = runs.select("result_id", "table_id", "line_no", F.row_number().over(w).alias("row_no"), F.col("line").rlike(K.TABLE_RULE).alias("is_rule"), F.transform(F.split(inner, r"(?<!\\)\|", -1), F.trim).alias("cells"))
+    out = runs.select("result_id", "table_id", "line_no", F.row_number().over(w).alias("row_no"), F.col("line").rlike(K.TABLE_RULE).alias("is_rule"), F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: F.trim(c)).alias("cells"))
     has_rule = F.max(F.col("is_rule") & (F.col("row_no") == 2)).over(Window.partitionBy("result_id", "table_id"))
     return out.withColumn("ruled", has_rule).where("ruled").drop("ruled")
 
@@ -34,7 +34,7 @@ def cells(rows: DataFrame) -> DataFrame:
 def column_forms(cells: DataFrame) -> DataFrame:
     """(result_id, table_id, col_no, forms, filled): the forms of the values below the header."""
     body = cells.where("row_no > 2").withColumn("form", K.value_form(F.col("cell")))
-    return body.groupBy("result_id", "table_id", "col_no").agg(F.array_sort(F.collect_set("form")).alias("forms"), F.count(F.when(F.col("cell") != "", 1)).alias("filled"))
+    return body.groupBy("result_id", "table_id", "col_no").agg(F.array_sort(F.collect_set(F.when(F.col("cell") != "", F.col("form")))).alias("forms"), F.count(F.when(F.col("cell") != "", 1)).alias("filled"))
 
 
 def empty_columns(cells: DataFrame) -> DataFrame:

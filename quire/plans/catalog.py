@@ -40,7 +40,7 @@ ROWS = LINES + """, isrow as (select *, (not protected and regexp_matches(line,
 runs as (select *, row_number() over w - sum(is_row::int) over w as table_id from isrow window w as (partition by result_id order by line_no)),
 numbered as (select result_id, table_id, line_no, row_number() over (partition by result_id, table_id order by line_no) as row_no,
   regexp_matches(line, '^[|:\\- \\t]*-[|:\\- \\t]*$') as is_rule,
-  [trim(c) for c in string_split(regexp_replace(regexp_replace(line, '^\\s*\\|', ''), '\\|\\s*$', ''), '|')] as cells from runs where is_row),
+  [trim(c, ' ') for c in string_split(regexp_replace(regexp_replace(line, '^\\s*\\|', ''), '\\|\\s*$', ''), '|')] as cells from runs where is_row),
 rows as (select * from (select *, bool_or(is_rule and row_no = 2) over (partition by result_id, table_id) as ruled from numbered) where ruled),
 cells0 as (select result_id, table_id, row_no, unnest(cells) as cell, generate_subscripts(cells, 1) - 1 as col_no from rows where not is_rule)"""
 BLOCKS = "blocks as (select * from (select *, row_number() over (partition by block_key order by ingested_at) as rn from block_outputs) where rn = 1)"
@@ -196,7 +196,7 @@ def table_shapes(spark, sf_dir):
     return T.shapes(T.rows(zoned(spark, sf_dir)))
 
 
-@query("column_forms", f"with {ROWS} select result_id, table_id::bigint as table_id, col_no::int as col_no, count(distinct regexp_replace(regexp_replace(trim(cell), '\\p{{N}}+', '9', 'g'), '\\p{{L}}+', 'A', 'g')) as forms, count(*) filter (where cell <> '') as filled from cells0 where row_no > 2 group by result_id, table_id, col_no")
+@query("column_forms", f"with {ROWS} select result_id, table_id::bigint as table_id, col_no::int as col_no, count(distinct case when cell <> '' then regexp_replace(regexp_replace(cell, '\\p{{N}}+', '9', 'g'), '\\p{{L}}+', 'A', 'g') end) as forms, count(*) filter (where cell <> '') as filled from cells0 where row_no > 2 group by result_id, table_id, col_no")
 def column_forms(spark, sf_dir):
     return T.column_forms(T.cells(T.rows(zoned(spark, sf_dir)))).select("result_id", "table_id", "col_no", F.size("forms").cast("long").alias("forms"), "filled")
 
@@ -262,13 +262,20 @@ def clean_grades(spark, sf_dir):
     return grading.grade(cleaned)
 
 
-@query("structure_differences")
+@query(
+    "structure_differences",
+    f"with {ROWS}, mine as (select l.result_id, count(*) filter (where not protected and regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]+\S')) as headings, coalesce(sum(len(regexp_extract_all(line, '!\[([^\]\n]*)\]\(([^()\s]*)\)'))) filter (where not protected), 0)::bigint as images from lines l group by l.result_id), t as (select result_id, count(distinct table_id) as tables from rows group by result_id), s as (select result_id, case when headings_by_level is not null then coalesce(list_sum(map_values(headings_by_level)), 0) end::bigint as stated_headings, table_count::bigint as stated_tables, image_count::bigint as stated_images from structure_counts) select s.result_id, headings, stated_headings, images, stated_images, coalesce(tables, 0) as tables, stated_tables from s join mine using (result_id) left join t using (result_id) where headings is distinct from stated_headings or images is distinct from stated_images or coalesce(tables, 0) is distinct from stated_tables",
+)
 def structure_differences(spark, sf_dir):
-    """Counts written in the table beside those of the bodies, where both know the file."""
+    """Counts written in the table beside those of the bodies, where they differ or aren't stated."""
     z = zoned(spark, sf_dir)
-    mine = z.where(~F.col("protected")).groupBy("result_id").agg(F.count(F.when(F.col("line").rlike(K.HEADING), 1)).alias("headings"), F.sum(F.regexp_count("line", F.lit(K.IMAGE))).alias("images"))
-    stated = S.table(spark, sf_dir, "structure_counts").select("result_id", F.aggregate(F.map_values("headings_by_level"), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))).cast("long").alias("stated_headings"), F.col("image_count").cast("long").alias("stated_images"))
-    return stated.join(mine, "result_id").where("headings <> stated_headings or images <> stated_images")
+    plain = ~F.col("protected")
+    mine = z.groupBy("result_id").agg(F.count(F.when(plain & F.col("line").rlike(K.HEADING), 1)).alias("headings"), F.coalesce(F.sum(F.when(plain, F.regexp_count("line", F.lit(K.IMAGE)))), F.lit(0)).alias("images"))
+    tables = T.rows(z).groupBy("result_id").agg(F.countDistinct("table_id").alias("tables"))
+    heads = F.when(F.col("headings_by_level").isNotNull(), F.aggregate(F.map_values("headings_by_level"), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))).cast("long")
+    stated = S.table(spark, sf_dir, "structure_counts").select("result_id", heads.alias("stated_headings"), F.col("table_count").cast("long").alias("stated_tables"), F.col("image_count").cast("long").alias("stated_images"))
+    both = stated.join(mine, "result_id").join(tables, "result_id", "left").na.fill(0, ["tables"])
+    return both.where(~F.col("headings").eqNullSafe(F.col("stated_headings")) | ~F.col("images").eqNullSafe(F.col("stated_images")) | ~F.col("tables").eqNullSafe(F.col("stated_tables"))).select("result_id", "headings", "stated_headings", "images", "stated_images", "tables", "stated_tables")
 
 
 @query("reading_order")
