@@ -40,6 +40,11 @@ def record(df: DataFrame, key: str, text: str, field: str) -> DataFrame:
     return df.select(F.lit(field).alias("field_name"), F.col(key).cast("long").alias("rec_id"), F.col(text).alias("text")).where("rec_id is not null and text is not null and text <> ''")
 
 
+def narrow(records: DataFrame) -> DataFrame:
+    """field_name, rec_id and the text or texts of records; other columns, whatever their names, stay behind."""
+    return records.select("field_name", "rec_id", "texts" if "texts" in records.columns else "text")
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record(table(spark, sf_dir, "ocr_results"), "result_id", "body", "body")
 

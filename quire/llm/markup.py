@@ -76,7 +76,7 @@ HINT = {
     "latex": re.compile(r"\\[A-Za-z]"),
     "markdown": re.compile(r"[*_`#>\]~]|^[ \t]*-[ \t-]|^[ \t]*\d+\.[ \t]|^[ \t]*\|", re.M),
 }
-FENCED = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?^[ \t]*\1[`~]*[ \t]*$", re.M | re.S)
+FENCED = re.compile(r"^[ \t]*(`{3,}+|~{3,}+)[^\n]*\n.*?^[ \t]*\1[`~]*[ \t]*$", re.M | re.S)
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
 FORMULA = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<![\\$])\$(?![\s$])[^$\n]{1,300}?(?<![\s\\])\$(?!\$)|\\begin\{(equation|align|cases|gather|matrix|eqnarray)\*?\}.*?\\end\{\1\*?\}", re.S)
 PAGE = re.compile(r"<!-- ?source:page[^>]*-->|^\[page \d+ not recognized\]$", re.M)
@@ -136,13 +136,13 @@ def nodes_of(field: str, text: str) -> list[tuple[int, int, str, float]]:
     for kind, patterns in MARKS.items():
         if kind == "markdown" and field != "html" or not HINT[kind].search(text):
             continue
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(text))
         for pattern, weight in patterns:
             for m in pattern.finditer(text):
                 a, b = m.span()
-                if any(x < b and a < y for x, y in taken):
+                if taken.find(1, a, b) >= 0:
                     continue
-                taken.append((a, b))
+                taken[a:b] = b"\1" * (b - a)
                 cost = weight
                 if readable(text, a, b) < 0.75 or not voiced(text, a, b):
                     cost -= 4.0
@@ -246,7 +246,7 @@ def marks(field: str, rec: int, text: str):
 
 def markup_residue(records: DataFrame) -> DataFrame:
     """(field_name, rec_id, markup, n_marks) of records (field_name, rec_id, text); one row per foreign markup of a record."""
-    return C.once(C.arrow_rows(records, marks, SCHEMA), "field_name", "rec_id", "markup")
+    return C.once(C.arrow_rows(C.narrow(records), marks, SCHEMA), "field_name", "rec_id", "markup")
 
 
 def to_markdown(text: str, kinds: set[str]) -> str:
@@ -318,7 +318,7 @@ def cleaned(field: str, rec: int, text: str):
 
 def clean_text(records: DataFrame) -> DataFrame:
     """(field_name, rec_id, markups, clean): every record as clean Markdown."""
-    return C.once(C.arrow_rows(records, cleaned, CLEAN), "field_name", "rec_id")
+    return C.once(C.arrow_rows(C.narrow(records), cleaned, CLEAN), "field_name", "rec_id")
 
 
 def both(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from quire.llm import common as C
 BIG = 4_000_000
 #: Boundaries from the strongest to the weakest; a cut stands at the end of the match.
 BOUNDARIES = {
-    "text": [re.compile(p) for p in (r"\n+(?=\s*(?:<!--.*?-->\s*)?#{1,6} )", r"\n(?=<!--)|\n\s*\n", r"\n", r"(?<=[.!?…])[\"»”)]?\s+", r"[;:,]\s+", r"\s+")],
+    "text": [re.compile(p) for p in (r"\n(?=[ \t]*#{1,6} )", r"\n(?=<!--)|\n[ \t]*\n", r"\n", r"(?<=[.!?…])[\"»”)]?\s+", r"[;:,]\s+", r"\s+")],
     "html": [re.compile(p) for p in (r"(?=<h[1-6]\b)", r"</(?:p|li|ul|ol|table|pre|h[1-6]|div)>(?=<)", r"</t[rd]>|<br\s*/?>|\n", r"(?<=[.!?…])\s+", r"(?<=>)|\s+(?=[^<>]*(?:<|$))", r"\s+")],
 }
 PIECES = "rec_id bigint, section_id string, part int, piece int, start int, core string"
