@@ -264,7 +264,7 @@ def clean_grades(spark, sf_dir):
 
 @query(
     "structure_differences",
-    f"with {ROWS}, mine as (select l.result_id, count(*) filter (where not protected and regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]+\S')) as headings, coalesce(sum(len(regexp_extract_all(line, '!\[([^\]\n]*)\]\(([^()\s]*)\)'))) filter (where not protected), 0)::bigint as images from lines l group by l.result_id), t as (select result_id, count(distinct table_id) as tables from rows group by result_id), s as (select result_id, case when headings_by_level is not null then coalesce(list_sum(map_values(headings_by_level)), 0) end::bigint as stated_headings, table_count::bigint as stated_tables, image_count::bigint as stated_images from structure_counts) select s.result_id, headings, stated_headings, images, stated_images, coalesce(tables, 0) as tables, stated_tables from s join mine using (result_id) left join t using (result_id) where headings is distinct from stated_headings or images is distinct from stated_images or coalesce(tables, 0) is distinct from stated_tables",
+    f"with {ROWS}, mine as (select l.result_id, count(*) filter (where not protected and regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \\t]+\\S')) as headings, coalesce(sum(len(regexp_extract_all(line, '!\\[([^\\]\\n]*)\\]\\(([^()\\s]*)\\)'))) filter (where not protected), 0)::bigint as images from lines l group by l.result_id), t as (select result_id, count(distinct table_id) as tables from rows group by result_id), s as (select result_id, case when headings_by_level is not null then coalesce(list_sum(map_values(headings_by_level)), 0) end::bigint as stated_headings, table_count::bigint as stated_tables, image_count::bigint as stated_images from structure_counts) select s.result_id, headings, stated_headings, images, stated_images, coalesce(tables, 0) as tables, stated_tables from s join mine using (result_id) left join t using (result_id) where headings is distinct from stated_headings or images is distinct from stated_images or coalesce(tables, 0) is distinct from stated_tables",
 )
 def structure_differences(spark, sf_dir):
     """Counts written in the table beside those of the bodies, where they differ or aren't stated."""
