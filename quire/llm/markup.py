@@ -132,7 +132,7 @@ def voiced(text: str, a: int, b: int) -> bool:
 
 def nodes_of(field: str, text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, markup, cost) of every mark; a cost above 0 speaks for residue."""
-    out = []
+    seen: list[tuple[re.Match, str, float]] = []
     for kind, patterns in MARKS.items():
         if kind == "markdown" and field != "html" or not HINT[kind].search(text):
             continue
@@ -143,14 +143,27 @@ def nodes_of(field: str, text: str) -> list[tuple[int, int, str, float]]:
                 if taken.find(1, a, b) >= 0:
                     continue
                 taken[a:b] = b"\1" * (b - a)
-                cost = weight
-                if readable(text, a, b) < 0.75 or not voiced(text, a, b):
-                    cost -= 4.0
-                if kind == "latex":
-                    before = text[a - 1 : a]
-                    if before and (before in ":\\/._-" or before.isalnum() and "{" not in m.group() and m.group()[1:] not in ("hfill", "noindent")) or re.match(r"[\\/.]|\w*\.\w{2,4}\b", text[b : b + 8]):
-                        cost -= 4.0
-                out.append((a, b, kind, cost))
+                seen.append((m, kind, weight))
+    if not seen:
+        return []
+    # what surrounds a mark is judged without the signs of the other marks
+    rest = list(text)
+    for m, kind, _ in seen:
+        for i in range(*m.span()):
+            if kind == "html" or not (rest[i].isalnum() or rest[i].isspace()):
+                rest[i] = "\x00"
+    plain = "".join(rest)
+    out = []
+    for m, kind, weight in seen:
+        a, b = m.span()
+        cost = weight
+        if readable(plain, a, b) < 0.75 or not voiced(plain, a, b):
+            cost -= 4.0
+        if kind == "latex":
+            before = text[a - 1 : a]
+            if before and (before in ":\\/._-" or before.isalnum() and "{" not in m.group() and m.group()[1:] not in ("hfill", "noindent")) or re.match(r"[\\/.]|\w*\.\w{2,4}\b", text[b : b + 8]):
+                cost -= 4.0
+        out.append((a, b, kind, cost))
     out.sort()
     return out
 

@@ -87,7 +87,7 @@ WORDS_EN = rf"(?:(?:St|Saint|{CAP}|[A-Z]['’]?[A-Z]+)(?:['’][sS])?(?:{G})){{1
 TOWN = rf"(?:,?(?:{G})(?:{CAP}|[{UP}]{{3,}})(?:(?:{G}|-)(?:{CAP}|[{UP}]{{3,}})){{0,2}})"
 POSTCODE = rf"(?:,?(?:{G})[A-Z]{{1,2}}\d{{1,2}}[A-Z]?(?:{G})\d[A-Z]{{2}})"
 ADDRESS = [
-    re.compile(rf"(?<![\w.])(?:(?:Flat|Apt\.?|Unit|Suite|FLAT)(?:{G})\d+[A-Za-z]?,?(?:{G}))?\d{{1,4}}[A-Za-z]?,?(?:{G}){WORDS_EN}(?:{STREET_EN}|{STREET_EN.upper()})(?!\w)(?:{TOWN}(?=[\s.,;]|$))?{POSTCODE}?"),
+    re.compile(rf"(?<![\w.])(?:(?:Flat|Apt\.?|Unit|Suite|FLAT)(?:{G})\d+[A-Za-z]?,?(?:{G}))?\d{{1,4}}[A-Za-z]?(?:{G}){WORDS_EN}(?:{STREET_EN}|{STREET_EN.upper()})(?!\w)(?:{TOWN}(?=[\s.,;]|$))?{POSTCODE}?"),
     re.compile(rf"(?<!\w){WORDS_EN}(?:{STREET_EN}|{STREET_EN.upper()})(?:{G})(?:No\.?|NO\.?|Nr\.?)(?:{G})\d+[A-Za-z]?(?:{TOWN})?{POSTCODE}?"),
     re.compile(rf"(?<!\w)(?:{CAP}-?)?(?:[{UP}]?[{LOW}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|stieg)|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)(?:{G}){CAP}(?:(?:{G}){CAP})?)(?:{G})\d{{1,4}}(?:[ ]?[a-z])?(?:,?(?:{G})(?:[A-Z]-)?\d{{5}}(?:{G}){CAP}(?:-{CAP})?|,(?:{G}){CAP})"),
     re.compile(rf"(?<![\w.])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-Z])(?!\w))?,?(?:{G})(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|place|quai|allée|allee|route|cours|passage|sentier|square|venelle)(?:{G})(?:(?:de(?:{G})la|des|du|de|d['’]|l['’])(?:{G})?)*(?:l['’])?{CAP}(?:(?:{G}|-){CAP}){{0,3}}(?:,?(?:{G})(?:\d{{5}}(?:{G}))?{CAP}(?:-(?:le|la|les|sur|en|de)?-?{CAP})*)?", re.I if False else 0),
