@@ -177,7 +177,7 @@ def test_scans(spark):
 
 
 def test_scan_repair():
-    pages = [f"Old quay | {k}\nLine {chr(97 + k)} goes on\nto the end of {chr(97 + k) * 4} va-\nlves here." for k in range(3)]
+    pages = [f"Old quay | {k}\nLine {chr(97 + k) * 3} goes on\nto the end of {chr(97 + k) * 4} va-\nlves here." for k in range(3)]
     text = scans.repaired("texts", pages, {"thc": "the"}, {"valves"})
     assert "Old quay" not in text and "valves here." in text and "goes on to the" in text
 
