@@ -122,7 +122,7 @@ def to_markdown(blocks: DataFrame) -> DataFrame:
     text = visible_text(html)
     rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<tr>(.*?)</tr>"), 1), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<t[dh]>(.*?)</t[dh]>"), 1), visible_text), " | "), F.lit(" |")))
     rule = F.regexp_replace(F.regexp_replace(F.element_at(rows, 1), r"[^|]+", " --- "), r"^ --- ", "")
-    table = F.when(F.size(rows) > 0, F.concat_ws("\n", F.element_at(rows, 1), rule, F.array_join(F.slice(rows, 2, 100_000), "\n"))).otherwise(text)
+    table = F.when(F.size(rows) > 0, F.concat_ws("\n", F.element_at(rows, 1), rule, F.when(F.size(rows) > 1, F.array_join(F.slice(rows, 2, F.size(rows)), "\n")))).otherwise(text)
     out = (
         F.when(F.col("block_type") == "SectionHeader", F.concat(F.repeat(F.lit("#"), F.when(level != "", level.cast("int")).otherwise(1)), F.lit(" "), text))
         .when(F.col("block_type") == "ListItem", F.concat(F.lit("- "), text))
