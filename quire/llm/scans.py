@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 from quire.llm.markup import FENCED, FORMULA, INLINE_CODE, blanked, visible
-from quire.llm.quality import SUSPECT, junk_share
+from quire.llm.quality import HEAD, PROSE, SENTENCE_END, SUSPECT, junk_share, line_kinds
 
 CANDIDATES = "field_name string, rec_id bigint, kind string, word string, other string"
 PAGES = 3
@@ -453,24 +453,162 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return C.bodies(spark, sf_dir), C.check_texts(spark, sf_dir), C.table(spark, sf_dir, "block_outputs").where("block_key is not null and html is not null")
 
 
-def repaired(field: str, value, spelled: dict[str, str], joined: set[str]) -> str:
-    """The record as continuous paragraphs: no headers and page numbers, broken words whole, misread words as printed."""
-    text, _ = kept(field, value)
+#: A line at which a paragraph doesn't go on: headings, rows, quotes, list marks, fences, tags, underlines, blocks set aside.
+OWN_LINE = re.compile(r"[ \t]*(?:#{1,6}\s|[|>\x00]|[-*+•–—▪●○]\s|\(?\d{1,4}[.)]\s|```|~~~|\$\$|</?[A-Za-z!]|[-=]{2,}[ \t]*$)")
+#: What stands for a line that was taken out: blank, but told from the blank lines of the text.
+GONE = " \t "
+#: Block, and inline, that is kept as it stands.
+BLOCK, INLINE = "\x00", "\x01"
 
-    def whole(m: re.Match) -> str:
-        return m[1] + m[3] if (m[1] + m[3]).lower() in joined else m.group()
 
-    text = BROKEN.sub(whole, text)
-    if spelled:
-        rule = re.compile("|".join(rf"(?<!\w){re.escape(w)}(?![\w])" for w in sorted(spelled, key=len, reverse=True)), re.I)
+class Seen:
+    """A text as it is searched, each of its characters with what stands for it in the record and what follows that unseen.
 
-        def right(m: re.Match) -> str:
-            w = spelled[m.group().lower()]
-            return w.upper() if m.group().isupper() and len(w) > 1 else w[:1].upper() + w[1:] if m.group()[:1].isupper() else w
+    Edits are found in `text` and made in both, so code, formulas and tags come out as they were.
+    """
+
+    def __init__(self, text: str, source: list[str], tails: dict[int, str]):
+        self.text, self.source, self.tails = text, source, tails
+
+    def edit(self, edits: list[tuple[int, int, str]]) -> None:
+        """Put other characters in place of [a, b); edits in order, apart from each other. Tags inside are kept."""
+        if not edits:
+            return
+        text, source, tails, at, n = [], [], {}, 0, 0
+        old = sorted(self.tails.items())
+        k = 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            while k < len(old) and old[k][0] < a:
+                tails[n + old[k][0] - at] = tails.get(n + old[k][0] - at, "") + old[k][1]
+                k += 1
+            text += [self.text[at:a], new]
+            source += self.source[at:a]
+            source += new
+            n += a - at + len(new)
+            while k < len(old) and old[k][0] < b:
+                if rest := UNSEEN.sub("", old[k][1]):
+                    tails[n - 1] = tails.get(n - 1, "") + rest
+                k += 1
+            at = b
+        self.text, self.source, self.tails = "".join(text), source, tails
+
+    def whole(self) -> str:
+        if not self.tails:
+            return "".join(self.source)
+        return self.tails.get(-1, "") + "".join(c + self.tails[i] if i in self.tails else c for i, c in enumerate(self.source))
+
+
+def guarded(text: str) -> str:
+    """A body with code and formulas blanked, their line ends too: blocks by one sign, what stands inside of lines by another."""
+
+    def one(m: re.Match) -> str:
+        return (INLINE if m.re is INLINE_CODE or m.group()[:2] == "\\(" or m.group()[0] == "$" != m.group()[1:2] else BLOCK) * len(m.group())
+
+    if "```" in text or "~~~" in text:
+        text = FENCED.sub(one, text)
+    if "`" in text:
+        text = INLINE_CODE.sub(one, text)
+    return FORMULA.sub(one, text) if "$" in text or "\\" in text else text
+
+
+def without_unseen(text: str, source: str) -> Seen:
+    """Invisible signs of the text are set aside; those of code and formulas are hidden already."""
+    if not UNSEEN.search(text):
+        return Seen(text, list(source), {})
+    out, tails = [], {}
+    for c, s in zip(text, source):
+        if UNSEEN.match(c):
+            tails[len(out) - 1] = tails.get(len(out) - 1, "") + s
+        else:
+            out.append((c, s))
+    return Seen("".join(c for c, _ in out), [s for _, s in out], tails)
 
-        text = rule.sub(right, text)
-    paragraphs = re.split(r"\n[ \t]*\n+", text)
-    return "\n\n".join(re.sub(r"(?<=[^\s|])[ \t]*\n[ \t]*(?=[^\s#|>*+\-\d$`<\x00])", " ", p).strip("\n") for p in paragraphs if p.strip())
+
+def seen(field: str, value) -> Seen:
+    """A record without its headers and page numbers, as it is searched for broken and misread words."""
+    if field == "body":
+        masked = value
+        for rule, signs in ((FENCED, ("```", "~~~")), (INLINE_CODE, ("`",)), (FORMULA, ("$", "\\"))):
+            if any(x in masked for x in signs):
+                masked = blanked(rule, masked)
+        lines, cand, paged = body_lines(masked)
+        headers, numbers = edges(cand, paged) if cand else (set(), set())
+        gone = headers | numbers | {i for i, x in enumerate(lines) if x.startswith("<!--") and MARK.match(x) or "[page " in x and LOST.match(x)}
+        text, source = guarded(value), value
+    else:
+        pages, cand = text_lines(value)
+        headers, numbers = edges(cand, True)
+        lines = [x for page in pages for x in page]
+        places = {(page, i): k for k, (page, i) in enumerate((page, i) for page, own in enumerate(pages) for i in range(len(own)))}
+        gone = {places[divmod(i, 100_000)] for i in headers | numbers}
+        text = source = "\n".join(lines)
+    if gone:
+        parts, origin, at = [], [], 0
+        for i, x in enumerate(lines):
+            if i in gone:
+                parts.append(GONE)
+                origin.append(GONE)
+            else:
+                parts.append(text[at : at + len(x)])
+                origin.append(source[at : at + len(x)])
+            at += len(x) + 1
+            if i + 1 < len(lines):
+                # a line end inside of code or a formula is hidden
+                parts.append(text[at - 1])
+                origin.append("\n")
+        text, source = "".join(parts), "".join(origin)
+    return without_unseen(text, source)
+
+
+def joined_words(s: Seen, joined: set[str]) -> None:
+    if joined and HYPHEN.search(s.text):
+        s.edit([(m.end(1), m.start(3), "") for m in BROKEN.finditer(s.text) if (m[1] + m[3]).lower() in joined])
+
+
+def spelled_words(s: Seen, spelled: dict[str, str]) -> None:
+    """Misread words as printed, found as the vocabulary finds them; targets, paths and tags of foreign markup stay."""
+    for rule in (MIXED, LONG) if spelled else ():
+        aside = [m.span() for m in RESIDUE.finditer(s.text)]
+        edits = []
+        for m in rule.finditer(s.text):
+            w = m.group()
+            right = spelled.get(w.lower())
+            if right is None or any(a < m.end() and m.start() < b for a, b in aside):
+                continue
+            letters = [c for c in w if c.isalpha()]
+            right = right.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else right[:1].upper() + right[1:] if w[:1].isupper() else right
+            edits.append((*m.span(), right))
+        s.edit(edits)
+
+
+def paragraphs(s: Seen) -> None:
+    """Line breaks inside of a paragraph become spaces; lists, tables, headings and blocks set aside keep theirs."""
+    lines = s.text.split("\n")
+    starts, at = [], 0
+    for x in lines:
+        starts.append(at)
+        at += len(x) + 1
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    kinds, _ = line_kinds([lines[i].rstrip() for i in filled], False)
+    edits = []
+    for (i, a), (j, b) in zip(zip(filled, kinds), zip(filled[1:], kinds[1:])):
+        x, y = lines[i].rstrip(), lines[j].lstrip()
+        if a != PROSE or b != PROSE or x[-1] in "|\x00" or HEAD.match(x) or OWN_LINE.match(y):
+            continue
+        # over a page end only a sentence that isn't over goes on
+        if j == i + 1 or GONE in lines[i + 1 : j] and not SENTENCE_END.search(x) and x[-1] != ":" and y[0].islower():
+            edits.append((starts[i] + len(x), starts[j] + len(lines[j]) - len(y), " "))
+    s.edit(edits)
+    s.edit([(m.start(), m.end(), "\n\n" if m.start() and m.end() < len(s.text) else "") for m in re.finditer(r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\Z|\n[ \t]*(?:\n[ \t]*)*\n", s.text)])
+
+
+def repaired(field: str, value, spelled: dict[str, str], joined: set[str]) -> str:
+    """The record as continuous paragraphs: no headers and page numbers, broken words whole, misread words as printed."""
+    s = seen(field, value)
+    joined_words(s, joined)
+    spelled_words(s, spelled)
+    paragraphs(s)
+    return s.whole()
 
 
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:

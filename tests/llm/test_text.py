@@ -182,6 +182,15 @@ def test_scan_repair():
     assert "Old quay" not in text and "valves here." in text and "goes on to the" in text
 
 
+def test_scan_repair_keeps_code_and_formulas():
+    fence = "```sql\nselect va-\nlves\n\n\n\nfrom thc\n```"
+    text = f"# Upper shaft\nThe sum $a_1 + b$ of thc\nva-\nlves and `thc va1ve` is\n$c$ for all.\n{fence}\nThe va\u200b1ve\ngoes on.\n\n$$\nx\n= thc\n$$\n\na | b\nc | d\n"
+    clean = scans.repaired("body", text, {"thc": "the", "va1ve": "valve"}, {"valves"})
+    assert clean == f"# Upper shaft\nThe sum $a_1 + b$ of the valves and `thc va1ve` is $c$ for all.\n{fence}\nThe valve goes on.\n\n$$\nx\n= thc\n$$\n\na | b\nc | d"
+    cut = "The second shaft was\n\n<!-- source:page 2 -->\n\nmeasured by hand."
+    assert scans.repaired("body", cut, {}, set()) == "The second shaft was measured by hand."
+
+
 @pytest.mark.parametrize("kind", ["text", "html"])
 def test_splitting(kind):
     random.seed(2)
