@@ -12,6 +12,7 @@ words. Repeated deliveries of a record give one row.
 
 from __future__ import annotations
 
+import html as htmllib
 import re
 from collections import defaultdict
 from difflib import SequenceMatcher
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common as C
-from quire.llm.markup import FENCED, FORMULA, INLINE_CODE, blanked, visible
+from quire.llm.markup import BLOCK_TAG, FENCED, FORMULA, INLINE_CODE, TAG, blanked, visible
 from quire.llm.quality import HEAD, PROSE, SENTENCE_END, SUSPECT, junk_share, line_kinds
 
 CANDIDATES = "field_name string, rec_id bigint, kind string, word string, other string"
@@ -454,7 +455,9 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 #: A line at which a paragraph doesn't go on: headings, rows, quotes, list marks, fences, tags, underlines, blocks set aside.
-OWN_LINE = re.compile(r"[ \t]*(?:#{1,6}\s|[|>\x00]|[-*+•–—▪●○]\s|\(?\d{1,4}[.)]\s|```|~~~|\$\$|</?[A-Za-z!]|[-=]{2,}[ \t]*$)")
+OWN_LINE = re.compile(r"[ \t]*(?:#{1,6}\s|={2,}|\\(?:(?:sub)*section|chapter|begin|end|item)\b|[|>\x00]|[-*+•–—▪●○]\s|\(?\d{1,4}[.)]\s|```|~~~|\$\$|</?[A-Za-z!]|[-=]{2,}[ \t]*$)")
+#: A line after which the paragraph doesn't go on: rows, headings and tags of other markups, blocks set aside.
+CLOSED = re.compile(r"[|>\x00]$|^[ \t]*={2,}.*={2,}$|^[ \t]*\\[A-Za-z]+\*?\{[^{}]*\}$")
 #: What stands for a line that was taken out: blank, but told from the blank lines of the text.
 GONE = " \t "
 #: Block, and inline, that is kept as it stands.
@@ -560,9 +563,60 @@ def seen(field: str, value) -> Seen:
     return without_unseen(text, source)
 
 
+PIECE = re.compile(rf"(?P<own><(?P<name>pre|math|code)\b(?P<how>[^>]*)>.*?</(?P=name)>)|(?P<block>{BLOCK_TAG.pattern})|{TAG.pattern}|&(?:#\d+;?|#[xX][\da-fA-F]+;?|[^\t\n\f <&#;]{{1,32}};?)", re.S | re.I)
+BREAK = re.compile(r"<br\s*/?>", re.I)
+TAG_NAME = re.compile(r"<(/?)([A-Za-z][\w-]*)")
+
+
+def seen_html(markup: str) -> Seen:
+    """What a reader sees of a block, with the markup that stands for it; inline tags are unseen."""
+    text, source, tails, at = [], [], {}, 0
+
+    def put(signs: str, stand: list[str]) -> None:
+        for c, x in zip(signs, stand):
+            if UNSEEN.match(c):
+                tails[len(text) - 1] = tails.get(len(text) - 1, "") + x
+            else:
+                text.append(c)
+                source.append(x)
+
+    for m in PIECE.finditer(markup):
+        put(plain := markup[at : m.start()], plain)
+        at = m.end()
+        piece = m.group()
+        if m["own"]:
+            put(BLOCK if m["name"].lower() == "pre" or "block" in m["how"] else INLINE, [piece])
+        elif m["block"]:
+            put("\n", [piece])
+        elif piece[0] == "&":
+            signs = htmllib.unescape(piece)
+            put(signs, [piece] if len(signs) == 1 else [htmllib.escape(c, quote=False) for c in signs])
+        else:
+            tails[len(text) - 1] = tails.get(len(text) - 1, "") + piece
+    put(plain := markup[at:], plain)
+    return Seen("".join(text), source, tails)
+
+
+def structure(source: list[str]) -> list[str]:
+    """The block tags among what stands for some characters."""
+    return [x for x in source if x[0] == "<" and not BREAK.fullmatch(x)]
+
+
+def closed(tags: list[str]) -> bool:
+    """The tags close blocks and open the same again, so without them the markup stays whole."""
+    names = [TAG_NAME.match(x).groups() for x in tags]
+    half = len(names) // 2
+    return len(names) == 2 * half and all(a == "/" and b == "" and x.lower() == y.lower() for (a, x), (b, y) in zip(names[:half], reversed(names[half:])))
+
+
 def joined_words(s: Seen, joined: set[str]) -> None:
-    if joined and HYPHEN.search(s.text):
-        s.edit([(m.end(1), m.start(3), "") for m in BROKEN.finditer(s.text) if (m[1] + m[3]).lower() in joined])
+    edits = []
+    for m in BROKEN.finditer(s.text) if joined and HYPHEN.search(s.text) else ():
+        if (m[1] + m[3]).lower() in joined:
+            tags = structure(s.source[m.end(1) : m.start(3)])
+            # the second half goes up where the tags between have to stay
+            edits += [(m.end(1), m.start(3), "")] if not tags or closed(tags) else [(m.end(1), m.end(2), m[3]), (*m.span(3), "")]
+    s.edit(edits)
 
 
 def spelled_words(s: Seen, spelled: dict[str, str]) -> None:
@@ -581,7 +635,7 @@ def spelled_words(s: Seen, spelled: dict[str, str]) -> None:
         s.edit(edits)
 
 
-def paragraphs(s: Seen) -> None:
+def paragraphs(s: Seen, markup: bool = False) -> None:
     """Line breaks inside of a paragraph become spaces; lists, tables, headings and blocks set aside keep theirs."""
     lines = s.text.split("\n")
     starts, at = [], 0
@@ -593,39 +647,55 @@ def paragraphs(s: Seen) -> None:
     edits = []
     for (i, a), (j, b) in zip(zip(filled, kinds), zip(filled[1:], kinds[1:])):
         x, y = lines[i].rstrip(), lines[j].lstrip()
-        if a != PROSE or b != PROSE or x[-1] in "|\x00" or HEAD.match(x) or OWN_LINE.match(y):
+        if a != PROSE or b != PROSE or CLOSED.search(x) or HEAD.match(x) or OWN_LINE.match(y):
             continue
-        # over a page end only a sentence that isn't over goes on
-        if j == i + 1 or GONE in lines[i + 1 : j] and not SENTENCE_END.search(x) and x[-1] != ":" and y[0].islower():
-            edits.append((starts[i] + len(x), starts[j] + len(lines[j]) - len(y), " "))
+        span = starts[i] + len(x), starts[j] + len(lines[j]) - len(y)
+        if markup:
+            between = s.source[slice(*span)]
+            # a tag for a break and the line end behind it are one break
+            goes_on = not structure(between) and len(re.findall(r"<br\s*/?>[ \t]*\n?|\n", "".join(between), re.I)) == 1
+        else:
+            # over a page end only a sentence that isn't over goes on
+            goes_on = j == i + 1 or GONE in lines[i + 1 : j] and not SENTENCE_END.search(x) and x[-1] != ":" and y[0].islower()
+        if goes_on:
+            edits.append((*span, " "))
     s.edit(edits)
-    s.edit([(m.start(), m.end(), "\n\n" if m.start() and m.end() < len(s.text) else "") for m in re.finditer(r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\Z|\n[ \t]*(?:\n[ \t]*)*\n", s.text)])
+    if not markup:
+        s.edit([(m.start(), m.end(), "\n\n" if m.start() and m.end() < len(s.text) else "") for m in re.finditer(r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\Z|\n[ \t]*(?:\n[ \t]*)*\n", s.text)])
 
 
 def repaired(field: str, value, spelled: dict[str, str], joined: set[str]) -> str:
     """The record as continuous paragraphs: no headers and page numbers, broken words whole, misread words as printed."""
-    s = seen(field, value)
+    if field == "html" and not spelled and not joined and "\n" not in value and not BREAK.search(value):
+        return value
+    s = seen_html(value) if field == "html" else seen(field, value)
     joined_words(s, joined)
     spelled_words(s, spelled)
-    paragraphs(s)
+    paragraphs(s, field == "html")
     return s.whole()
 
 
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field_name, rec_id, clean) of all bodies and checks that have noise."""
+    """(field_name, rec_id, clean) of all bodies, checks and blocks with some text; a block that is a header or a page number is empty."""
     b, c, h = inputs(spark, sf_dir)
-    found_words = noise(b, c, h).where("field_name <> 'html'")
-    by = found_words.groupBy("field_name", "rec_id").agg(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("kind", "word", "printed"))).alias("words"))
-    out = []
-    for df in (C.once(b, "rec_id").select("field_name", "rec_id", F.array("text").alias("texts")), C.once(c, "rec_id")):
+    hits = F.when(F.col("field_name") == "html", F.col("kind").isin("header", "pageno")) | F.col("word").isNotNull()
+    by = noise(b, c, h).groupBy("field_name", "rec_id").agg(F.collect_set(F.when(hits, F.struct("kind", "word", "printed"))).alias("words"))
+    html = C.record(h, "block_key", "html", "html")
+    out = None
+    for df in (C.once(b, "rec_id").withColumn("texts", F.array("text")), C.once(c, "rec_id"), C.once(html, "rec_id").withColumn("texts", F.array("text"))):
 
         def run(field, rec, texts, words):
+            if not any(texts):
+                return
+            words = words or []
             spelled = {w["word"]: w["printed"] for w in words if w["kind"] == "misread"}
             joined = {w["word"] for w in words if w["kind"] == "hyphen"}
-            yield field, rec, repaired(field, texts[0] if field == "body" else texts, spelled, joined)
+            dropped = field == "html" and any(w["kind"] in ("header", "pageno") for w in words)
+            yield field, rec, "" if dropped else repaired(field, texts if field == "texts" else texts[0], spelled, joined)
 
-        out.append(C.arrow_rows(df.join(by, ["field_name", "rec_id"]).select("field_name", "rec_id", "texts", "words"), run, "field_name string, rec_id bigint, clean string"))
-    return out[0].unionByName(out[1])
+        one = C.arrow_rows(df.join(by, ["field_name", "rec_id"], "left").select("field_name", "rec_id", "texts", "words"), run, "field_name string, rec_id bigint, clean string")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,23 @@ def test_scan_repair_keeps_code_and_formulas():
     assert scans.repaired("body", cut, {}, set()) == "The second shaft was measured by hand."
 
 
+def test_scan_repair_of_html():
+    fix = lambda x: scans.repaired("html", x, {"thc": "the", "va1ve": "valve"}, {"valves"})
+    assert fix("<p>A <b>va1ve</b> of thc&nbsp;quay, <i>va-</i><br/>\nlves &lt; 3<br/>and more.</p>") == "<p>A <b>valve</b> of the&nbsp;quay, <i>va</i>lves &lt; 3 and more.</p>"
+    assert fix('<p title="thc">Some va-</p>\n<p>lves and <code>thc</code></p><pre>thc\nva-\nlves</pre>') == '<p title="thc">Some valves and <code>thc</code></p><pre>thc\nva-\nlves</pre>'
+    assert fix("<ul><li>Some va-</li></ul><p>lves here</p>") == "<ul><li>Some valves</li></ul><p> here</p>"
+    assert fix("<p>thc<br/><br/>end</p>") == "<p>the<br/><br/>end</p>"
+
+
+def test_every_record_is_repaired(spark, tmp_path):
+    prose = "The valve was closed before noon\nand the gauge was read again."
+    blocks = [(k, 5, k, 0, "Text", None, "<p>Upper shaft report</p>") for k in range(3)] + [(9, 5, 0, 1, "Text", None, "<p>The gauge was read<br/>\nby hand.</p>"), (10, 5, 1, 1, "Text", None, "<p>plain</p>")]
+    folder = save(spark, tmp_path, ocr_results=[(1, None, None, prose), (2, None, None, "plain")], ocr_error_checks=[(3, 1, ["The gauge was\nread.", None])], block_outputs=blocks + blocks)
+    got = [tuple(r) for r in scans.repair(spark, folder).collect()]
+    clean = {("body", 1, prose.replace("\n", " ")), ("body", 2, "plain"), ("texts", 3, "The gauge was read."), ("html", 9, "<p>The gauge was read by hand.</p>"), ("html", 10, "<p>plain</p>")}
+    assert len(got) == 8 and set(got) == clean | {("html", k, "") for k in range(3)}
+
+
 @pytest.mark.parametrize("kind", ["text", "html"])
 def test_splitting(kind):
     random.seed(2)
