@@ -3,7 +3,8 @@
 A public vocabulary gives each record its fertility: characters per token, share of byte-fallback tokens and token
 entropy. A record of n tokens of which half or more repeat earlier ones has at most n/2 kinds of token, so its entropy
 stays at least one bit under log2(n): that is the rejection band, the same necessary condition for every script, with
-bands per script for characters per token and byte fallback beside it. Records in the band are then measured exactly.
+bands per script for characters per token and byte fallback beside it. Records in the band are then measured exactly;
+where every record's share is asked for, all are.
 
 Null or empty texts give no row. A record without any word has share 0. Repeated deliveries of a record give one row.
 """
@@ -68,10 +69,13 @@ def repeated_share(units: list[str], lines: list[int], phrase: int = PHRASE) ->
 
 
 def script_of(text: str) -> str:
-    head = [c for c in text if c.isalpha()][:400]
-    cyr = sum("Ѐ" <= c <= "ԯ" for c in head)
-    lat = sum(c < "ɐ" for c in head)
-    return "other" if not head or max(cyr, lat) * 2 < len(head) else "cyrillic" if cyr > lat else "latin"
+    cyr = lat = letters = 0
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            letters += n
+            cyr += n * ("Ѐ" <= c <= "ԯ")
+            lat += n * (c < "ɐ")
+    return "other" if not letters or max(cyr, lat) * 2 < letters else "cyrillic" if cyr > lat else "latin"
 
 
 class Fertility:
@@ -124,11 +128,14 @@ def measured(field: str, rec: int, value, fertility: Fertility, share: float, ev
         return
     total, cpt, back, h = fertility.measure(units)
     deficit = log2(total) - h if total else 0.0
-    script = script_of(whole[:2000])
+    script = script_of(whole)
     low, high, most = BANDS[script]
     band = "repeats" if deficit >= 2 * share * DEFICIT else "odd" if not low <= cpt <= high or back > most else "ordinary"
     part = 0.0
-    if band == "repeats":
+    # the bands and the bound are made for `share`; the exact share of a record doesn't ask for them
+    if everything:
+        part = repeated_share(units, lines)
+    elif band == "repeats":
         n = len(units)
         grams = n - PHRASE + 1
         fresh = len(set(zip(*(units[i:] for i in range(PHRASE))))) if grams > 0 else 0

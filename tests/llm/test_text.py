@@ -81,6 +81,15 @@ def brute_share(text):
     return len(covered) / len(words)
 
 
+def test_share_of_every_record(spark):
+    one = "the upper valve leaks north of pier two the upper valve leaks"
+    two = " ".join(SENTENCES) + " " + SENTENCES[0]
+    mixed = "Latin words " * 250 + "и много русских слов подряд " * 400
+    got = {r.rec_id: r for r in repetition.repetition(body(spark, one, two, mixed, "no word again")).collect()}
+    assert [round(got[i].repeated_share, 6) for i in (0, 1, 3)] == [round(brute_share(x), 6) for x in (one, two, "no word again")]
+    assert got[0].repeated_share > 0.3 and got[1].repeated_share > 0.1 and got[2].script == "cyrillic"
+
+
 def test_repetition(spark):
     once = " ".join(SENTENCES)
     texts = [once, once + "\n" + once.upper() + "\n" + once, "\n".join(f"{k} - {SENTENCES[0]}" for k in range(9)), "| 1 | 2 | 3 |\n" * 20, SENTENCES[0]]
