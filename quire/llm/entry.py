@@ -13,6 +13,7 @@ def queries():
         "p3_clean": markup.clean,
         "p4_found": lookalikes.found,
         "p4_tokens": lookalikes.tokens,
+        "p4_clean": lookalikes.clean,
         "p5_found": scans.found,
         "p5_repair": scans.repair,
         "p6_found": splitting.found,

@@ -173,6 +173,16 @@ def test_lookalikes(spark):
     assert by[1] == {"vаlve": "valve"} and by[2] == {"ｖａｌｖｅ": "valve"} and by[4] == {"\u00a0": " "} and by[8] == {"нacoс": "насос"}
 
 
+def test_one_form(spark):
+    plain = "The valve was near the café, and the upper valve was closed (again)."
+    other = "The v\u0430lve was near\u00a0the cafe\u0301, and the upper ｖａｌｖｅ was clo\u00adsed (ag\u0430in)."
+    bodies = body(spark, plain, other, *[plain] * 3)
+    blocks = bodies.select(F.lit("html").alias("field_name"), "rec_id", F.concat(F.lit("<p class='v\u0430lve'>1 &lt; 2, &#1072;gain <b>"), F.regexp_replace("text", "\u00a0", "&nbsp;"), F.lit("</b></p>")).alias("text"))
+    got = {(r.field_name, r.rec_id): r.clean for r in lookalikes.normalized([("body", bodies), ("html", blocks)]).collect()}
+    assert len(got) == 10 and {v for (f, _), v in got.items() if f == "body"} == {plain}
+    assert {v for (f, _), v in got.items() if f == "html"} == {f"<p class='v\u0430lve'>1 &lt; 2, again <b>{plain}</b></p>"}
+
+
 def test_scans(spark):
     prose = "The valve was closed before noon and the gauge was read again by hand.\nNobody measured the second shaft after the storm had passed over it.\n"
     pages = [f"Old quay of the river | {40 + k}\nPage of {w} text\nand the {w} gauge goes on\nto its end." for k, w in enumerate(["upper", "second", "storm", "shaft"])]
