@@ -36,6 +36,10 @@ DIGIT = re.compile(r"\d")
 NOTHING = (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 FENCE = re.compile(r"\s*(?:```|~~~)")
 PROSE, LIST, TABLE, JUNK = 0, 1, 2, 3
+#: Share of lines at a regular indent, or autocorrelation of line lengths, from which unmarked lines are a list, if as many break early.
+EARLY = 0.4
+PERIODIC = 0.5
+REGULAR = 0.5
 KINDS = ("prose", "list", "table", "junk")
 
 
@@ -123,6 +127,42 @@ def periodicity(indents: list[int]) -> float:
     return sum(i % step == 0 for i in some) / len(indents)
 
 
+def runs(lines: list[str], kinds: list[int], ends: list[bool]) -> list[tuple[int, int]]:
+    """[i, j) of the longest runs of lines without mark, heading or sentence end."""
+    out, i, n = [], 0, len(lines)
+    while i < n:
+        j = i
+        while j < n and kinds[j] == PROSE and not ends[j] and not HEAD.match(lines[j]):
+            j += 1
+        if j > i:
+            out.append((i, j))
+        i = max(j, i + 1)
+    return out
+
+
+def figures(lines: list[str]) -> bool:
+    """Numbers are half or more of the words of most lines, and about as many in each."""
+    n = len(lines)
+    if sum(bool(DIGIT.search(x)) for x in lines) < 0.75 * n:
+        return False
+    rows = [x.split() for x in lines]
+    numbers = [sum(bool(NUMBER.match(w)) and w[-1] not in ".," for w in r) for r in rows]
+    return min(map(len, rows)) >= 3 and sum(2 * k >= len(r) and k >= 2 for k, r in zip(numbers, rows)) >= 0.75 * n and max(numbers) - min(numbers) <= 1
+
+
+def regular(lines: list[str]) -> bool:
+    """Lines broken early whose indents come back or whose lengths repeat; wrapping breaks next to none early."""
+    n = len(lines)
+    lengths = [len(x) for x in lines]
+    own = max(lengths)
+    early = sum(len(a) + 1 + len(b.split(None, 1)[0]) <= own for a, b in zip(lines, lines[1:]))
+    starts = sum(x.lstrip()[:1].isupper() for x in lines)
+    if early < EARLY * (n - 1) or 0.2 * n < starts < 0.8 * n:
+        return False
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    return len(set(indents)) > 1 and periodicity(indents) >= PERIODIC or correlation(lengths) >= REGULAR
+
+
 def line_kinds(lines: list[str], measures: bool = True) -> tuple[list[int], dict]:
     """Kinds of the non-blank lines, and the layout measures of the text if they are asked for."""
     n = len(lines)
@@ -142,6 +182,10 @@ def line_kinds(lines: list[str], measures: bool = True) -> tuple[list[int], dict
                 short = sum(len(c.split()) <= 7 for c in cells)
                 if short >= 0.7 * len(cells) and junk_share(line.replace(d, " ")) < 0.5:
                     kinds[i] = TABLE
+    # rows of figures without a delimiter
+    for i, j in runs(lines, kinds, ends):
+        if j - i >= 3 and figures(lines[i:j]):
+            kinds[i:j] = [TABLE] * (j - i)
     listish = []
     for i, line in enumerate(lines):
         if kinds[i] == TABLE:
@@ -180,6 +224,10 @@ def line_kinds(lines: list[str], measures: bool = True) -> tuple[list[int], dict
                 for k in range(i, j):
                     kinds[k] = LIST
         i = max(j, i + 1)
+    # indents that come back, line lengths that repeat
+    for i, j in runs(lines, kinds, ends):
+        if j - i >= 4 and regular(lines[i:j]):
+            kinds[i:j] = [LIST] * (j - i)
     if not measures:
         return kinds, {}
     layout = {

@@ -101,6 +101,24 @@ def test_repetition(spark):
     assert out[0].chars_per_token > 2 and out[0].token_entropy > 3
 
 
+LONG_ITEM = "removal of the worn upper valve and the gauge beside it before"
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("\n".join("  " * (k % 3) + f"{LONG_ITEM} {w}" for k, w in enumerate(["noon", "the next storm came", "dusk", "a winter", "the river rose again", "it"])), "list"),
+        ("\n".join(LONG_ITEM + (" the long survey of the second quay" if k % 2 else " it") for k in range(10)), "list"),
+        ("valve 12 3,5 7\ngauge 4 18,5 9\nshaft 33 2,5 1\nquay 8 41 22", "table"),
+        ("Valve, 12, 14, 17\nOld shaft, 140, 150, 160\nThe quay, 7, 9, 10\nGauge, 33, 38, 40", "list"),
+        ("\n".join("  " * (k % 3) + s for k, s in enumerate(SENTENCES)), "prose"),
+        ("the men who carried the old gauge to the river came back before the\nstorm had passed over the second shaft and the upper valve was then\nclosed by hand so that nobody had to measure the quay again while the\nledger of the year hung in the hall beside a drawing of the old pump", "prose"),
+    ],
+)
+def test_kind_by_layout(text, kind):
+    assert quality.judged(text, frozenset(["the"]), False)[0] == kind
+
+
 @pytest.mark.parametrize(
     "text, kind",
     [
