@@ -217,9 +217,6 @@ def body_lines(text: str) -> tuple[list[str], list[tuple[int, int, str, str]], b
         if len(lines[i]) <= 130 and not NOT_EDGE.match(lines[i]) and (i == 0 or not lines[i - 1].strip() or i + 1 >= len(lines) or not lines[i + 1].strip()):
             k = order[i]
             out.append((i, k, lines[i], lines[filled[k + 1]] if k + 1 < len(filled) else ""))
-    keys = [key_of(x) for _, _, x, _ in out]
-    if len(filled) > 6 and len({lines[i].strip() for i in filled}) < 0.6 * len(filled):
-        return lines, [], False  # a text that repeats itself has no pages to tell
     return lines, out, False
 
 

@@ -213,6 +213,16 @@ def test_scans(spark):
     assert got == {("body", 0, "hyphen"), ("body", 1, "misread"), ("texts", 9, "header"), ("texts", 9, "pageno")} | {("html", k, "header") for k in range(3)} | {("html", k + 10, "pageno") for k in range(3)}
 
 
+def test_header_of_short_pages():
+    leads = ["Upper", "Second", "Old", "Worn", "Late", "Dry", "Cold", "Last"]
+    pages = "\n\n".join(f"Ledger of the old quay\n\n{w} valves were closed before noon." for w in leads)
+    lines, found, paged = scans.body_lines(pages)
+    headers, _ = scans.edges(found, paged)
+    assert {lines[i] for i in headers} == {"Ledger of the old quay"} and len(headers) == 8
+    lines, found, paged = scans.body_lines("\n\n".join(["Ledger of the old quay", "The valves were closed before noon."] * 8))
+    assert scans.edges(found, paged)[0] == set()
+
+
 def test_scan_repair():
     pages = [f"Old quay | {k}\nLine {chr(97 + k) * 3} goes on\nto the end of {chr(97 + k) * 4} va-\nlves here." for k in range(3)]
     text = scans.repaired("texts", pages, {"thc": "the"}, {"valves"})
