@@ -5,27 +5,32 @@ together); page numbers are the numbers there that follow the pages. Words broke
 the corpus vocabulary has the joined word; misread words are rare spellings of which another reading of their
 characters is a frequent word of the corpus.
 
-Vocabulary and misread spellings stay distributed. Only the VOCABULARY_BOUND most frequent words go along with the tasks, and
-only to skip words that need no look-up; all others are joined. Null and empty texts give no row, junk lines no misread
-words. Repeated deliveries of a record give one row.
+The vocabulary is counted inside the JVM; one kernel pass over the records then finds what they show by themselves and the
+words to look up. Vocabulary and misread spellings stay distributed. Only the VOCABULARY_BOUND most frequent words go along
+with the tasks, and only to skip words that need no look-up; all others are joined. A page edge is its first and last two
+filled lines (of blocks: three short and three long ones), however long they are. Null and empty texts give no row, junk
+lines no misread words. Repeated deliveries of a record give one row.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common as C
-from quire.llm.markup import BLOCK_TAG, FENCED, FORMULA, INLINE_CODE, TAG, blanked, visible
+from quire.llm.markup import BLOCK_TAG, FENCED, FORMULA, INLINE_CODE, TAG, blanked
 from quire.llm.quality import HEAD, PROSE, SENTENCE_END, SUSPECT, junk_share, line_kinds
 
-CANDIDATES = "field_name string, rec_id bigint, kind string, word string, other string"
+CANDIDATES = "field_name string, rec_id bigint, kind string, word string, other string, n bigint"
+#: Characters from which a line counts as long: it is compared with others word by word.
+LONG_LINE = 130
 PAGES = 3
 EDGE = 3
 #: Signs a letter is read as, and the letters they may stand for (fixed values).
@@ -60,7 +65,9 @@ WITH = [
 SURE = {"word", "of", "dash"}
 
 
-DIGIT = re.compile(r"\d|^\W*[ivxlcIVXLC]{1,7}(?:\W|$)|(?:\s{2}|[|•·\t]\s*)[ivxlc]{1,7}$")
+DIGIT = re.compile(r"\d")
+ROMAN_ALONE = re.compile(r"[—–-]?\s*(?:[ivxlc]{1,7}|[IVXLC]{1,7})\s*[—–.-]?")
+ANY_ALONE = re.compile("|".join(f"(?:{rule.pattern})" for _, rule in ALONE), re.I)
 
 
 def number(text: str) -> int:
@@ -77,13 +84,15 @@ def number(text: str) -> int:
 def parsed(line: str) -> tuple[str, int | None, str]:
     """(key of the text beside a page number, number, form)."""
     line = line.strip()
-    if not DIGIT.search(line):
-        return key_of(line), None, ""
-    for form, rule in ALONE if len(line) < 40 else ():
-        if m := rule.match(line):
-            return "", number(m[1]), form
-    for form, rule in WITH:
-        if (m := rule.match(line)) and not re.search(r"\s{2,}|\t|\|", m["rest"].strip("| ")):
+    if not line:
+        return "", None, ""
+    if len(line) < 40 and (DIGIT.search(line) or ROMAN_ALONE.fullmatch(line)) and ANY_ALONE.match(line):
+        for form, rule in ALONE:
+            if m := rule.match(line):
+                return "", number(m[1]), form
+    first, last = line[0].isdigit() or line[0] in "ivxlc", line[-1].isdigit() or line[-1] in "ivxlc"
+    for form, rule in WITH if first or last else ():
+        if (first if form == "left" else last) and (m := rule.match(line)) and not re.search(r"\s{2,}|\t|\|", m["rest"].strip("| ")):
             return key_of(m["rest"]), number(m[1] if form == "left" else m[2]), form
     return key_of(line), None, ""
 
@@ -97,7 +106,7 @@ def like(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)) or min(len(a), len(b)) < 5:
         return False
-    s = SequenceMatcher(None, a, b, autojunk=False)
+    s = SequenceMatcher(None, a, b, autojunk=False) if len(a) <= LONG_LINE else SequenceMatcher(None, a.split(), b.split(), autojunk=False)
     return s.quick_ratio() >= 0.85 and s.ratio() >= 0.85
 
 
@@ -106,7 +115,12 @@ def edges(lines: list[tuple[int, int, str, str]], paged: bool) -> tuple[set[int]
 
     paged: page is the page of the line; otherwise lines count in their order.
     """
-    read = [(i, page, *parsed(text), "" if parsed(after)[1] is not None else key_of(after)[:60]) for i, page, text, after in lines]
+    known: dict[str, tuple] = {"": ("", None, "")}
+    for _, _, text, after in lines:
+        for x in (text, after):
+            if x not in known:
+                known[x] = parsed(x)
+    read = [(i, page, *known[text], "" if known[after][1] is not None else known[after][0]) for i, page, text, after in lines]
     headers: set[int] = set()
     numbers: set[int] = set()
     # groups of nearly equal keys
@@ -144,29 +158,37 @@ def edges(lines: list[tuple[int, int, str, str]], paged: bool) -> tuple[set[int]
         """At most half of the copies read like sentences."""
         return 2 * sum(sentence(text_of[r[0]]) for r in g) <= len(g)
 
-    merged = [g for g in merged if titles(g)]
     rest = []
     for g in merged:
         if len(pages_of(g)) >= PAGES:
-            if varied(g):
+            if titles(g) and varied(g):
                 headers.update(r[0] for r in g)
         elif len(g) <= 2:
             rest.append(g)
     # left and right pages: two lines in turn, three pages together
-    twice = [g for g in rest if len(pages_of(g)) == 2 and varied(g)]
-    for g in twice:
-        low, high = sorted(pages_of(g))
-        if paged and high - low != 2:
-            continue
-        for other in rest:
-            if other is g or not varied(other):
-                continue
-            theirs = sorted(pages_of(other))
-            if (len(theirs) == 2 and paged and theirs[1] - theirs[0] == 2 and abs(theirs[0] - low) == 1) or (len(theirs) == 2 and not paged and (low < theirs[0] < high < theirs[1] or theirs[0] < low < theirs[1] < high)) or (
-                paged and len(theirs) == 1 and theirs[0] == low + 1 and titled(other[0], lines)
-            ):
+    rest = [(sorted(pages_of(g)), g) for g in rest]
+    twice = [(own, g) for own, g in rest if len(own) == 2 and titles(g) and varied(g)]
+    if paged:
+        turns: dict[int, list] = defaultdict(list)
+        between: dict[int, list] = defaultdict(list)
+        for own, g in twice:
+            if own[1] - own[0] == 2:
+                turns[own[0]].append(g)
+        for own, g in rest if turns else ():
+            if len(own) == 1:
+                between[own[0]].append(g)
+        for low, those in turns.items():
+            partners = turns.get(low + 1, []) + [g for g in between.get(low + 1, ()) if titles(g) and varied(g) and titled(text_of[g[0][0]])]
+            for g in those + partners if partners else ():
                 headers.update(r[0] for r in g)
-                headers.update(r[0] for r in other)
+    else:
+        # two lines in turn cross each other: low < other low < high < other high
+        twice.sort(key=lambda x: x[0])
+        lows = [own[0] for own, _ in twice]
+        for k, (own, g) in enumerate(twice):
+            crossed = [o for o in range(k + 1, bisect_left(lows, own[1])) if lows[o] > own[0] and twice[o][0][1] > own[1]]
+            for o in [k, *crossed] if crossed else ():
+                headers.update(r[0] for r in twice[o][1])
     by_form: dict[str, list] = defaultdict(list)
     for r in read:
         if r[3] is not None and (not r[2] or r[0] in headers or r[4] == "tail"):
@@ -189,8 +211,7 @@ def sentence(line: str) -> bool:
     return bool(re.search(r"[.!?;:,]$", line)) and sum(w[0].isupper() for w in words) < 0.5 * len(words)
 
 
-def titled(r: tuple, lines: list) -> bool:
-    text = next(t for i, _, t, _ in lines if i == r[0]).strip()
+def titled(text: str) -> bool:
     letters = [c for c in text if c.isalpha()]
     return bool(re.search(r"\d{4}$", text)) or all(c.isupper() for c in letters) or len(text.split()) <= 10 and text[:1].isupper() and not re.search(r"[.,;:-]$", text)
 
@@ -209,30 +230,32 @@ def body_lines(text: str) -> tuple[list[str], list[tuple[int, int, str, str]], b
         for page, (a, b) in enumerate(zip(bounds, bounds[1:])):
             own = [i for i in range(a + 1, b) if lines[i].strip()]
             for k, i in enumerate(own):
-                if (k < 2 or k >= len(own) - 2) and len(lines[i]) <= 130 and not NOT_EDGE.match(lines[i]):
+                if (k < 2 or k >= len(own) - 2) and not NOT_EDGE.match(lines[i]):
                     out.append((i, page, lines[i], lines[own[k + 1]] if k + 1 < len(own) else ""))
         return lines, out, True
     order = {i: k for k, i in enumerate(filled)}
     for i in filled:
-        if len(lines[i]) <= 130 and not NOT_EDGE.match(lines[i]) and (i == 0 or not lines[i - 1].strip() or i + 1 >= len(lines) or not lines[i + 1].strip()):
+        if not NOT_EDGE.match(lines[i]) and (i == 0 or not lines[i - 1].strip() or i + 1 >= len(lines) or not lines[i + 1].strip()):
             k = order[i]
             out.append((i, k, lines[i], lines[filled[k + 1]] if k + 1 < len(filled) else ""))
     return lines, out, False
 
 
 def text_lines(texts: list) -> tuple[list[list[str]], list[tuple[int, int, str, str]]]:
-    """Lines of the pages of a check, and the candidates; the id of a line is page * 100000 + line."""
+    """Lines of the pages of a check, and the candidates; the id of a line is its place among the lines of all pages."""
     pages = [(t or "").split("\n") for t in texts]
     out = []
+    start = 0
     for page, lines in enumerate(pages):
         own = [i for i, x in enumerate(lines) if x.strip()]
         for k, i in enumerate(own):
-            if (k < 2 or k >= len(own) - 2) and len(lines[i]) <= 130:
-                out.append((page * 100_000 + i, page, lines[i], lines[own[k + 1]] if k + 1 < len(own) else ""))
+            if k < 2 or k >= len(own) - 2:
+                out.append((start + i, page, lines[i], lines[own[k + 1]] if k + 1 < len(own) else ""))
+        start += len(lines)
     return pages, out
 
 
-RESIDUE = re.compile(r"&(?:amp;)*lt;/?[A-Za-z][^<>\n]{0,80}?&(?:amp;)*gt;|</?[A-Za-z][^<>\n]*>|\{\|[^\n]*|~?\\[A-Za-z]+(?:\{[\w:.-]*\})?|&[a-z]+;|\]\([^()\s]*\)|\{\{[^{}\n]*\}\}|[A-Z]:\\\S+|\S*@\S*\.\S+", re.M)
+RESIDUE = re.compile(r"&(?:amp;)*lt;/?[A-Za-z][^<>\n]{0,80}?&(?:amp;)*gt;|</?[A-Za-z][^<>\n]*>|\{\|[^\n]*|~?\\[A-Za-z]+(?:\{[\w:.-]*\})?|&[a-z]+;|\]\([^()\s]*\)|\{\{[^{}\n]*\}\}|[A-Z]:\\\S+|(?<!\S)\S*@\S*\.\S+", re.M)
 
 
 UNSEEN = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -272,9 +295,10 @@ def kept(field: str, value) -> tuple[str, set[str]]:
         pages, cand = text_lines(value)
         headers, numbers = edges(cand, True)
         gone = headers | numbers
-        text = "\n".join("\n".join(x for i, x in enumerate(lines) if page * 100_000 + i not in gone) for page, lines in enumerate(pages))
+        lines = [x for page in pages for x in page]
+        text = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else "\n".join(lines)
     else:
-        return visible(value), has
+        return htmllib.unescape(value) if "&" in value else value, has
     if headers:
         has.add("header")
     if numbers:
@@ -282,41 +306,76 @@ def kept(field: str, value) -> tuple[str, set[str]]:
     return text, has
 
 
-def plain_words(field: str):
-    """Words of a text for the vocabulary: lower case, signs inside of words kept, halves of broken words left out."""
+#: What a text is read as for the vocabulary, in one pass of the JVM: a word that no hyphen at a line end follows, or, with
+#: nothing in the group, both halves of a broken word or a piece of foreign markup.
+J_UNSEEN = "​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+J_WORD = (
+    rf"([\p{{L}}\p{{Nl}}\p{{No}}{J_UNSEEN}]{{3,}}+(?![ \t]?[-¬­‐][ \t]*\n))|[\p{{L}}\p{{Nl}}\p{{No}}]++[ \t]?[-¬­‐][ \t]*\n(?:[ \t]*\n)*[ \t]*[\p{{L}}\p{{Nl}}\p{{No}}]{{2,}}+"
+    r"|&(?:amp;)*lt;/?[A-Za-z][^<>\n]{0,80}?&(?:amp;)*gt;|</?[A-Za-z][^<>\n]*>|\{\|[^\n]*|\\[A-Za-z]+(?:\{[\p{L}\p{N}_:.-]*\})?|&[a-z]+;|\]\([^()\s]*\)|\{\{[^{}\n]*\}\}|[A-Z]:\\\S+"
+)
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+OTHER_ENTITY = r"&(?!(?:amp|lt|gt|quot|nbsp|#39);)"
+
 
-    def words(text: str):
-        if field == "html":
-            text = visible(text)
-        text = without_marks(text)
-        low = readable(BROKEN.sub(" ", text) if HYPHEN.search(text) else text).lower()
-        out = LONG.findall(low)
-        if SIGN.search(low):
-            out += [w for w in MIXED.findall(low) if len(w) > 2 and not w.isalpha()]
-        return out
+def where_it_shows(text: Column, hint: str, pattern: str, new: str) -> Column:
+    return F.when(text.rlike(hint), F.regexp_replace(text, pattern, new)).otherwise(text)
 
-    return words
+
+def without_tags(html: Column) -> Column:
+    """The text of a block with its entities as they stand: code and formulas blanked, blocks on lines of their own."""
+    text = where_it_shows(html, "<(?:pre|math|code)", r"(?is)<(pre|math|code)\b[^>]*>.*?</\1>", "\u0000")
+    text = F.regexp_replace(text, r"(?i)</?(?:p|li|ul|ol|table|tr|div|h[1-6]|content-ref)\b[^<>]*>|<br\s*/?>", "\n")
+    return F.btrim(where_it_shows(text, "</?[A-Za-z]", r"</?[A-Za-z][^<>]*>", ""), F.lit("\n"))
+
+
+def vocabulary(texts: DataFrame, html: DataFrame) -> DataFrame:
+    """(word, n): words of three or more letters in lower case, halves of broken words and foreign markup left out.
+
+    texts and html hold one column `text`; that of html comes from without_tags. All of it stays inside the JVM, except for
+    blocks with entities that only a table can read.
+    """
+    plain = html.where(~F.col("text").rlike(OTHER_ENTITY))
+    read = F.col("text")
+    for entity, sign in ENTITIES:
+        read = F.replace(read, F.lit(entity), F.lit(sign))
+    plain = plain.select(F.when(F.col("text").contains("&"), read).otherwise(F.col("text")).alias("text"))
+    rest = C.arrow_rows(html.where(F.col("text").rlike(OTHER_ENTITY)).select("text"), lambda text: [(htmllib.unescape(text),)], "text string")
+    every = texts.select("text").unionByName(plain).unionByName(rest)
+    raw = every.select(F.explode(F.regexp_extract_all("text", F.lit(J_WORD), 1)).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    # case and invisible signs are taken off the kinds of words, not off the text
+    word = F.lower(F.translate("word", J_UNSEEN, ""))
+    return raw.select(word.alias("word"), "n").where(F.length("word") >= 3).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 SIGN = re.compile(r"[^\W\d_][0-9@!+|$€]|[0-9@!+|$€][^\W\d_]")
 
 
-def readings(word: str) -> set[str]:
-    """Words that may have been printed where this one was read."""
-    at = [i for i, c in enumerate(word) if c in SIGNS]
-    if len(at) > 4:
-        return set()
-    bases = {""}
+#: Words of more signs, readings or letters than these are compared with the vocabulary instead of being spelled out.
+MOST_SIGNS, MOST_READINGS, MOST_PLACES, MOST_LETTERS = 4, 64, 4, 40
+
+
+def options_of(word: str) -> list[str]:
+    """Of each character of the word the letters it may stand for."""
     cyr = any("а" <= c <= "я" or c == "ё" for c in word)
-    for c in word:
-        options = [x for x in SIGNS[c] if ("а" <= x <= "я" or x == "і") == cyr] if c in SIGNS else [c]
+    return ["".join(x for x in SIGNS[c] if ("а" <= x <= "я" or x == "і") == cyr) if c in SIGNS else c for c in word]
+
+
+def readings(word: str) -> set[str] | None:
+    """Words that may have been printed where this one was read: letters for its signs, and in any places one kind of
+    letters read for others. None if they are too many to be spelled out."""
+    if sum(c in SIGNS for c in word) > MOST_SIGNS or len(word) > MOST_LETTERS:
+        return None
+    bases = {""}
+    for options in options_of(word):
         bases = {b + x for b in bases for x in options}
-        if len(bases) > 64:
-            return set()
-    out = set(bases) if at else set()
+        if len(bases) > MOST_READINGS:
+            return None
+    out = {b for b in bases if b != word}
     for base in bases:
         for read, printed in LETTERS:
-            places = [m.start() for m in re.finditer(f"(?={read})", base)][:4]
+            places = [m.start() for m in re.finditer(f"(?={read})", base)]
+            if len(places) > MOST_PLACES:
+                return None
             for k in range(1, len(places) + 1):
                 for some in combinations(places, k):
                     if any(b - a < len(read) for a, b in zip(some, some[1:])):
@@ -332,22 +391,81 @@ def readings(word: str) -> set[str]:
     return out
 
 
+def reads_as(word: str, printed: str) -> bool:
+    """printed is among the readings of word, found by walking both."""
+    if word == printed:
+        return False
+    if word[-1:] in "!+|" and len(word) > 3 and word[:-1] == printed:
+        return True
+    options = options_of(word)
+    n = len(word)
+    for read, new in [("", ""), *LETTERS]:
+        # places in printed that can be reached with the first i characters of the word
+        at: list[set[int]] = [set() for _ in range(n + len(read) + 1)]
+        at[0].add(0)
+        for i in range(n):
+            for j in at[i]:
+                if j < len(printed) and printed[j] in options[i]:
+                    at[i + 1].add(j + 1)
+                if read and i + len(read) <= n and printed.startswith(new, j) and all(c in options[i + k] for k, c in enumerate(read)):
+                    at[i + len(read)].add(j + len(new))
+        if len(printed) in at[n]:
+            return True
+    return False
+
+
+#: Letters that look like two others, and one letter for all that may stand for each other: equal for a word and its readings.
+WIDE = {printed: read for read, printed in LETTERS if len(read) == 2}
+
+
+def classes() -> dict[str, str]:
+    parent: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    for a, b in [(sign, c) for sign, those in SIGNS.items() for c in those] + [(a, b) for a, b in LETTERS if len(a) == len(b) == 1]:
+        for c in WIDE.get(b, b):
+            parent[top(c)] = top(a)
+    return {c: top(c) for c in list(parent)}
+
+
+CLASS = classes()
+RUN = re.compile(r"(.)\1+", re.S)
+
+
+def shape(word: str) -> str:
+    return RUN.sub(r"\1", "".join(CLASS.get(c, c) for x in word for c in WIDE.get(x, x)))
+
+
 ROMAN = re.compile(r"[ivxlcdmw]+")
 
 
-def misreadings(words: DataFrame, ratio: int = RATIO, least: int = LEAST) -> DataFrame:
-    """(word, printed): spellings of the vocabulary words (word, n) that are another, far more frequent word misread."""
+def misreadings(words: DataFrame, there: DataFrame, ratio: int = RATIO, least: int = LEAST) -> DataFrame:
+    """(word, printed): those of `words` (word, n) that are a far more frequent word of `there` (word, n) misread."""
 
     def run(word, n):
         alpha = word.isalpha()
-        if (3 if alpha else 2) < len(word) <= 40:
-            for r in readings(word):
-                if r.isalpha() and not ROMAN.fullmatch(r):
-                    yield word, r, n * (ratio if alpha else 2), alpha
-
-    asked = C.arrow_rows(words.select("word", "n"), run, "word string, printed string, most bigint, alpha boolean")
-    there = words.select(F.col("word").alias("printed"), F.col("n").alias("there"))
-    hit = asked.join(there, "printed").where((F.col("there") >= F.col("most")) & (F.col("there") >= least))
+        if len(word) > (3 if alpha else 2):
+            most = n * (ratio if alpha else 2)
+            if (some := readings(word)) is None:
+                for key in {shape(word), shape(word[:-1])}:
+                    yield word, None, key, most
+            else:
+                for r in some:
+                    if r.isalpha() and not ROMAN.fullmatch(r):
+                        yield word, r, None, most
+
+    asked = C.cut(C.arrow_rows(words.select("word", "n"), run, "word string, printed string, shape string, most bigint"))
+    frequent = there.where(F.col("n") >= least).select(F.col("word").alias("printed"), F.col("n").alias("there"))
+    hit = asked.where("printed is not null").drop("shape").join(frequent, "printed")
+    # words of too many readings meet the frequent words of their shape, and are compared with each
+    shaped = C.arrow_rows(frequent, lambda printed, n: [(printed, n, shape(printed))], "printed string, there bigint, shape string")
+    pairs = asked.where("printed is null").drop("printed").join(shaped, "shape").where("there >= most").select("word", "printed", "most", "there").distinct()
+    kept = C.arrow_rows(pairs, lambda word, printed, most, n: [(printed, word, most, n)] if printed.isalpha() and not ROMAN.fullmatch(printed) and reads_as(word, printed) else [], "printed string, word string, most bigint, there bigint")
+    hit = hit.unionByName(kept).where(F.col("there") >= F.col("most"))
     best = hit.groupBy("word").agg(F.max(F.struct("there", "printed")).alias("best"))
     # a word and its own exclamation or plus sign aren't one misread
     return best.select("word", F.col("best.printed").alias("printed")).where("not (length(word) = length(printed) + 1 and startswith(word, printed))")
@@ -360,12 +478,15 @@ def common_words(words: DataFrame, wrong: DataFrame, bound: int = C.VOCABULARY_B
 
 
 def candidates(records: DataFrame, field: str, known) -> DataFrame:
-    """Kinds that the record shows by itself, and words to be looked up: (field_name, rec_id, kind, word, other)."""
+    """Kinds that the record shows by itself, and words to be looked up: (field_name, rec_id, kind, word, other, n).
+
+    n counts a word with signs in it, which the vocabulary doesn't hold. The text of html comes from without_tags.
+    """
 
     def run(field_name, rec, value, known):
         text, has = kept(field, value)
         for kind in sorted(has):
-            yield field_name, rec, kind, None, None
+            yield field_name, rec, kind, None, None, None
         text = UNSEEN.sub("", text) if UNSEEN.search(text) else text
         low = text.lower()
         for m in BROKEN.finditer(text) if HYPHEN.search(text) else ():
@@ -375,43 +496,38 @@ def candidates(records: DataFrame, field: str, known) -> DataFrame:
             # without the whole word in the vocabulary only a plain hyphen in a readable line counts
             start = text.rfind("\n", 0, m.start()) + 1
             plain = sign == "-" and junk_share(text[start : m.start(2)]) < 0.4
-            yield field_name, rec, "hyphen", (a + b).lower(), b.lower() if plain else None
+            yield field_name, rec, "hyphen", (a + b).lower(), b.lower() if plain else None, None
         low = without_marks(low)
         odd = set(LONG.findall(low)) - known
-        if SIGN.search(low):
-            odd |= {w for w in MIXED.findall(low) if len(w) > 2 and not w.isalpha()}
-        if odd:
-            lines = low.split("\n")
-            bad = [x for x in lines if x.strip() and junk_share(x) > 0.5]
-            if bad:
-                low = "\n".join(x for x in lines if x not in set(bad))
-                odd = {w for w in odd if w in low}
+        signed = bool(SIGN.search(low))
+        if odd or signed:
+            low = readable(low)
+            odd = {w for w in odd if w in low}
             for w in odd:
-                yield field_name, rec, "misread", w, None
+                yield field_name, rec, "misread", w, None, None
+            if signed:
+                for w, n in Counter(w for w in MIXED.findall(low) if len(w) > 2 and not w.isalpha()).items():
+                    yield field_name, rec, "misread", w, None, n
 
     return C.arrow_rows(C.narrow(records), run, CANDIDATES, lambda: (known.value,))
 
 
 def block_edges(blocks: DataFrame) -> DataFrame:
     """Headers and page numbers among the blocks of a result, by the edges of its pages."""
-    short = blocks.where(F.col("block_type").isin("Text", "TextInlineMath", "Caption", "Footnote") & (F.length("html") < 260) & ~F.col("html").rlike("<(?:pre|math|table|ul|ol)"))
-
-    def lines(rec, result, page, block, html):
-        text = visible(html)
-        if text.strip() and len(text) <= 130 and "\n" not in text.strip():
-            yield rec, result, page, block, text.strip()
-
-    short = C.arrow_rows(short.where("page_id is not null").select("block_key", "result_id", "page_id", "block_id", "html"), lines, "block_key bigint, result_id bigint, page_id int, block_id int, line string")
-    short = short.dropDuplicates(["block_key"])
-    page = Window.partitionBy("result_id", "page_id")
+    flow = blocks.where(F.col("block_type").isin("Text", "TextInlineMath", "Caption", "Footnote") & ~F.col("html").rlike("<(?:pre|math|table|ul|ol)") & F.col("page_id").isNotNull())
+    flow = flow.select("block_key", "result_id", "page_id", "block_id", F.btrim(without_tags(F.col("html")), F.lit(" \t\n")).alias("line")).where("line <> '' and not contains(line, '\n')")
+    flow = flow.dropDuplicates(["block_key"])
+    # short blocks and long ones are ranked apart, so the one doesn't hide the other
+    long = F.length("line") > LONG_LINE
+    page = Window.partitionBy("result_id", "page_id", long)
     first = F.row_number().over(page.orderBy("block_id", "block_key"))
     last = F.row_number().over(page.orderBy(F.desc("block_id"), F.desc("block_key")))
-    short = short.withColumn("first", first).withColumn("last", last).where((F.col("first") <= EDGE) | (F.col("last") <= EDGE))
-    # a file's list holds at most 2 * EDGE short lines a page
-    files = short.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "block_id", "block_key", "line"))).alias("lines"))
+    edge = flow.withColumn("first", first).withColumn("last", last).where((F.col("first") <= EDGE) | (F.col("last") <= EDGE))
+    # a file's list holds at most 4 * EDGE lines a page
+    files = edge.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "block_id", "block_key", "line"))).alias("lines"))
 
     def run(result, lines):
-        headers, numbers = edges([(x["block_key"], x["page_id"], x["line"], "") for x in lines], True)
+        headers, numbers = edges([(x["block_key"], x["page_id"], htmllib.unescape(x["line"]).strip(), "") for x in lines], True)
         for found_keys, kind in ((headers, "header"), (numbers, "pageno")):
             for k in sorted(found_keys):
                 yield "html", k, kind
@@ -421,14 +537,11 @@ def block_edges(blocks: DataFrame) -> DataFrame:
 
 def noise(bodies: DataFrame, checks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(field_name, rec_id, kind, word, printed): every kind of noise of every record, with the words concerned."""
-    html = C.record(blocks, "block_key", "html", "html")
+    html = C.record(blocks, "block_key", "html", "html").withColumn("text", without_tags(F.col("text")))
     parts = [("body", bodies), ("texts", checks.withColumnRenamed("texts", "text")), ("html", html)]
-    words = None
-    for field, df in parts:
-        one = C.counted(df.select("text"), plain_words(field))
-        words = one if words is None else words.unionByName(one)
-    words = C.cut(words.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 1"))
-    wrong = C.cut(misreadings(words))
+    pages = checks.select(F.explode("texts").alias("text")).where("text is not null")
+    words = C.cut(vocabulary(bodies.select("text").unionByName(pages), html.select("text")))
+    wrong = C.cut(misreadings(words, words))
     known = words.sparkSession.sparkContext.broadcast(frozenset(common_words(words, wrong)))
     cand = None
     for field, df in parts:
@@ -436,12 +549,14 @@ def noise(bodies: DataFrame, checks: DataFrame, blocks: DataFrame) -> DataFrame:
         cand = one if cand is None else cand.unionByName(one)
     cand = C.cut(C.once(cand))
     plain = cand.where("kind in ('header', 'pageno')").select("field_name", "rec_id", "kind", "word", F.lit(None).cast("string").alias("printed"))
+    signed = cand.where("kind = 'misread' and n is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    wrong = wrong.unionByName(misreadings(signed, words))
     misread = cand.where("kind = 'misread'").join(wrong, "word").select("field_name", "rec_id", "kind", "word", "printed")
     # a broken word: the vocabulary has it whole, or else doesn't have its second half
     broken = cand.where("kind = 'hyphen'")
     whole = broken.join(words.where("n >= 2").select("word", F.lit(True).alias("is_word")), "word", "left")
     half = words.where("n >= 2").select(F.col("word").alias("other"), F.lit(True).alias("half_word"))
-    hyphen = whole.where("is_word").unionByName(whole.where("is_word is null and other is not null").join(half, "other", "left_anti"))
+    hyphen = whole.where("is_word").unionByName(whole.where("is_word is null and other is not null").join(half, "other", "left_anti").select(*whole.columns))
     hyphen = hyphen.select("field_name", "rec_id", "kind", "word", F.col("word").alias("printed"))
     edge = block_edges(blocks).select("field_name", "rec_id", "kind", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("printed"))
     return plain.unionByName(misread).unionByName(hyphen).unionByName(edge)
@@ -539,8 +654,7 @@ def seen(field: str, value) -> Seen:
         pages, cand = text_lines(value)
         headers, numbers = edges(cand, True)
         lines = [x for page in pages for x in page]
-        places = {(page, i): k for k, (page, i) in enumerate((page, i) for page, own in enumerate(pages) for i in range(len(own)))}
-        gone = {places[divmod(i, 100_000)] for i in headers | numbers}
+        gone = headers | numbers
         text = source = "\n".join(lines)
     if gone:
         parts, origin, at = [], [], 0

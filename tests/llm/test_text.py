@@ -223,6 +223,29 @@ def test_header_of_short_pages():
     assert scans.edges(found, paged)[0] == set()
 
 
+def test_long_header_and_far_lines():
+    long = "Ledger of the old quay and of all of its valves, gauges, shafts and pumps as they were measured by hand in the winter before the storm " + "came over the river"
+    for head in (long, long[:100]):
+        pages = [f"{head}\n{w} men closed the valve\nand went home." for w in ("Two", "Six", "Ten")]
+        lines, found = scans.text_lines(pages)
+        assert {i for i in scans.edges(found, True)[0]} == {0, 3, 6}
+    pages = ["\n".join(["x y"] * 120_000) + f"\n{k}" for k in range(4, 7)]
+    assert scans.edges(scans.text_lines(pages)[1], True)[1] == {120_000, 240_001, 360_002}
+
+
+def test_readings_beyond_the_bounds(spark):
+    words = ["inconceivabilities", "counterrevolutionaries", "x" * 45 + "valve"]
+    many = ["1nc0nce1vab1l1t1e5", "c0unterrev01ut10nar1es", "x" * 45 + "va1ve", "1nc0nce1vab1l1t1ex"]
+    assert scans.readings(many[0]) is None and "valve" in scans.readings("va1ve")
+    assert [scans.reads_as(a, b) for a, b in zip(many, words)] == [True] * 3 and not scans.reads_as(many[3], words[0])
+    for word in ("rnodern", "va1ve", "clog", "gaugc", "iinit"):
+        assert all(scans.reads_as(word, r) for r in scans.readings(word))
+    assert all(scans.shape(a) == scans.shape(b) for a, b in zip(many, words))
+    there = spark.createDataFrame([(w, 100) for w in words], "word string, n bigint")
+    got = scans.misreadings(spark.createDataFrame([(w, 1) for w in many], "word string, n bigint"), there).collect()
+    assert {(r.word, r.printed) for r in got} == set(zip(many, words))
+
+
 def test_scan_repair():
     pages = [f"Old quay | {k}\nLine {chr(97 + k) * 3} goes on\nto the end of {chr(97 + k) * 4} va-\nlves here." for k in range(3)]
     text = scans.repaired("texts", pages, {"thc": "the"}, {"valves"})
