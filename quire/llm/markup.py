@@ -1,9 +1,10 @@
 """Problem 3: markup residue, found by minimum cut and turned into clean Markdown.
 
 The field's own markup, code, formulas and page marks are set aside. Every mark that could belong to a foreign markup
-becomes a node; a classifier's costs (kind of mark, known name, partner, readable surroundings, path) are its capacities to
-the terminals, and nodes near each other in the text or in the same element are tied by smoothness edges that weaken with
-their distance. Max-flow separates residue from content.
+becomes a node; a classifier's costs (kind of mark, known name, readable surroundings, path) are its capacities to the
+terminals. Weak marks (an unknown tag or command, a lone list line or row) speak for content by themselves; smoothness edges
+tie them to the marks near them, to those in the same element or paragraph and to their partners, so they follow what
+surrounds them. Max-flow separates residue from content. Cleaning rewrites the marks the cut chose and nothing else.
 
 Null and empty texts give no row, junk without readable surroundings none. Repeated deliveries of a record give one row.
 """
@@ -33,15 +34,15 @@ COMMANDS = (
 MARKS: dict[str, list[tuple[re.Pattern, float]]] = {
     "html": [
         (re.compile(rf"</?(?:{TAGS})(?:\s[^<>\n]*|\n[^<>\n]*)?/?>", re.I), 2.5),
-        (re.compile(rf"&(?:amp;)*lt;/?(?:{TAGS})\b[^<>\n]{{0,80}}?&(?:amp;)*gt;", re.I), 2.5),
+        (re.compile(rf"&(?:amp;)*lt;/?(?:{TAGS})\b(?:(?!&(?:amp;)*[lg]t;)[^<>\n])*&(?:amp;)*gt;", re.I), 2.5),
         (re.compile(r"&(?:amp;)*(?:nbsp|amp|lt|gt|quot|apos|shy|ndash|mdash|hellip|laquo|raquo|ldquo|rdquo|[aeiouAEIOU](?:uml|acute|grave|circ)|szlig|ccedil|#\d{2,5}|#x[0-9a-fA-F]{2,5});"), 1.5),
-        (re.compile(r"<!--(?! ?source:page).{0,400}?-->|<!DOCTYPE[^<>]*>", re.S), 2.0),
+        (re.compile(r"<!--(?! ?source:page)[^-]*(?:-(?!->)[^-]*)*-->|<!DOCTYPE[^<>]*>", re.S), 2.0),
     ],
     "wiki": [
-        (re.compile(r"(?<!')('{2,3}|'{5})(?![\s'])(?:(?!'').){1,200}?(?<!\s)\1(?!')", re.S), 2.0),
+        (re.compile(r"(?<!')('{2,3}|'{5})(?![\s'])(?:(?!''|\n[ \t]*\n[ \t]*\n).)+(?<!\s)\1(?!')", re.S), 2.0),
         (re.compile(r"^[ \t]*(={2,6})[ \t]*[^=\n]*[^\W\d_]{2}[^=\n]*?\1[ \t]*$", re.M), 2.5),
-        (re.compile(r"\[\[[^\[\]]{1,200}?\]\]"), 2.0),
-        (re.compile(r"\{\{[^\W\d_][^{}]{0,300}?\}\}"), 2.0),
+        (re.compile(r"\[\[[^\[\]]+\]\]"), 2.0),
+        (re.compile(r"\{\{[^\W\d_][^{}]*\}\}"), 2.0),
         (re.compile(r"^[ \t]*(?:\{\|.*|\|-+[^|\n]*|\|\+.*|\|\})[ \t]*$", re.M), 1.5),
         (re.compile(r"^[ \t]*[|!][^|\n]*(?:\|\||!!)[^\n]*$", re.M), 1.0),
         (re.compile(r"\[https?://[^\s\]]+\s[^\]\n]+\]"), 2.0),
@@ -50,25 +51,35 @@ MARKS: dict[str, list[tuple[re.Pattern, float]]] = {
     ],
     "latex": [
         (re.compile(rf"\\(?:{COMMANDS})(?![A-Za-z])\*?(?:\[[^\]\n]*\])?(?:\{{[^{{}}]*\}})?"), 2.5),
-        (re.compile(r"\\[A-Za-z]{2,20}\*?\{[^{}\n]*\}"), 1.5),
+        (re.compile(r"\\[A-Za-z]{2,}\*?\{[^{}\n]*\}"), 1.5),
     ],
     "markdown": [
-        (re.compile(r"(?<![*\w])(\*\*|__)(?![\s*_])(?:(?!\1).){1,200}?(?<![\s*_])\1(?![*\w])", re.S), 2.5),
-        (re.compile(r"(?<![*\w\\])\*(?![\s*])[^*\n]{1,120}?(?<![\s*])\*(?![*\w])"), 1.2),
-        (re.compile(r"(?<![_\w\\])_(?![\s_])[^_\n]{1,120}?(?<![\s_])_(?![_\w])"), 1.2),
-        (re.compile(r"~~(?![\s~])[^~\n]{1,200}?~~"), 2.0),
+        (re.compile(r"(?<![*\w])(\*\*|__)(?![\s*_])(?:(?!\1|\n[ \t]*\n[ \t]*\n).)+(?<![\s*_])\1(?![*\w])", re.S), 2.5),
+        (re.compile(r"(?<![*\w\\])\*(?![\s*])[^*\n]+(?<![\s*])\*(?![*\w])"), 1.2),
+        (re.compile(r"(?<![_\w\\])_(?![\s_])[^_\n]+(?<![\s_])_(?![_\w])"), 1.2),
+        (re.compile(r"~~(?![\s~])[^~\n]+~~"), 2.0),
         (re.compile(r"^[ \t]*#{1,6}[ \t]+(?=[^\n]*[^\W\d_]{2})\S[^\n]*$", re.M), 2.0),
-        (re.compile(r"!?\[[^\[\]\n]{1,200}\](?:\([^()\s]*\)|\[[^\[\]\n]{1,60}\])", re.S), 2.5),
-        (re.compile(r"!?\[[^\[\]]{1,200}\]\([^()\s]{1,200}\)"), 2.5),
+        (re.compile(r"!?\[[^\[\]\n]+\](?:\([^()\s]*\)|\[[^\[\]\n]+\])", re.S), 2.5),
+        (re.compile(r"!?\[[^\[\]]+\]\([^()\s]+\)"), 2.5),
         (re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n`]*$", re.M), 2.0),
-        (re.compile(r"(?<!`)`(?!`)[^`\n]{1,120}`(?!`)"), 1.5),
+        (re.compile(r"(?<!`)`(?!`)[^`\n]+`(?!`)"), 1.5),
         (re.compile(r"(?:^[ \t]*[-*+][ \t]+[^\W\d_\s][^\n]*$\n?|^[ \t]*[-*+][ \t]+\d[^\n]*[^\W\d_]{2}[^\n]*$\n?){2,}", re.M), 1.5),
         (re.compile(r"(?:^[ \t]*\d{1,3}\.[ \t]+\S[^\n]*$\n?){2,}", re.M), 1.0),
         (re.compile(r"^[ \t]*>[ \t]+(?=[^\n]*[^\W\d_]{3})\S[^\n]*$", re.M), 1.5),
         (re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?)?[ \t]*$", re.M), 2.5),
-        (re.compile(r"\[\^[\w-]{1,20}\]:?"), 2.0),
+        (re.compile(r"\[\^[\w-]+\]:?"), 2.0),
     ],
 }
+#: Marks that don't speak for residue alone: kind, pattern, weight of the mark by itself.
+WEAK: dict[str, list[tuple[re.Pattern, float]]] = {
+    "html": [(re.compile(r"</?[A-Za-z][\w-]*(?:\s[^<>\n]*)?/?>"), 0.3), (re.compile(r"&[a-zA-Z]{2,8};"), 0.3)],
+    "wiki": [(re.compile(r"^[ \t]*[|!][^|!\n]+$", re.M), 0.3)],
+    "latex": [(re.compile(r"\\[A-Za-z]{2,}\*?(?![A-Za-z{])"), 0.2), (re.compile(r"\\\\[ \t]*$", re.M), 0.3)],
+    "markdown": [(re.compile(r"^[ \t]*(?:[-*+]|\d{1,3}\.)[ \t]+\S[^\n]*$", re.M), 0.3), (re.compile(r"^[ \t]*\|[^\n]*\|[ \t]*$", re.M), 0.3)],
+}
+#: What speaks for content in every node, and the strength of the edges: to a mark right beside of the same markup, to one of
+#: another markup, and to a partner. REACH is the distance in characters over which an edge loses two thirds of its strength.
+CONTENT, NEXT, OTHER, PARTNER, REACH, TIES = 0.5, 1.0, 0.1, 2.0, 200, 3
 #: One cheap test a markup has to pass before its patterns are tried.
 HINT = {
     "html": re.compile(r"<[/!A-Za-z]|&[a-zA-Z#]"),
@@ -78,7 +89,7 @@ HINT = {
 }
 FENCED = re.compile(r"^[ \t]*(`{3,}+|~{3,}+)[^\n]*\n.*?^[ \t]*\1[`~]*[ \t]*$", re.M | re.S)
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
-FORMULA = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<![\\$])\$(?![\s$])[^$\n]{1,300}?(?<![\s\\])\$(?!\$)|\\begin\{(equation|align|cases|gather|matrix|eqnarray)\*?\}.*?\\end\{\1\*?\}", re.S)
+FORMULA = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|(?<![\\$])\$(?![\s$])[^$\n]+?(?<![\s\\])\$(?!\$)|\\begin\{(equation|align|cases|gather|matrix|eqnarray)\*?\}.*?\\end\{\1\*?\}", re.S)
 PAGE = re.compile(r"<!-- ?source:page[^>]*-->|^\[page \d+ not recognized\]$", re.M)
 OWN = re.compile(r"<(pre|math|code)\b[^>]*>.*?</\1>", re.S | re.I)
 BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|table|tr|div|h[1-6]|content-ref)\b[^<>]*>|<br\s*/?>", re.I)
@@ -110,12 +121,12 @@ def masked(field: str, text: str) -> str:
     return blanked(FORMULA, text) if "$" in text or "\\" in text else text
 
 
-def readable(text: str, a: int, b: int) -> float:
-    """Share of letters and spaces around [a, b), its own marks left out."""
+def readable(text: str, a: int, b: int, inside: str = "") -> float:
+    """Share of letters and spaces around [a, b), its own marks left out, and in what a long mark holds inside."""
     near = text[max(0, a - NEARBY) : a] + text[b : b + NEARBY]
     near = near.replace("\x00", "")
     inner = text[a:b]
-    near += "".join(c for c in inner if c.isalpha() or c == " ")
+    near += inside or "".join(c for c in inner if c.isalpha() or c == " ")
     if not near:
         return 1.0
     return sum(c.isalpha() or c in " \n,.;:()-–’'0123456789%" for c in near) / len(near)
@@ -137,7 +148,10 @@ def nodes_of(field: str, text: str) -> list[tuple[int, int, str, float]]:
         if kind == "markdown" and field != "html" or not HINT[kind].search(text):
             continue
         taken = bytearray(len(text))
-        for pattern, weight in patterns:
+        strong = len(seen)
+        for pattern, weight in [*patterns, *WEAK[kind]]:
+            if weight < CONTENT and len(seen) == strong:
+                break  # weak marks without any other can't be residue
             for m in pattern.finditer(text):
                 a, b = m.span()
                 if taken.find(1, a, b) >= 0:
@@ -157,7 +171,8 @@ def nodes_of(field: str, text: str) -> list[tuple[int, int, str, float]]:
     for m, kind, weight in seen:
         a, b = m.span()
         cost = weight
-        if readable(plain, a, b) < 0.75 or not voiced(plain, a, b):
+        inside = m.group().strip("'*_=~[]{}|<> \n") if kind in ("wiki", "markdown") and b - a > NEARBY else ""
+        if readable(plain, a, b, inside) < 0.75 or not voiced(plain, a, b):
             cost -= 4.0
         if kind == "latex":
             before = text[a - 1 : a]
@@ -225,26 +240,54 @@ class Flow:
                     self.cap[e ^ 1] += push
 
 
-def residue(field: str, text: str) -> list[tuple[int, int, str]]:
-    """The marks that the minimum cut leaves on the side of residue, of a masked text."""
+TAG_OF = re.compile(r"(?:<|&(?:amp;)*lt;)(/?)([A-Za-z][\w-]*)")
+
+
+def partners(text: str, nodes: list[tuple[int, int, str, float]]) -> list[tuple[int, int]]:
+    """Pairs of an opening and a closing tag of one name, the nearest first."""
+    out, opened = [], {}
+    for i, (a, b, kind, _) in enumerate(nodes):
+        if kind == "html" and (m := TAG_OF.match(text, a, b)):
+            if not m[1]:
+                opened.setdefault(m[2].lower(), []).append(i)
+            elif opened.get(m[2].lower()):
+                out.append((opened[m[2].lower()].pop(), i))
+    return out
+
+
+def edges(text: str, nodes: list[tuple[int, int, str, float]]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: to the TIES marks before, weaker with their distance and over the end of an element, and to partners.
+
+    A line of a block's visible text is an element of its own; in a body a paragraph is.
+    """
+    out = [(i, j, PARTNER) for i, j in partners(text, nodes)]
+    before: list[int] = []
+    for j, (a, _, kind, _) in enumerate(nodes):
+        for i in before[-TIES:]:
+            end = nodes[i][1]
+            between = text[end:a] if end < a else ""
+            element = 1.0 if "\n" not in between else 0.6 if "\n\n" not in between else 0.3
+            tie = (NEXT if nodes[i][2] == kind else OTHER) * exp(-len(between) / REACH) * element
+            if tie > 0.01:
+                out.append((i, j, tie))
+        before.append(j)
+    return out
+
+
+def residue(field: str, text: str, tied: bool = True) -> list[tuple[int, int, str]]:
+    """The marks that the minimum cut leaves on the side of residue, of a masked text; tied=False leaves the edges out."""
     nodes = nodes_of(field, text)
     if not nodes:
         return []
     n = len(nodes)
     flow = Flow(n + 2)
     s, t = n, n + 1
-    last: dict[str, int] = {}
-    for i, (a, b, kind, cost) in enumerate(nodes):
-        flow.add(s, i, max(0.0, cost)) if cost > 0 else flow.add(i, t, -cost)
-        flow.add(i, t, 0.5)
-        if kind in last:
-            j = last[kind]
-            gap = max(0, a - nodes[j][1])
-            same = "\n" not in text[nodes[j][1] : a]
-            tie = exp(-gap / 200) * (1.0 if same else 0.6)
-            if tie > 0.01:
-                flow.add(j, i, tie, tie)
-        last[kind] = i
+    for i, (_, _, _, cost) in enumerate(nodes):
+        if cost > 0:
+            flow.add(s, i, cost)
+        flow.add(i, t, CONTENT - min(0.0, cost))
+    for i, j, tie in edges(text, nodes) if tied else ():
+        flow.add(i, j, tie, tie)
     side = flow.cut(s, t)
     return [(a, b, kind) for (a, b, kind, _), x in zip(nodes, side) if x]
 
@@ -262,71 +305,176 @@ def markup_residue(records: DataFrame) -> DataFrame:
     return C.once(C.arrow_rows(C.narrow(records), marks, SCHEMA), "field_name", "rec_id", "markup")
 
 
-def to_markdown(text: str, kinds: set[str]) -> str:
-    """Marks of the given markups as Markdown; headings, lists, code and formulas stay such."""
-    if "html" in kinds:
-        text = re.sub(r"&(?:amp;)*lt;(/?[A-Za-z][^<>\n]{0,80}?)&(?:amp;)*gt;", r"<\1>", text)
-        text = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1>", lambda m: "\n" + "#" * int(m[1]) + " " + m[2].strip() + "\n", text, flags=re.S | re.I)
-        text = re.sub(r"<li\b[^<>]*>\s*", "\n- ", text, flags=re.I)
-        text = re.sub(r"<pre\b[^<>]*>(.*?)</pre>", r"\n```\n\1\n```\n", text, flags=re.S | re.I)
-        text = re.sub(r"<code\b[^<>]*>(.*?)</code>", r"`\1`", text, flags=re.S | re.I)
-        text = re.sub(r"<t[dh]\b[^<>]*>(.*?)</t[dh]>", r"| \1 ", text, flags=re.S | re.I)
-        text = re.sub(r"</tr>", "|\n", text, flags=re.I)
-        text = re.sub(r"<br\s*/?>|</(?:p|div|ul|ol|table)>", "\n", text, flags=re.I)
-        text = re.sub(rf"</?(?:{TAGS})(?:\s[^<>]*)?/?>", "", text, flags=re.I)
-        text = re.sub(r"<!--(?! ?source:page).*?-->", "", text, flags=re.S)
-        text = htmllib.unescape(text)
-    if "wiki" in kinds:
-        text = re.sub(r"^[ \t]*(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text, flags=re.M)
-        text = re.sub(r"('{2,5})(?![\s'])(.{1,200}?)\1", r"\2", text, flags=re.S)
-        text = re.sub(r"\[\[(?:File|Image|Datei|Fichier|Файл):[^\[\]]*\]\]\s*", "", text)
-        text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
-        text = re.sub(r"\[https?://\S+\s([^\]\n]+)\]", r"\1", text)
-        text = re.sub(r"^[ \t]*(?:\{\|.*|\|-+.*|\|\})[ \t]*$\n?", "", text, flags=re.M)
-        text = re.sub(r"^[ \t]*[|!]\s*([^\n]*(?:\|\||!!)[^\n]*)$", lambda m: "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", m[1]) + " |", text, flags=re.M)
-        text = re.sub(r"__[A-Z]+__", "", text)
-    if "latex" in kinds:
-        for depth, name in ((1, "chapter"), (2, "section"), (3, "subsection"), (4, "subsubsection")):
-            text = re.sub(rf"\\{name}\*?\{{([^{{}}]*)\}}", "\n" + "#" * depth + r" \1\n", text)
-        text = re.sub(r"\\begin\{verbatim\}(.*?)\\end\{verbatim\}", r"\n```\1```\n", text, flags=re.S)
-        text = re.sub(r"\\item\s*(?:\[[^\]\n]*\])?\s*", "- ", text)
-        text = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "", text)
-        text = re.sub(r"~?\\(?:cite[pt]?|label|includegraphics|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}]*\}", "", text)
-        text = re.sub(r"\(?\\(?:eq|page)?ref\{([^{}]*)\}\)?", r"(\1)", text)
-        text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
-        text = re.sub(r"\{\\(?:it|bf|tt|em|rm|sc|small|large)\s+([^{}]*)\}", r"\1", text)
-        text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
-        text = re.sub(rf"\\(?:{COMMANDS})\*?\{{([^{{}}]*)\}}", r"\1", text)
-        text = re.sub(rf"\\(?:{COMMANDS})(?![A-Za-z])\s?", "", text)
-    if "markdown" in kinds:  # of a block's visible text, for which Markdown is the target anyway
-        pass
-    return re.sub(r"\n{3,}", "\n\n", text).strip("\n") + "\n"
-
-
-KEPT = re.compile("|".join(f"(?:{p})" for p in (r"^[ \t]*```.*?^[ \t]*```[ \t]*$", r"`[^`\n]+`", r"\$\$.*?\$\$", r"\$(?![\s$])[^$\n]+?(?<!\s)\$", r"<!-- ?source:page[^>]*-->")), re.M | re.S)
+#: Tags as Markdown, opening and closing; what isn't named goes.
+AS_MARKDOWN = {
+    "li": ("\n- ", ""), "br": ("\n", "\n"), "hr": ("\n---\n", ""), "p": ("", "\n"), "div": ("", "\n"), "ul": ("", "\n"), "ol": ("", "\n"), "table": ("", "\n"), "blockquote": ("\n> ", "\n"), "section": ("", "\n"),
+    "tr": ("", "|\n"), "td": ("| ", " "), "th": ("| ", " "), "dt": ("\n", ""), "dd": ("\n", ""), "pre": ("\n```\n", "\n```\n"), "code": ("`", "`"), "tt": ("`", "`"), "kbd": ("`", "`"),
+} | {f"h{k}": ("\n" + "#" * k + " ", "\n") for k in range(1, 7)}
+
+
+def html_mark(mark: str) -> str:
+    while (plain := htmllib.unescape(mark)) != mark and not mark.startswith("<"):
+        mark = plain
+    if mark.startswith("<!"):
+        return ""
+    if not (m := TAG_OF.match(mark)):
+        return mark.replace("\u00a0", " ")
+    if m[2].lower() == "img":
+        return alt[1] if (alt := re.search(r"alt=[\"']([^\"']*)", mark)) else ""
+    return AS_MARKDOWN.get(m[2].lower(), ("", ""))[bool(m[1])]
+
+
+def wiki_mark(mark: str) -> str:
+    core = mark.strip()
+    if m := re.fullmatch(r"(={2,6})[ \t]*(.+?)[ \t]*\1", core):
+        return "#" * len(m[1]) + " " + m[2]
+    if m := re.fullmatch(r"('{2,5})(.+?)\1", core, re.S):
+        return m[2]
+    if core.startswith("[["):
+        return "" if re.match(r"\[\[(?:File|Image|Datei|Fichier|Файл):", core) else core[2:-2].rpartition("|")[2]
+    if m := re.fullmatch(r"\[https?://\S+\s(.+)\]", core):
+        return m[1]
+    if core.startswith(("{{", "{|", "|}", "|-", "__", "#RED", "<")):
+        return ""
+    if core.startswith("|+"):
+        return core[2:].strip()
+    return "| " + re.sub(r"\s*(?:\|\||!!)\s*", " | ", core[1:].strip()) + " |" if core[:1] in "|!" else mark
+
+
+LATEX = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?(?:\{([^{}]*)\})?$", re.S)
+DEPTH = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6, "title": 1}
+GOES = frozenset("cite citep citet label includegraphics vspace hspace index input include usepackage documentclass url date".split())
+
+
+def latex_mark(mark: str) -> str:
+    m = LATEX.match(mark)
+    if not m:
+        return "\n" if mark.startswith("\\\\") else mark
+    name, arg = m[1], m[2]
+    if name in DEPTH and arg is not None:
+        return "\n" + "#" * DEPTH[name] + f" {arg}\n"
+    if name in ("begin", "end"):
+        return "\n```\n" if arg in ("verbatim", "lstlisting") else ""
+    if name == "item":
+        return "\n- "
+    if name in GOES:
+        return ""
+    if name in ("ref", "eqref", "pageref"):
+        return f"({arg})" if name == "eqref" else arg or ""
+    if name == "footnote":
+        return f" ({arg})" if arg else ""
+    if name == "href":
+        return ""
+    return {"ldots": "…", "dots": "…", "LaTeX": "LaTeX", "TeX": "TeX", "newline": "\n", "linebreak": "\n", "par": "\n\n", "hline": ""}.get(name, arg or "")
+
+
+def closing(text: str, at: int) -> int:
+    """The place of the brace that closes the one at `at`; -1 if none does."""
+    depth = 0
+    for m in re.compile(r"\\?[{}]").finditer(text, at):
+        if m.group()[0] != "\\":
+            depth += 1 if m.group() == "{" else -1
+            if not depth:
+                return m.start()
+    return -1
+
+
+def rewritten(text: str, found: list[tuple[int, int, str]]) -> str:
+    """The text with its residue as Markdown: every mark by what it means, braces of commands with it; all else as it stands."""
+    edits: list[tuple[int, int, str]] = []
+    for a, b, kind in found:
+        mark = text[a:b]
+        if kind == "html":
+            edits.append((a, b, html_mark(mark)))
+        elif kind == "wiki":
+            edits.append((a, b, wiki_mark(mark)))
+        elif kind == "latex":
+            new = latex_mark(mark)
+            if text[a - 1 : a] == "~" and not new:
+                a -= 1
+            if "{" not in mark:
+                if text[b : b + 1] == "{" and (end := closing(text, b)) > 0:
+                    edits.append((end, end + 1, ""))
+                    m = LATEX.match(mark)
+                    new, b = "\n" + "#" * DEPTH[m[1]] + " " if m and m[1] in DEPTH else new, b + 1
+                elif text[a - 1 : a] == "{" and (end := closing(text, a - 1)) > 0:
+                    edits.append((end, end + 1, ""))
+                    a -= 1
+                b += text[b : b + 1] == " "
+            elif mark.startswith(("\\href", "\\begin{tab", "\\multicolumn")) and text[b : b + 1] == "{" and (end := closing(text, b)) > 0:
+                edits += [(b, b + 1, ""), (end, end + 1, "")] if mark.startswith("\\href") else [(b, end + 1, "")]
+            edits.append((a, b, new))
+    out: list[str] = []
+    at = 0
+    for a, b, new in sorted(edits):
+        if a < at:
+            continue
+        out.append(text[at:a])
+        head = next((x for x in reversed(out) if x), "\n")
+        # line ends that a mark brings along don't add to those that are there
+        if new.startswith("\n") and head.endswith("\n"):
+            new = new.lstrip("\n")
+        if (new or head).endswith("\n") and text[b : b + 1] == "\n":
+            b += 1
+        out.append(new)
+        at = b
+    return "".join(out) + text[at:]
+
+
+#: A block's own headings, items and rows while its text is judged: a line of one sign after which the block's line follows.
+OWN_START = {"li": "\ue100", "tr": "\ue101"} | {f"h{k}": chr(0xE101 + k) for k in range(1, 7)}
+OWN_LINE = re.compile("\n*([\ue100-\ue107])\n*")
+CELL = "\x1f"
+
+
+def outlined(markup: str) -> tuple[str, list[str]]:
+    """The visible text of a block with signs for its own structure, and its own code and formulas as Markdown."""
+    held: list[str] = []
+
+    def own(m: re.Match) -> str:
+        inner = htmllib.unescape(TAG.sub("", re.sub(r"^<[^>]*>|</[^<>]*>$", "", m.group())))
+        block = "block" in m.group()[: m.group().index(">")]
+        held.append({"pre": f"\n```\n{inner}\n```\n", "code": f"`{inner}`"}.get(m[1].lower(), f"$$ {inner} $$" if block else f"${inner}$"))
+        return "\x00"
+
+    def block(m: re.Match) -> str:
+        t = TAG_OF.match(m.group())
+        return f"\n{OWN_START[t[2].lower()]}\n" if not t[1] and t[2].lower() in OWN_START else "\n"
+
+    text = OWN.sub(own, markup.replace("\x00", ""))
+    text = TAG.sub("", re.sub(r"</t[dh]>", CELL, BLOCK_TAG.sub(block, text), flags=re.I))
+    return htmllib.unescape(text), held
+
+
+def finished(text: str, held: list[str]) -> str:
+    """Signs of a block's own structure as Markdown; the first row of a table gets a rule below it."""
+    text = OWN_LINE.sub(lambda m: "\n" + ("- " if m[1] == "\ue100" else CELL if m[1] == "\ue101" else "#" * (ord(m[1]) - 0xE101) + " "), text)
+    lines: list[str] = []
+    rows = 0
+    for line in text.split("\n"):
+        if CELL in line:
+            cells = [c.strip() for c in line.strip(CELL + " ").split(CELL)]
+            lines += ["| " + " | ".join(cells) + " |"] + (["|" + " --- |" * len(cells)] if not rows else [])
+            rows += 1
+        else:
+            rows = rows if not line.strip() and rows else 0
+            if line.strip() or not rows:
+                lines.append(line)
+    parts = "\n".join(lines).split("\x00")
+    text = parts[0] + "".join(a + b for a, b in zip(held, parts[1:]))
+    return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
 def cleaned(field: str, rec: int, text: str):
-    kinds = {kind for _, _, kind in residue(field, masked(field, text))}
+    held: list[str] = []
     if field == "html":
-        kept = re.sub(r"<h([1-6])\b[^>]*>(.*?)</h\1>", lambda m: "#" * int(m[1]) + " " + m[2], text, flags=re.S)
-        kept = re.sub(r"<li\b[^>]*>", "- ", kept)
-        kept = re.sub(r"<pre\b[^>]*>(.*?)</pre>", r"```\n\1\n```", kept, flags=re.S)
-        kept = re.sub(r'<math display="block">(.*?)</math>', r"$$ \1 $$", kept, flags=re.S)
-        kept = re.sub(r"<math\b[^>]*>(.*?)</math>", r"$\1$", kept, flags=re.S)
-        kept = re.sub(r"<td\b[^>]*>(.*?)</td>", r"| \1 ", kept, flags=re.S)
-        text = htmllib.unescape(TAG.sub("", re.sub(r"</tr>", "|\n", BLOCK_TAG.sub("\n", kept.replace("</tr>", "\x01"))).replace("\x01", "|\n")))
-    parts, at, out = list(KEPT.finditer(text)), 0, []
-    if kinds:
-        held: list[str] = []
-
-        def hold(m: re.Match) -> str:
-            held.append(m.group())
-            return f"\x02{len(held) - 1}\x03"
-
-        text = re.sub(r"\x02(\d+)\x03", lambda m: held[int(m[1])], to_markdown(KEPT.sub(hold, text.replace("\x02", "").replace("\x03", "")), kinds))
-    yield field, rec, sorted(kinds), text
+        text, held = outlined(text)
+        seen = blanked(FORMULA, text) if "$" in text or "\\" in text else text
+    else:
+        seen = masked(field, text)
+    found = residue(field, seen)
+    text = rewritten(text, found)
+    yield field, rec, sorted({kind for _, _, kind in found}), finished(text, held) if field == "html" else text
 
 
 def clean_text(records: DataFrame) -> DataFrame:

@@ -331,15 +331,16 @@ def without_tags(html: Column) -> Column:
 def vocabulary(texts: DataFrame, html: DataFrame) -> DataFrame:
     """(word, n): words of three or more letters in lower case, halves of broken words and foreign markup left out.
 
-    texts and html hold one column `text`; that of html comes from without_tags. All of it stays inside the JVM, except for
-    blocks with entities that only a table can read.
+    texts and html hold one column `text`. All of it stays inside the JVM, except for blocks with entities that only a table
+    can read.
     """
-    plain = html.where(~F.col("text").rlike(OTHER_ENTITY))
+    hard = F.col("text").contains("&") & F.col("text").rlike(OTHER_ENTITY)
+    plain = html.where(~hard).select(without_tags(F.col("text")).alias("text"))
     read = F.col("text")
     for entity, sign in ENTITIES:
         read = F.replace(read, F.lit(entity), F.lit(sign))
     plain = plain.select(F.when(F.col("text").contains("&"), read).otherwise(F.col("text")).alias("text"))
-    rest = C.arrow_rows(html.where(F.col("text").rlike(OTHER_ENTITY)).select("text"), lambda text: [(htmllib.unescape(text),)], "text string")
+    rest = C.arrow_rows(html.where(hard).select(without_tags(F.col("text")).alias("text")), lambda text: [(htmllib.unescape(text),)], "text string")
     every = texts.select("text").unionByName(plain).unionByName(rest)
     raw = every.select(F.explode(F.regexp_extract_all("text", F.lit(J_WORD), 1)).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     # case and invisible signs are taken off the kinds of words, not off the text
@@ -516,15 +517,14 @@ def block_edges(blocks: DataFrame) -> DataFrame:
     """Headers and page numbers among the blocks of a result, by the edges of its pages."""
     flow = blocks.where(F.col("block_type").isin("Text", "TextInlineMath", "Caption", "Footnote") & ~F.col("html").rlike("<(?:pre|math|table|ul|ol)") & F.col("page_id").isNotNull())
     flow = flow.select("block_key", "result_id", "page_id", "block_id", F.btrim(without_tags(F.col("html")), F.lit(" \t\n")).alias("line")).where("line <> '' and not contains(line, '\n')")
-    flow = flow.dropDuplicates(["block_key"])
-    # short blocks and long ones are ranked apart, so the one doesn't hide the other
+    # short blocks and long ones are ranked apart, so the one doesn't hide the other; deliveries of one block share its rank
     long = F.length("line") > LONG_LINE
     page = Window.partitionBy("result_id", "page_id", long)
-    first = F.row_number().over(page.orderBy("block_id", "block_key"))
-    last = F.row_number().over(page.orderBy(F.desc("block_id"), F.desc("block_key")))
+    first = F.dense_rank().over(page.orderBy("block_id", "block_key"))
+    last = F.dense_rank().over(page.orderBy(F.desc("block_id"), F.desc("block_key")))
     edge = flow.withColumn("first", first).withColumn("last", last).where((F.col("first") <= EDGE) | (F.col("last") <= EDGE))
     # a file's list holds at most 4 * EDGE lines a page
-    files = edge.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "block_id", "block_key", "line"))).alias("lines"))
+    files = edge.groupBy("result_id").agg(F.array_sort(F.collect_set(F.struct("page_id", "block_id", "block_key", "line"))).alias("lines"))
 
     def run(result, lines):
         headers, numbers = edges([(x["block_key"], x["page_id"], htmllib.unescape(x["line"]).strip(), "") for x in lines], True)
@@ -537,8 +537,8 @@ def block_edges(blocks: DataFrame) -> DataFrame:
 
 def noise(bodies: DataFrame, checks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(field_name, rec_id, kind, word, printed): every kind of noise of every record, with the words concerned."""
-    html = C.record(blocks, "block_key", "html", "html").withColumn("text", without_tags(F.col("text")))
-    parts = [("body", bodies), ("texts", checks.withColumnRenamed("texts", "text")), ("html", html)]
+    html = C.record(blocks, "block_key", "html", "html")
+    parts = [("body", bodies), ("texts", checks.withColumnRenamed("texts", "text")), ("html", html.withColumn("text", without_tags(F.col("text"))))]
     pages = checks.select(F.explode("texts").alias("text")).where("text is not null")
     words = C.cut(vocabulary(bodies.select("text").unionByName(pages), html.select("text")))
     wrong = C.cut(misreadings(words, words))

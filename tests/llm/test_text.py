@@ -158,9 +158,49 @@ def test_markup(field, text, kinds):
     assert {k for _, _, k, _ in markup.marks(field, 1, text)} == kinds
 
 
-def test_markup_clean():
-    text = "<h2>The <b>Shaft</b></h2>\n<ul><li>one</li><li>two</li></ul>\n`<b>` and $a<b$"
-    assert list(markup.cleaned("body", 1, text))[0][3] == "## The Shaft\n\n- one\n- two\n\n`<b>` and $a<b$\n"
+def clean(field, text):
+    return list(markup.cleaned(field, 1, text))[0][3]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("<h2>The <b>Shaft</b></h2>\n<ul><li>one</li><li>two</li></ul>\n`<b>` and $a<b$", "## The Shaft\n- one\n- two\n`<b>` and $a<b$"),
+        ("Open C:\\section\\part\\item7 now. An \\emph{old \\textbf{worn} valve}~\\cite{a1} here.", "Open C:\\section\\part\\item7 now. An old worn valve here."),
+        ("Here n < 3 > 2 and a <b>valve</b>.\n\n```\n<b>x</b>\n\n\n\ny\n```\n", "Here n < 3 > 2 and a valve.\n\n```\n<b>x</b>\n\n\n\ny\n```\n"),
+        ("Of '''old valves''' and [[Quay|the quay]]. {{note|x}}\n\n== The Shaft ==\n\n\n\nend", "Of old valves and the quay. \n\n## The Shaft\n\n\n\nend"),
+        ("{\\it An old} valve. \\section{The Shaft}\nIts \\href{http://a.example}{drawing} hangs.", "An old valve. \n## The Shaft\nIts drawing hangs."),
+        ("nothing here", "nothing here"),
+    ],
+)
+def test_markup_clean(text, want):
+    assert clean("body", text) == want
+
+
+def test_markup_clean_of_blocks():
+    assert clean("html", "<h2>The Shaft</h2><ul><li>one</li><li>two &lt;b&gt;x&lt;/b&gt;</li></ul><pre>a\n  b</pre><p>Sum <math>x_1</math>, n &lt; 3.</p>") == "## The Shaft\n- one\n- two x\n\n```\na\n  b\n```\n\nSum $x_1$, n < 3."
+    assert clean("html", "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>") == "| a | b |\n| --- | --- |\n| 1 | 2 |"
+
+
+@pytest.mark.parametrize("size", [10, 300, 3000])
+def test_long_marks(size):
+    inner = " ".join(["valve and gauge"] * (size // 15 + 1))
+    kinds = lambda field, text: {k for _, _, k, _ in markup.marks(field, 1, text)}
+    assert kinds("body", f"The old quay. <!-- {inner} --> It stands.") == {"html"}
+    assert kinds("body", f"The old quay. '''{inner}''' stands.") == {"wiki"}
+    assert kinds("html", f"<p>The old quay. **{inner}** stands.</p>") == {"markdown"}
+    assert kinds("body", f"The old quay, ${inner} \\emph{{x}}$ stands.") == set()
+
+
+def test_edges_decide():
+    """What is near decides weak marks; without the edges they stay in the text, or content is taken for residue."""
+    text = "An <b>old</b> valve <stamp>was</stamp> closed.\n\n\nFar away " + "the men walked home " * 60 + "and <stamp> is all."
+    kept = lambda tied: {text[a:b] for a, b, _ in markup.residue("body", text, tied)}
+    assert kept(True) == {"<b>", "</b>", "<stamp>", "</stamp>"} and kept(False) == {"<b>", "</b>"}
+    assert [text[a:b] for a, b, _ in markup.residue("body", text)].count("<stamp>") == 1
+    latex = "The \\emph{old} \\foo valve was closed."
+    assert [latex[a:b] for a, b, _ in markup.residue("body", latex)] == ["\\emph{old}", "\\foo"]
+    assert [latex[a:b] for a, b, _ in markup.residue("body", latex, False)] == ["\\emph{old}"]
 
 
 def test_min_cut_is_least():
@@ -191,6 +231,21 @@ def test_lookalikes(spark):
     assert by[1] == {"vаlve": "valve"} and by[2] == {"ｖａｌｖｅ": "valve"} and by[4] == {"\u00a0": " "} and by[8] == {"нacoс": "насос"}
 
 
+def test_walk_weighs_edits():
+    trie = lookalikes.Trie([("valve", 9), ("valves", 3), ("café", 4), ("измерения", 5)])
+    assert trie.walk("v\u0430l\u00advе", 0.5) == [(0.0, -9, "valve")] and trie.walk("ＶＡＬＶＥ", 0.5)[0][2] == "valve"
+    assert trie.walk("cafe", 0.5) == [(0.5, -4, "café")] and trie.walk("cafe\u0301", 0.5) == [(0.0, -4, "café")]
+    assert [w for _, _, w in trie.walk("valv", 1.0)] == ["valve"] and trie.walk("valv", 0.5) == []
+    back = lookalikes.Trie([("измерения", 5)], True)
+    assert back.walk("измepeниe", 1.0) == [(1.0, -5, "измерения")]
+    # one letter off a Russian word: its look-alikes are read as Cyrillic although most letters of the token are Latin
+    token = "koнtpacтe"
+    own = {"контраста": 5}
+    assert lookalikes.canonical(token, "latin", lookalikes.Trie(list(own.items())), own)[0] == "контрасте"
+    assert lookalikes.canonical(token, "latin", lookalikes.Trie([]), {})[0] != "контрасте"
+    assert lookalikes.canonical(token, "latin", lookalikes.Trie(list(own.items())), own, budget=0.5)[0] != "контрасте"
+
+
 def test_one_form(spark):
     plain = "The valve was near the café, and the upper valve was closed (again)."
     other = "The v\u0430lve was near\u00a0the cafe\u0301, and the upper ｖａｌｖｅ was clo\u00adsed (ag\u0430in)."
