@@ -415,6 +415,34 @@ def test_leakage(spark):
     assert got == want
 
 
+def test_leaks_do_not_depend_on_neighbours(spark):
+    """Shared instructions are found over the whole table; short passages are asked for as a whole; frequent terms are skipped."""
+    random.seed(5)
+    some = lambda n: " ".join(random.choice("abcdefghij") * 2 + random.choice("klmnopqrst") + str(random.randint(0, 9)) for _ in range(n))
+    intro = "Read this passage with care"
+    texts = [some(30) for _ in range(40)]
+    short = ["upper valve gauge", "worn shaft of the old quay", "two words"]
+    items = [(i, f"{intro}\n\n{t}") for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(short)]
+    docs = [(i, f"{intro} {some(20)} {t.upper()} {some(20)}") for i, t in enumerate(texts)] + [(100, f"{some(9)} upper valve gauge {some(9)}"), (101, "worn shaft of the new quay"), (102, f"an upper, valve; two words {intro}")]
+    df = spark.createDataFrame(docs * 2, "doc_id bigint, text string")
+    got = leakage.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == {(i, i) for i in range(40)} | {(100, 100)} and len(got) == 41
+    assert {r.match for r in got} == {"phrase"}
+    terms = spark.createDataFrame([(1, 30, k, k) for k in range(20)], "item_id bigint, n_words int, place int, term bigint")
+    df = spark.createDataFrame([(k, 900 if k < 9 else 1) for k in range(19)], "term bigint, df bigint")
+    assert {r.term for r in leakage.looked_up(terms, df, 1000).collect()} == {0, 1, 2} | set(range(9, 19))
+
+
+def test_bit_table(spark):
+    terms = [random.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    table = leakage.bit_table(spark.createDataFrame([(t,) for t in terms], "term bigint"))
+    import numpy as np
+
+    assert table.holds(np.array(terms, dtype=np.int64).view(np.uint64)).all()
+    other = np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.int64).view(np.uint64)
+    assert table.holds(other).mean() < 0.001
+
+
 def test_personal():
     cases = {
         "Write to a.b+c@mail.example.net or x7 [at] depot[dot]test now": ["EMAIL", "EMAIL"],
