@@ -9,6 +9,7 @@ def queries():
         "p1_stats": repetition.stats,
         "p2_found": quality.found,
         "p2_stats": quality.stats,
+        "p2_labels": quality.labels,
         "p3_found": markup.found,
         "p3_clean": markup.clean,
         "p4_found": lookalikes.found,

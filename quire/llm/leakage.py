@@ -30,8 +30,8 @@ from quire.llm import common as C
 LEAST = 8
 SHARE = 0.5
 SEGMENT = 10
-RARE = 4
-FREQUENT = 0.01
+RARE = 6
+FREQUENT = 0.001
 GAP = 5
 STEP = 16
 #: Bits of the table of test terms: so many a term, at most 64 MB in all.
@@ -175,12 +175,14 @@ def candidates(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, item_id, low, high): documents whose postings lie at a steady offset to those of an item, and where."""
     lists = index.select("doc_id", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
     hits = lists.join(terms, "term").withColumn("offset", F.floor((F.col("position") - F.col("place")) / STEP))
+    keys = ["doc_id", "item_id", "offset"]
+    steps = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.max("n_words").alias("n_words"), F.min("position").alias("low"), F.max("position").alias("high"))
     # one place of the text hardly ever stays on one side of a step, so neighbours count together
-    near = hits.withColumn("offset", F.explode(F.array(F.col("offset"), F.col("offset") - 1)))
-    near = near.groupBy("doc_id", "item_id", "offset").agg(F.size(F.collect_set("place")).alias("n"), F.max("n_words").alias("n_words"), F.min("position").alias("low"), F.max("position").alias("high"))
-    # a short passage has few terms, of a long one half of the words hold a tenth at least
+    near = steps.withColumn("offset", F.explode(F.array(F.col("offset"), F.col("offset") - 1)))
+    near = near.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # a short passage has few terms, of a long one half of the words hold a tenth at least; of that one place has a quarter
     least = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.col("n_words") / 2) - 2), F.floor(F.col("n_words") / 10))
-    near = near.where(F.col("n") >= F.least(F.lit(2), least))
+    near = near.where(F.col("n") >= F.greatest(F.least(F.lit(2), least), least / 4))
     both = near.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"))
     return both.where(F.col("n") >= least).select("doc_id", "item_id", "low", "high")
 

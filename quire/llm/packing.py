@@ -23,11 +23,12 @@ TOKENIZER = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_m
 #: The tokenizer's own pre-splitting pattern (fixed values).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 100_000
+TIERS = 5
 STEPS = 8
 #: White space and the word after it. No pre-token reaches over the end of a word, so their token counts add up.
 CHUNK = re.compile(r"\s*\S+|\s+")
 SIZES = "doc_id bigint, piece int, start_char int, end_char int, n_tokens int"
-PACKED = "doc_id bigint, piece int, start_char int, end_char int, n_tokens int, container_id bigint, tier int, step_group int"
+PACKED = "doc_id bigint, piece int, start_char int, end_char int, n_tokens int, container_id bigint, tier int, window_tier int, step_group int"
 
 
 class Sizes(dict):
@@ -85,43 +86,63 @@ def torn(chunk: str, sizes: Sizes, capacity: int):
 
 
 def tier_of(size: int, capacity: int) -> int:
+    """0 for items of more than half of the capacity, 1 for more than a quarter, and so on; the last tier holds the rest."""
     tier = 0
-    while tier < 4 and size * 2 ** (tier + 1) <= capacity:
+    while tier < TIERS - 1 and size * 2 ** (tier + 1) <= capacity:
         tier += 1
     return tier
 
 
-def pack(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Window of each item, and fill of each window. Tiers from long to short; of a tier the largest item first."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    where = [0] * len(sizes)
-    fill: list[int] = []
-    open_by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0  # bit r: a window with room r is there
-    for i in order:
-        size = sizes[i]
-        tight = rooms >> size
-        if tight:
-            room = size + ((tight & -tight).bit_length() - 1)
-            window = open_by_room[room].pop()
-            if not open_by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            window, room = len(fill), capacity
-            fill.append(0)
-        where[i] = window
-        fill[window] += size
-        left = room - size
-        if left > 0:
-            open_by_room[left].append(window)
-            rooms |= 1 << left
-    return where, fill
-
-
-def step_groups(fill: list[int], steps: int) -> list[int]:
-    """Windows dealt out there and back, from the fullest on, so that groups carry equal load."""
+class Gaps:
+    """Open windows by the room left in them; the tightest that is wide enough is a matter of a few bit operations."""
+
+    def __init__(self, capacity: int):
+        self.windows: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.rooms = 0  # bit r: a window with room r is there
+
+    def put(self, window: int, room: int) -> None:
+        if room > 0:
+            self.windows[room].append(window)
+            self.rooms |= 1 << room
+
+    def take(self, size: int) -> tuple[int, int] | None:
+        tight = self.rooms >> size
+        if not tight:
+            return None
+        room = size + (tight & -tight).bit_length() - 1
+        window = self.windows[room].pop()
+        if not self.windows[room]:
+            self.rooms &= ~(1 << room)
+        return window, room
+
+
+def pack(sizes: list[int], capacity: int, routed: bool = True) -> tuple[list[int], list[int], list[int]]:
+    """Window of each item, fill of each window, tier of each window (that of the item that opened it).
+
+    Items are routed to tiers; the tiers are packed from long to short, the largest item of a tier first: it fills the tightest
+    gap that longer tiers left, else it opens a window. routed=False packs the items in the order they come.
+    """
+    tiers: list[list[int]] = [[] for _ in range(TIERS)]
+    for i, size in enumerate(sizes):
+        tiers[tier_of(size, capacity) if routed else 0].append(i)
+    where, fill, of = [0] * len(sizes), [], []
+    gaps = Gaps(capacity)
+    for tier, items in enumerate(tiers):
+        for i in sorted(items, key=lambda i: -sizes[i]) if routed else items:
+            window, room = gaps.take(sizes[i]) or (len(fill), capacity)
+            if window == len(fill):
+                fill.append(0)
+                of.append(tier)
+            where[i] = window
+            fill[window] += sizes[i]
+            gaps.put(window, room - sizes[i])
+    return where, fill, of
+
+
+def step_groups(fill: list[int], of: list[int], steps: int) -> list[int]:
+    """Windows dealt out there and back, tier by tier and from the fullest on, so groups carry equal load of every tier."""
     group = [0] * len(fill)
-    for rank, w in enumerate(sorted(range(len(fill)), key=lambda w: -fill[w])):
+    for rank, w in enumerate(sorted(range(len(fill)), key=lambda w: (of[w], -fill[w]))):
         lap, k = divmod(rank, steps)
         group[w] = k if lap % 2 == 0 else steps - 1 - k
     return group
@@ -133,13 +154,14 @@ def packed(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, bloc
     sizes = C.arrow_rows(docs, measured, SIZES, lambda: (Sizes(tokenizer), capacity))
     blocks = max(1, -(-documents.count() // block))
 
-    def fill_block(key, df: pd.DataFrame) -> pd.DataFrame:
+    def fill_block(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, fill = pack(df.n_tokens.tolist(), capacity)
-        groups = step_groups(fill, STEPS)
+        where, fill, of = pack(df.n_tokens.tolist(), capacity)
+        groups = step_groups(fill, of, STEPS)
         df = df.drop(columns="block")
         df["container_id"] = [w * blocks + int(key[0]) for w in where]
         df["tier"] = [tier_of(n, capacity) for n in df.n_tokens]
+        df["window_tier"] = [of[w] for w in where]
         df["step_group"] = [groups[w] for w in where]
         return df
 

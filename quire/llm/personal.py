@@ -1,9 +1,15 @@
 """Problem 9: personal information inside free text.
 
 Mail addresses, phone numbers, identity numbers, street addresses and names are found by their forms and the words around
-them and replaced by typed placeholders with a pseudonym. The pseudonym of a number keeps its format: a keyed Feistel
-network permutes its digits (and another one its letters), so equal values have equal pseudonyms in every document and
-different values of one format different ones; with the key it can be turned back.
+them and replaced by typed placeholders with a pseudonym. The pseudonym of a number keeps its format, separators included: a
+keyed Feistel network permutes its digits (and another one its letters), so equal values have equal pseudonyms in every
+document and different values of one format different ones; with the key it can be turned back. Identity numbers are
+validated by their check digits and ranges, and the permutation is repeated until a valid number has a valid pseudonym and
+an invalid one an invalid one. Dates of birth are permuted among the days of two centuries, in their own format. Names, mail
+and street addresses have no format to keep; they get a keyed hash.
+
+The key comes from the caller, from spark.quire.pseudonym.key or from QUIRE_PSEUDONYM_KEY. Without one a random key is drawn
+for the run and thrown away: values stay linked within the run, and nobody can turn them back.
 
 Null or empty texts give no row in the findings and stay as they are in the redacted table. Overlapping findings: the one
 that is named first in ORDER stays. Rows with an equal doc_id are documents of their own, their findings are taken together.
@@ -15,6 +21,8 @@ import hashlib
 import hmac
 import os
 import re
+import secrets
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +31,9 @@ from quire.llm import common as C
 
 FOUND = "doc_id bigint, kind string, value string, pseudonym string, start int, stop int"
 ORDER = ("EMAIL", "ID", "PHONE", "ADDRESS", "NAME")
-KEY = os.environ.get("QUIRE_PSEUDONYM_KEY", "quire")
 ROUNDS = 8
+#: Days among which dates of birth are permuted.
+FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĘĚŁŃŇŐŘŚŞŠŤŮŹŻŽА-ЯЁІ"
 LOW = "a-zß-öø-ÿāăąćčďęěłńňőřśşšťůźżžа-яёі"
@@ -90,7 +99,7 @@ ADDRESS = [
     re.compile(rf"(?<![\w.])(?:(?:Flat|Apt\.?|Unit|Suite|FLAT)(?:{G})\d+[A-Za-z]?,?(?:{G}))?\d{{1,4}}[A-Za-z]?(?:{G}){WORDS_EN}(?:{STREET_EN}|{STREET_EN.upper()})(?!\w)(?:{TOWN}(?=[\s.,;]|$))?{POSTCODE}?"),
     re.compile(rf"(?<!\w){WORDS_EN}(?:{STREET_EN}|{STREET_EN.upper()})(?:{G})(?:No\.?|NO\.?|Nr\.?)(?:{G})\d+[A-Za-z]?(?:{TOWN})?{POSTCODE}?"),
     re.compile(rf"(?<!\w)(?:{CAP}-?)?(?:[{UP}]?[{LOW}]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|stieg)|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den)(?:{G}){CAP}(?:(?:{G}){CAP})?)(?:{G})\d{{1,4}}(?:[ ]?[a-z])?(?:,?(?:{G})(?:[A-Z]-)?\d{{5}}(?:{G}){CAP}(?:-{CAP})?|,(?:{G}){CAP})"),
-    re.compile(rf"(?<![\w.])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-Z])(?!\w))?,?(?:{G})(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|place|quai|allée|allee|route|cours|passage|sentier|square|venelle)(?:{G})(?:(?:de(?:{G})la|des|du|de|d['’]|l['’])(?:{G})?)*(?:l['’])?{CAP}(?:(?:{G}|-){CAP}){{0,3}}(?:,?(?:{G})(?:\d{{5}}(?:{G}))?{CAP}(?:-(?:le|la|les|sur|en|de)?-?{CAP})*)?", re.I if False else 0),
+    re.compile(rf"(?<![\w.])\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-Z])(?!\w))?,?(?:{G})(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|place|quai|allée|allee|route|cours|passage|sentier|square|venelle)(?:{G})(?:(?:de(?:{G})la|des|du|de|d['’]|l['’])(?:{G})?)*(?:l['’])?{CAP}(?:(?:{G}|-){CAP}){{0,3}}(?:,?(?:{G})(?:\d{{5}}(?:{G}))?{CAP}(?:-(?:le|la|les|sur|en|de)?-?{CAP})*)?"),
     re.compile(rf"(?<!\w)(?:г\.{S}{CAP},{S})?(?:ул\.|улица|пер\.|переулок|просп\.|пр-т|проспект|наб\.|набережная|шоссе|бульвар|б-р|пл\.|площадь|проезд){S}{CAP}(?:(?:{G}){CAP})?,?{S}(?:д(?:ом)?\.?{S})?\d{{1,4}}[а-я]?(?:,{S}(?:стр|корп|к|кв|оф)\.{S}\d+)*"),
     re.compile(rf"(?<!\w)(?:г\.{S}{CAP},{S})?{CAP}(?:{G})(?:улица|ул\.|переулок|пер\.|проспект|набережная|шоссе|бульвар|площадь|проезд),?{S}(?:д(?:ом)?\.?{S})?\d{{1,4}}[а-я]?(?:,{S}(?:стр|корп|к|кв|оф)\.{S}\d+)*"),
 ]
@@ -107,6 +116,11 @@ NAME_GIVEN = re.compile(
     rf"(?<![\w.-])(?P<v>(?:{GIVEN_RE})(?:{G})(?:{INI}{S})?(?:{CAP}|{CAPS})|(?:{CAPS}),{S}(?:{GIVEN_RE}))(?!\w)"
 )
 
+#: A form of address before a single name.
+NAME_TITLED = re.compile(rf"(?<![\w.])(?:Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|господин|госпожа|г-н|г-жа)(?:{G})(?P<v>(?:{CAP}|{CAPS}))(?!\w)")
+BORN = re.compile(r"(?:\b(?:born(?:\s+on)?|date\s+of\s+birth|DOB|geb(?:oren)?\.?(?:\s+am)?|Geburtsdatum|née?\s+le|date\s+de\s+naissance|родил(?:ся|ась)|дата\s+рождения)|д\.\s?р\.)[\s:]*(?P<v>\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2})(?!\d)", re.I)
+
+
 def is_person(value: str) -> bool:
     words = re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", value)
     return not any(w.lower() in NOT_PERSON for w in words) and any(len(w) > 2 for w in words)
@@ -226,12 +240,31 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         if text[at - 1 : at].isalpha() or text[at - 1 : at] == ".":
             if (m := PERSON_BEFORE.search(text, max(0, at - 60), at)) and free(*m.span("v")) and is_person(m["v"]):
                 out.append((*m.span("v"), "NAME"))
+    if "CUE" in near:
+        take(NAME_TITLED, "NAME", "v", windows(near["CUE"], n, 70), lambda m: is_person(m["v"]) and len(m["v"]) > 2)
     given = [p for p in near.get("GIVEN", ()) if not text[p[0] - 1 : p[0]].isalpha() and not text[p[1] : p[1] + 1].isalpha()]
     if given:
         take(NAME_GIVEN, "NAME", "v", windows(given, n, 50), person)
+    if "0" in text or "1" in text:
+        take(BORN, "DATE", "v", whole, lambda m: day_of(m["v"]) is not None)
     return sorted(out)
 
 
+DAY = (re.compile(r"(?P<d>\d{1,2})(?P<s>[./])(?P<m>\d{1,2})[./](?P<y>\d{4})"), re.compile(r"(?P<y>\d{4})(?P<s>-)(?P<m>\d{2})-(?P<d>\d{2})"))
+
+
+def day_of(value: str) -> int | None:
+    """The number of the day that a date of one of the two formats names; None if there is no such day between FIRST and LAST."""
+    for rule in DAY:
+        if m := rule.fullmatch(value):
+            try:
+                day = date(int(m["y"]), int(m["m"]), int(m["d"])).toordinal()
+            except ValueError:
+                return None
+            return day if FIRST <= day <= LAST else None
+    return None
+
+
 class Feistel:
     """Keyed permutation of the strings of one length over one alphabet, by an unbalanced Feistel network."""
 
@@ -286,30 +319,103 @@ class Feistel:
         return text
 
 
+def mod_11_10(digits: str) -> bool:
+    """ISO 7064 with a check digit at the end, as German tax numbers have it."""
+    p = 10
+    for c in digits[:-1]:
+        p = ((int(c) + p) % 10 or 10) * 2 % 11
+    return (11 - p) % 10 == int(digits[-1])
+
+
+def weighted(digits: str, weights: list[int], modulus: int) -> int:
+    return sum(int(c) * w for c, w in zip(digits, weights)) % modulus
+
+
+#: Weights of the check digits of Russian tax numbers (fixed values).
+TAX_10 = [2, 4, 10, 3, 5, 9, 4, 6, 8]
+TAX_11 = [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
+TAX_12 = [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
+
+
+def valid(value: str) -> str:
+    """The scheme whose rules an identity number keeps; nothing if there is none."""
+    plain = re.sub(r"[^0-9A-Za-z]", "", value).upper()
+    n = len(plain)
+    if re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", plain):
+        return "insurance" if not re.match(r"[DFIQUV]|.[DFIQUVO]|BG|GB|KN|NK|NT|TN|ZZ", plain) else ""
+    if not plain.isdigit():
+        return ""
+    if n == 9:
+        return "security" if plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000" else ""
+    if n == 10:
+        return "tax" if weighted(plain, TAX_10, 11) % 10 == int(plain[9]) else ""
+    if n == 11:
+        if plain[0] != "0" and mod_11_10(plain):
+            return "tax"
+        return "pension" if weighted(plain, list(range(9, 0, -1)), 101) % 100 == int(plain[9:]) else ""
+    if n == 12:
+        return "tax" if weighted(plain, TAX_11, 11) % 10 == int(plain[10]) and weighted(plain, TAX_12, 11) % 10 == int(plain[11]) else ""
+    if n == 15:
+        return "registry" if 97 - int(plain[:13]) % 97 == int(plain[13:]) else ""
+    return ""
+
+
 def normal(kind: str, value: str) -> str:
-    """One spelling of equal values."""
+    """One spelling of equal values, separators kept where the pseudonym keeps them."""
     value = re.sub(r"\s+", " ", value.strip())
     if kind == "EMAIL":
         value = re.sub(r"^mailto:", "", value.lower().replace("＠", "@"))
         value = re.sub(r"\s*[\[({]\s*(?:at|ät|собака)\s*[\])}]\s*", "@", value)
         return re.sub(r"\s*[\[({]\s*(?:dot|punkt|point|точка)\s*[\])}]\s*", ".", value)
     if kind == "PHONE":
-        value = re.sub(r"^tel:", "", value)
-        return ("+" if value.startswith("+") else "") + re.sub(r"\D", "", value)
+        return re.sub(r"^00(?=[1-9])", "+", re.sub(r"^tel:", "", value))
+    return value if kind in ("ID", "DATE") else value.casefold()
+
+
+def same_kind(feistel: Feistel, value: str, back: bool = False) -> str:
+    """The permuted identity number, valid by the same rules as the number itself, or by none as it is."""
+    rules = valid(value)
+    out = feistel.value(value, back)
+    while valid(out) != rules:
+        out = feistel.value(out, back)
+    return out
+
+
+def moved_day(feistel: Feistel, value: str, back: bool = False) -> str:
+    day = day_of(value)
+    rule = next(r for r in DAY if r.fullmatch(value))
+    m = rule.fullmatch(value)
+    out = f"{day - FIRST:05d}"
+    out = feistel.permute(out, "0123456789", back)
+    while int(out) > LAST - FIRST:
+        out = feistel.permute(out, "0123456789", back)
+    new = date.fromordinal(FIRST + int(out))
+    if m["s"] == "-":
+        return new.isoformat()
+    return f"{new.day:02d}{m['s']}{new.month:02d}{m['s']}{new.year}"
+
+
+def pseudonym(kind: str, value: str, feistel: Feistel, back: bool = False) -> str:
+    """What stands for a value; back=True turns the pseudonym of a number or date into the value again."""
+    plain = normal(kind, value)
+    if kind == "PHONE":
+        # the number and its extension are permuted apart, so numbers stay linked whatever the extension
+        m = re.match(r"(.*?)(\s*(?:ext\.?|x|Durchwahl|poste|доб\.?)\s*\d+)?$", plain, re.S)
+        return feistel.value(m[1], back) + (feistel.value(re.sub(r"\D", "", m[2]), back).join(re.split(r"\d+", m[2], maxsplit=1)) if m[2] else "")
     if kind == "ID":
-        return re.sub(r"[^\w]", "", value)
-    return value.casefold()
+        return same_kind(feistel, plain, back)
+    if kind == "DATE":
+        return moved_day(feistel, plain, back)
+    return hmac.new(feistel.key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:16]
 
 
-def pseudonym(kind: str, value: str, feistel: Feistel) -> str:
-    plain = normal(kind, value)
-    if kind in ("PHONE", "ID"):
-        return feistel.value(plain)
-    return hmac.new(feistel.key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:10]
+def key_of(spark: SparkSession, key: str | None = None) -> str:
+    return key or spark.conf.get("spark.quire.pseudonym.key", None) or os.environ.get("QUIRE_PSEUDONYM_KEY") or secrets.token_hex(32)
 
 
-def personal_data(documents: DataFrame, key: str = KEY) -> DataFrame:
+def personal_data(documents: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, kind, value, pseudonym, start, stop) of all personal data of documents (doc_id, text)."""
+    key = key_of(documents.sparkSession, key)
 
     def run(doc, text, feistel):
         for a, b, kind in spans(text):
@@ -319,8 +425,9 @@ def personal_data(documents: DataFrame, key: str = KEY) -> DataFrame:
     return C.arrow_rows(docs, run, FOUND, lambda: (Feistel(key),))
 
 
-def redacted(documents: DataFrame, key: str = KEY) -> DataFrame:
+def redacted(documents: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_replaced): every text with typed placeholders [KIND:pseudonym]."""
+    key = key_of(documents.sparkSession, key)
 
     def run(doc, text, feistel):
         if not text:
@@ -346,4 +453,5 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(C.table(spark, sf_dir, "documents")).select("doc_id", "kind").distinct()
+    """(doc_id, kind); dates of birth are replaced, but are no kind asked for."""
+    return personal_data(C.table(spark, sf_dir, "documents")).where(F.col("kind").isin(*ORDER)).select("doc_id", "kind").distinct()

@@ -2,8 +2,9 @@
 
 Every line of a text is judged by its layout: vertical alignment of delimiters with the neighbouring lines (tables),
 markers, leaders and indentation that comes back with a period (lists), line lengths whose breaks don't come from
-wrapping and their autocorrelation, and by word, symbol and punctuation ratios (junk). The kind of the text is the kind
-that holds more than half of it.
+wrapping and their autocorrelation, and by its share of readable words (junk). The kind of the text is the kind that holds
+more than half of it; where the lines leave a doubt (DOUBT), the ratios of function words, symbols, digits and sentence ends
+of the whole text are weighed in. Labels of the texts are compared with the kinds in a query of their own.
 
 Empty texts and texts of lost-page markers alone have kind 'empty'. Null texts and null elements give no row.
 Repeated deliveries of a record give one row.
@@ -41,6 +42,8 @@ EARLY = 0.4
 PERIODIC = 0.5
 REGULAR = 0.5
 KINDS = ("prose", "list", "table", "junk")
+#: Shares of prose among the lines of a text between which its ratios decide.
+DOUBT = (0.25, 0.75)
 
 
 def delimiters(line: str) -> tuple[str, int]:
@@ -240,6 +243,14 @@ def line_kinds(lines: list[str], measures: bool = True) -> tuple[list[int], dict
     return kinds, layout
 
 
+def leaning(known: float, symbol: float, digit: float, ends: float) -> float:
+    """How far the ratios of a text speak for prose (above 0) or against it: next to none of its signs are symbols or digits in
+    prose, lines end like sentences, and in many languages a third of the words are function words, whose absence says nothing;
+    none of them shifts it by more than a tenth."""
+    parts = (max(0.0, known - 0.15) / 0.3, (0.1 - symbol) / 0.3, (0.1 - digit) / 0.3, (ends - 0.3) / 2)
+    return sum(max(-0.1, min(0.1, x * 0.2)) for x in parts)
+
+
 def judged(text: str, common: frozenset[str], measures: bool = True) -> tuple:
     """(kind, measures...) of one text; without measures those stay at zero."""
     if "<!--" in text or "[page " in text:
@@ -261,19 +272,27 @@ def judged(text: str, common: frozenset[str], measures: bool = True) -> tuple:
     total = sum(weight) or 1.0
     share = weight[PROSE] / total
     kind = "prose" if share >= 0.5 else KINDS[max((LIST, TABLE, JUNK), key=weight.__getitem__)]
-    if not measures:
+    doubt = DOUBT[0] < share < DOUBT[1]
+    if not measures and not doubt:
         return (kind, *NOTHING, share)
     words = WORD.findall(text)
     letters = sum(map(len, words))
     digits = len(DIGIT.findall(text))
+    symbol = (size - letters - digits) / size if size else 0.0
+    digit = digits / size if size else 0.0
+    known = sum(w.lower() in common for w in words) / len(words) if words else 0.0
+    if doubt:
+        kind = "prose" if share + leaning(known, symbol, digit, sum(bool(SENTENCE_END.search(x)) for x in lines) / len(lines)) >= 0.5 else KINDS[max((LIST, TABLE, JUNK), key=weight.__getitem__)]
+    if not measures:
+        return (kind, *NOTHING, share)
     return (
         kind,
         len(words),
         letters / len(words) if words else 0.0,
-        (size - letters - digits) / size if size else 0.0,
-        digits / size if size else 0.0,
+        symbol,
+        digit,
         m["ends"],
-        sum(w.lower() in common for w in words) / len(words) if words else 0.0,
+        known,
         m["aligned"],
         m["period"],
         m["corr"],
@@ -282,19 +301,22 @@ def judged(text: str, common: frozenset[str], measures: bool = True) -> tuple:
     )
 
 
-def quality(records: DataFrame, common_words: DataFrame, found_only: bool = False) -> DataFrame:
+def quality(records: DataFrame, common_words: DataFrame, kind_only: bool = False, all_kinds: bool = False) -> DataFrame:
     """One row per text of records (field_name, rec_id, text or texts): kind and statistics.
 
-    common_words is a fixed list of function words (word); it goes along with the tasks, as it doesn't grow with the data.
+    common_words is a list of function words (word) of at most VOCABULARY_BOUND rows, which goes along with the tasks; a longer
+    one is refused. kind_only gives the kinds without statistics, of lists, tables and junk if not all_kinds are asked for.
     """
-    common = frozenset(r.word.lower() for r in common_words.select("word").where("word is not null").distinct().limit(C.VOCABULARY_BOUND).collect())
+    common = frozenset(r.word.lower() for r in common_words.select("word").where("word is not null").distinct().limit(C.VOCABULARY_BOUND + 1).collect())
+    if len(common) > C.VOCABULARY_BOUND:
+        raise ValueError(f"more than {C.VOCABULARY_BOUND} function words")
 
     def kernel(field, rec, value):
         for pos, text in enumerate(value if isinstance(value, list) else (value,)):
             if text is None:
                 continue
-            kind, *rest = judged(text, common, not found_only)
-            if not found_only or kind in ("list", "table", "junk"):
+            kind, *rest = judged(text, common, not kind_only)
+            if not kind_only or all_kinds or kind in ("list", "table", "junk"):
                 yield field, rec, pos, kind, *rest
 
     return C.once(C.arrow_rows(C.narrow(records), kernel, SCHEMA), "field_name", "rec_id", "pos")
@@ -305,6 +327,18 @@ def both(spark: SparkSession, sf_dir: str, found_only: bool) -> DataFrame:
     return quality(C.bodies(spark, sf_dir), common, found_only).unionByName(quality(C.check_texts(spark, sf_dir), common, found_only))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, pos, kind, label, agrees): the label of each check text beside its kind; `bad` should stand for junk alone.
+
+    agrees is null where there is no label. Texts beyond the list of labels have none.
+    """
+    kinds = quality(C.check_texts(spark, sf_dir), C.table(spark, sf_dir, "common_words"), True, True).select("rec_id", "pos", "kind")
+    stated = C.table(spark, sf_dir, "ocr_error_checks").where("check_id is not null and labels is not null").dropDuplicates(["check_id"])
+    stated = stated.select(F.col("check_id").cast("long").alias("rec_id"), F.posexplode("labels").alias("pos", "label"))
+    both = kinds.join(stated, ["rec_id", "pos"], "left")
+    return both.withColumn("agrees", (F.col("label") == "bad") == (F.col("kind") == "junk"))
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both(spark, sf_dir, False)
 

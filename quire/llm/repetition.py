@@ -1,10 +1,11 @@
 """Problem 1: repetition inside a single document.
 
-A public vocabulary gives each record its fertility: characters per token, share of byte-fallback tokens and token
-entropy. A record of n tokens of which half or more repeat earlier ones has at most n/2 kinds of token, so its entropy
-stays at least one bit under log2(n): that is the rejection band, the same necessary condition for every script, with
-bands per script for characters per token and byte fallback beside it. Records in the band are then measured exactly;
-where every record's share is asked for, all are.
+A public vocabulary gives each record its fertility: characters per token, share of byte-fallback tokens and token entropy,
+of single tokens and of phrases of them. Rejection bands per script decide. Characters per token or byte fallback out of
+the band of the script mean junk or no writing of that script ("odd"), which is no case however often it repeats itself. A
+later copy of a phrase takes two bits at least off the sum of the phrase entropy, and covers PHRASE words at most, so a
+record with a share s of repeated words lacks s / 2 bits a word: what lacks less is rejected ("ordinary"), and no case is
+lost. Records in the band "repeats" are verified by their exact share; where every record's share is asked for, all are.
 
 Null or empty texts give no row. A record without any word has share 0. Repeated deliveries of a record give one row.
 """
@@ -24,14 +25,15 @@ from quire.llm import common as C
 VOCABULARY = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SHARE = 0.5
 PHRASE = 4
-#: Entropy deficit in bits below log2(tokens) that half of repeated copies force, less a margin for words of unequal token counts.
-DEFICIT = 0.8
 #: script: (characters a token, least and most; byte-fallback share, most). Outside of them a record isn't ordinary writing.
-BANDS = {"latin": (1.6, 6.5, 0.05), "cyrillic": (1.3, 5.0, 0.05), "other": (0.5, 8.0, 0.3)}
+#: Latin and Cyrillic hold the 0.1 to 99.9 per cent of the readable records of bands_of with a margin; the other scripts are as
+#: wide as a vocabulary without words of theirs demands, where a character may take a byte token for each of its bytes.
+BANDS = {"latin": (1.6, 6.5, 0.05), "cyrillic": (1.3, 5.0, 0.05), "greek": (0.4, 5.0, 0.6), "arabic": (0.4, 5.0, 0.6), "hebrew": (0.4, 5.0, 0.6), "indic": (0.3, 5.0, 0.9), "cjk": (0.3, 3.0, 0.9), "other": (0.25, 8.0, 1.0)}
+SCRIPTS = [("latin", "\u0000", "\u024f"), ("greek", "\u0370", "\u03ff"), ("cyrillic", "\u0400", "\u052f"), ("hebrew", "\u0590", "\u05ff"), ("arabic", "\u0600", "\u06ff"), ("indic", "\u0900", "\u0dff"), ("cjk", "\u3040", "\u9fff"), ("cjk", "\uac00", "\ud7a3")]
 UNIT = re.compile(r"[^\W\d_]+|\d+(?:[.,  ]\d+)*")
 SCHEMA = (
     "field_name string, rec_id bigint, n_words int, n_tokens int, script string, chars_per_token double, byte_fallback_share double, "
-    "token_entropy double, entropy_deficit double, band string, repeated_share double"
+    "token_entropy double, phrase_deficit double, band string, repeated_share double"
 )
 
 
@@ -69,13 +71,23 @@ def repeated_share(units: list[str], lines: list[int], phrase: int = PHRASE) ->
 
 
 def script_of(text: str) -> str:
-    cyr = lat = letters = 0
+    """The script of at least half of the letters."""
+    have: Counter = Counter()
     for c, n in Counter(text).items():
         if c.isalpha():
-            letters += n
-            cyr += n * ("Ѐ" <= c <= "ԯ")
-            lat += n * (c < "ɐ")
-    return "other" if not letters or max(cyr, lat) * 2 < letters else "cyrillic" if cyr > lat else "latin"
+            have[next((name for name, low, high in SCRIPTS if low <= c <= high), "other")] += n
+    name, n = max(have.items(), key=lambda x: x[1], default=("other", 0))
+    return name if 2 * n >= sum(have.values()) and n else "other"
+
+
+def phrase_deficit(units: list[str], lines: list[int], phrase: int = PHRASE) -> float:
+    """Bits a word that the entropy of phrases, and of lines shorter than one, lacks to that of phrases that are all different."""
+    words = len(units) - units.count("0")
+    if not words:
+        return 0.0
+    some = Counter(zip(*(units[i:] for i in range(phrase))))
+    short = Counter(tuple(units[a:b]) for a, b in zip(lines, lines[1:]) if 0 < b - a < phrase)
+    return sum(c * log2(c) for counts in (some, short) for c in counts.values() if c > 1) / words
 
 
 class Fertility:
@@ -127,35 +139,32 @@ def measured(field: str, rec: int, value, fertility: Fertility, share: float, ev
     if not units:
         return
     total, cpt, back, h = fertility.measure(units)
-    deficit = log2(total) - h if total else 0.0
     script = script_of(whole)
     low, high, most = BANDS[script]
-    band = "repeats" if deficit >= 2 * share * DEFICIT else "odd" if not low <= cpt <= high or back > most else "ordinary"
-    part = 0.0
-    # the bands and the bound are made for `share`; the exact share of a record doesn't ask for them
-    if everything:
-        part = repeated_share(units, lines)
-    elif band == "repeats":
-        n = len(units)
-        grams = n - PHRASE + 1
-        fresh = len(set(zip(*(units[i:] for i in range(PHRASE))))) if grams > 0 else 0
-        # each repeated phrase covers at most PHRASE units, so fewer of them can't cover the share
-        words = n - units.count("0")
-        if (grams - fresh) * PHRASE >= 0.6 * share * words or len(lines) > 8:
-            part = repeated_share(units, lines)
+    lacking = phrase_deficit(units, lines)
+    band = "odd" if not low <= cpt <= high or back > most else "repeats" if lacking >= share / 2 else "ordinary"
+    # the bands are made for `share`; the exact share of a record doesn't ask for them
+    part = repeated_share(units, lines) if everything or band == "repeats" else 0.0
     if everything or part >= share:
-        yield field, rec, len(units), total, script, cpt, back, h, deficit, band, part
+        yield field, rec, len(units), total, script, cpt, back, h, lacking, band, part
 
 
 def repetition(records: DataFrame, everything: bool = True, share: float = SHARE, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per record (field_name, rec_id, text or texts): fertility, band and exact share of repeated content.
 
-    everything=False keeps the records of at least `share`. Texts of one record are taken together.
+    everything=False keeps the records of at least `share` in the band "repeats". Texts of one record are taken together.
     """
     rows = C.arrow_rows(C.narrow(records), measured, SCHEMA, lambda: (Fertility(vocabulary), share, everything))
     return C.once(rows, "field_name", "rec_id")
 
 
+def bands_of(measured: DataFrame, reach: float = 0.001) -> DataFrame:
+    """(script, least, most, back): the bands that hold all but `reach` of the records of each script, of rows of repetition()."""
+    return measured.where("n_words >= 20").groupBy("script").agg(
+        F.percentile_approx("chars_per_token", reach).alias("least"), F.percentile_approx("chars_per_token", 1 - reach).alias("most"), F.percentile_approx("byte_fallback_share", 1 - reach).alias("back")
+    )
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [repetition(C.bodies(spark, sf_dir)), repetition(C.check_texts(spark, sf_dir))]
     return rows[0].unionByName(rows[1])

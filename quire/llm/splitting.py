@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from quire.llm import common as C
 
 BIG = 4_000_000
+#: Keys of long sections that are sent to every executor; more are joined.
+SENT = 500_000
+LIMITS = 1000
 #: Boundaries from the strongest to the weakest; a cut stands at the end of the match.
 BOUNDARIES = {
     "text": [re.compile(p) for p in (r"\n(?=[ \t]*#{1,6} )", r"\n(?=<!--)|\n[ \t]*\n", r"\n", r"(?<=[.!?…])[\"»”)]?\s+", r"[;:,]\s+", r"\s+")],
@@ -65,7 +68,10 @@ def spans(text: str, limit: int, overlap: int, kind: str = "text") -> list[tuple
 
 def limits(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
     """The limits by name, of a table of one row a kind of item."""
-    return {r.limit_name: (r.max_size, r.overlap_size or 0) for r in C.table(spark, sf_dir, "size_limits").where("max_size is not null").limit(1000).collect()}
+    rows = C.table(spark, sf_dir, "size_limits").where("max_size is not null").limit(LIMITS + 1).collect()
+    if len(rows) > LIMITS:
+        raise ValueError(f"more than {LIMITS} size limits")
+    return {r.limit_name: (r.max_size, r.overlap_size or 0) for r in rows}
 
 
 def split_items(items: DataFrame, limit: int, overlap: int, kind: str) -> DataFrame:
@@ -109,6 +115,10 @@ def sections(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     whole = size.groupBy(*keys).agg(F.sum("size").alias("whole_size"))
     if limit is not None:
         whole = whole.where(F.col("whole_size") > limit)
+    if limit is not None:
+        # few sections are too long: where they are, the text of all others stays where it is
+        whole = C.cut(whole)
+        whole = F.broadcast(whole) if whole.count() <= SENT else whole
     own = blocks.join(whole, keys).dropDuplicates(["block_key"])
     w = Window.partitionBy(*keys).orderBy("page_id", "block_id", "block_key").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("part", F.floor(F.coalesce(F.sum(F.length("html").cast("long")).over(w), F.lit(0)) / BIG).cast("int"))

@@ -101,6 +101,41 @@ def test_repetition(spark):
     assert out[0].chars_per_token > 2 and out[0].token_entropy > 3
 
 
+def test_bands_decide(spark):
+    """Junk that repeats itself has the share of a case, and only its characters per token tell it from one."""
+    junk = "q9#x7 zv_k !w~p4 xq|z vv#t k9~ zx" + "\n"
+    greek = "η βαλβίδα έκλεισε πριν από το μεσημέρι και κανείς δεν μέτρησε\n"
+    rows = {r.rec_id: r for r in repetition.repetition(body(spark, junk * 9, (SENTENCES[0] + "\n") * 9, greek * 9, " ".join(SENTENCES))).collect()}
+    assert [rows[i].band for i in range(4)] == ["odd", "repeats", "repeats", "ordinary"] and rows[0].repeated_share > 0.8 and rows[2].script == "greek"
+    assert {r.rec_id for r in repetition.repetition(body(spark, junk * 9, (SENTENCES[0] + "\n") * 9), False).collect()} == {1}
+    assert {r.script for r in repetition.bands_of(repetition.repetition(body(spark, " ".join(SENTENCES)))).collect()} == {"latin"}
+
+
+def test_no_case_is_rejected():
+    random.seed(9)
+    for _ in range(400):
+        words = [random.choice("abcdefghijklmnopqrstuvwxyz") * random.randint(2, 4) for _ in range(random.randint(2, 12))] + ["0"]
+        units = [random.choice(words) for _ in range(random.randint(4, 80))]
+        lines = [0, *sorted(random.sample(range(1, len(units)), random.randint(0, 3))), len(units)]
+        assert repetition.phrase_deficit(units, lines) + 1e-9 >= repetition.repeated_share(units, lines) / 2
+
+
+def test_ratios_decide_doubts():
+    """Half of the lines are prose; function words and sentence ends make the text prose, symbols and figures don't."""
+    common = frozenset("the of and to by was from".split())
+    prose = "The men carried the gauge to the river and the valve of the shaft was closed.\n"
+    listed = "- the upper valve of the second shaft, closed by the men\n- the old gauge, carried to the river\n"
+    figures = "- 88,5 bar / 12,4 mm / 7 % + 3,2\n- 41,8 bar / 90,1 mm / 8 % + 1,7\n- 17,5 bar / 33 %\n"
+    assert quality.judged(prose + listed, common)[0] == "prose" and quality.judged(prose + listed, frozenset())[11] < 0.5
+    assert quality.judged(prose + figures, frozenset())[0] == "table"
+
+
+def test_labels(spark, tmp_path):
+    folder = save(spark, tmp_path, ocr_error_checks=[(1, 1, [" ".join(SENTENCES), "m i r c n f o v j z x s v w r b h z", "x y z"], ["bad", "bad"])], common_words=WORDS)
+    got = {(r.rec_id, r.pos, r.kind, r.label, r.agrees) for r in quality.labels(spark, folder).collect()}
+    assert {(1, 0, "prose", "bad", False), (1, 1, "junk", "bad", True)} <= got and len(got) == 3
+
+
 LONG_ITEM = "removal of the worn upper valve and the gauge beside it before"
 
 
@@ -389,9 +424,19 @@ def test_packing(spark):
 
 
 def test_pack_ties():
-    where, fill = packing.pack([5, 5, 5, 5], 10)
-    assert fill == [10, 10] and sorted(where) == [0, 0, 1, 1]
-    assert packing.pack([], 10) == ([], [])
+    where, fill, of = packing.pack([5, 5, 5, 5], 10)
+    assert fill == [10, 10] and sorted(where) == [0, 0, 1, 1] and of == [1, 1]
+    assert packing.pack([], 10) == ([], [], [])
+
+
+def test_tiers_save_windows():
+    random.seed(8)
+    for _ in range(20):
+        sizes = [random.choice([random.randint(1, 30), random.randint(40, 100)]) for _ in range(400)]
+        where, fill, of = packing.pack(sizes, 100)
+        assert max(fill) <= 100 and sum(fill) == sum(sizes) and all(fill[w] == sum(s for s, x in zip(sizes, where) if x == w) for w in range(len(fill)))
+        assert len(fill) < len(packing.pack(sizes, 100, False)[1])
+        assert of == sorted(of) and {packing.tier_of(s, 100) for s in sizes} <= set(range(packing.TIERS))
 
 
 def test_leakage(spark):
@@ -430,7 +475,7 @@ def test_leaks_do_not_depend_on_neighbours(spark):
     assert {r.match for r in got} == {"phrase"}
     terms = spark.createDataFrame([(1, 30, k, k) for k in range(20)], "item_id bigint, n_words int, place int, term bigint")
     df = spark.createDataFrame([(k, 900 if k < 9 else 1) for k in range(19)], "term bigint, df bigint")
-    assert {r.term for r in leakage.looked_up(terms, df, 1000).collect()} == {0, 1, 2} | set(range(9, 19))
+    assert {r.term for r in leakage.looked_up(terms, df, 1000).collect()} == {0, 1, 2, 3, 4} | set(range(9, 19))
 
 
 def test_bit_table(spark):
@@ -474,12 +519,37 @@ def test_feistel():
     assert f.value("12025550137") != g.value("12025550137")
 
 
+def test_formats_are_kept():
+    f = personal.Feistel("k")
+    values = {"ID": ["123-45-6789", "QQ 27 83 20 C", "AB 12 34 56 C", "86 095 742 719", "112-233-445 95", "7707083893", "500100732259", "2 55 08 14 168 025 38", "X00547980", "000-17-3123"], "PHONE": ["+49 (30) 123-4567", "0049 30 23125 130", "030/23125588 ext. 12"], "DATE": ["03.02.1950", "1987-12-31", "29/02/2000"]}
+    assert [bool(personal.valid(v)) for v in values["ID"]] == [True, False, True, True, True, True, True, True, False, False]
+    form = lambda x: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", x)))
+    for kind, some in values.items():
+        for v in some:
+            out = personal.pseudonym(kind, v, f)
+            assert form(out) == form(personal.normal(kind, v)) and out != v, (v, out)
+            assert personal.pseudonym(kind, out, f, True) == personal.normal(kind, v)
+            assert kind != "ID" or personal.valid(out) == personal.valid(v)
+            assert kind != "DATE" or personal.day_of(out)
+    days = {personal.pseudonym("DATE", f"{d:02d}.{m:02d}.1950", f) for d in range(1, 29) for m in range(1, 13)}
+    assert len(days) == 28 * 12
+    assert personal.pseudonym("PHONE", "0049 30 23125", f) == personal.pseudonym("PHONE", "+49 30 23125", f)
+    assert [k for _, _, k in personal.spans("Ms Tanaka, born 03.02.1950, came on 04.05.2012; Frau Weiß and Dr. Okafor too.")] == ["NAME", "DATE", "NAME", "NAME"]
+
+
+def test_no_key_no_way_back(spark):
+    df = spark.createDataFrame([(1, "Call +1 (202) 555-0137, again +1 (202) 555-0137")], "doc_id bigint, text string")
+    one, two = (personal.redacted(df).collect()[0].text for _ in range(2))
+    assert one != two and len(set(re.findall(r"\[.*?\]", one))) == 1
+
+
 def test_redacted(spark):
     docs = [(1, "Call +1 (202) 555-0137 now"), (2, "tel:+12025550137 again"), (3, None), (4, "nothing")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("kind", F.lit("k"))
     out = {r.doc_id: r for r in personal.redacted(df, "key").collect()}
-    token = re.search(r"\[PHONE:\+\d{11}\]", out[1].text).group()
-    assert out[2].text == f"{token} again" and out[3].text is None and out[4].text == "nothing" and out[1].n_replaced == 1
+    first, second = (re.search(r"\[PHONE:(.*)\]", out[i].text)[1] for i in (1, 2))
+    assert re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", first) and re.fullmatch(r"\+\d{11}", second)
+    assert re.sub(r"\D", "", first) == re.sub(r"\D", "", second) != "12025550137" and out[3].text is None and out[4].text == "nothing" and out[1].n_replaced == 1
 
 
 def test_shared_folder(spark):
