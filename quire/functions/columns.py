@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEADING = r"^ {0,3}#{1,6}[ \t]+\S"
-FENCE = r"^ {0,3}(```|~~~)"
+GLUED = r"^ {0,3}#{1,6}[^#\s]"
+ANY_HEADING = r"^ {0,3}#{1,6}([ \t]+\S|[^#\s])"
+MEDIA = r"(?i)^(</?figure[^<>]*>|<img[^<>]*>)$"
+ANY_FORMULA = r"\$\$[^$]+\$\$|\$[^$]+\$"
 LIST_ITEM = r"^\s*([-*+]|\d{1,9}[.)])[ \t]+\S"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 TABLE_RULE = r"^[|:\- \t]*-[|:\- \t]*$"
@@ -22,11 +25,16 @@ def without_noise(line: Column) -> Column:
 
 
 def heading_level(line: Column) -> Column:
-    return F.when(line.rlike(HEADING), F.length(F.regexp_extract(line, r"^ {0,3}(#{1,6})", 1)))
+    return F.when(line.rlike(ANY_HEADING), F.length(F.regexp_extract(line, r"^ {0,3}(#{1,6})", 1)))
 
 
 def heading_title(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"^ {0,3}#{1,6}[ \t]+", ""))
+    return F.trim(F.regexp_replace(line, r"^ {0,3}#{1,6}[ \t]*", ""))
+
+
+def has_cells(line: Column) -> Column:
+    """A bar that no backslash escapes, outside of code."""
+    return F.contains(F.regexp_replace(F.regexp_replace(line, "`[^`]*`", ""), r"\\\|", ""), F.lit("|"))
 
 
 def alnum(text: Column) -> Column:
@@ -34,10 +42,10 @@ def alnum(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 
 
-def is_junk(line: Column) -> Column:
-    """Two symbols or more, no letter or digit, and no rule, fence, table rule or formula sign."""
+def is_junk(line: Column, underline: Column) -> Column:
+    """Two symbols or more, no letter or digit, and no rule, table rule, formula sign, line break or underline of a heading."""
     core = F.trim(line)
-    structural = core.rlike(r"^([-*_])( *[-*_]){2,}$") | core.rlike(FENCE) | core.rlike(TABLE_RULE) | core.rlike(r"^\$\$$") | core.rlike(r"^(=+|-+)$") | core.rlike(r"^\\+$")
+    structural = core.rlike(r"^(- *){3,}$|^(\* *){3,}$|^(_ *){3,}$") | core.rlike(TABLE_RULE) | core.rlike(r"^\$\$$") | core.rlike(r"^(\\\\)+$") | underline
     return (F.length(core) >= 2) & ~core.rlike(r"[\p{L}\p{N}]") & ~structural
 
 

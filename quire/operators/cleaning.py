@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*(.*)$")
+from quire.operators.zones import is_underline, segments
+
 HEADING = re.compile(r"^( {0,3})(#{1,6})[ \t]+(\S.*)$")
 ITEM = re.compile(r"^\s*(?:[-*+]|\d{1,9}[.)])[ \t]+\S")
 ROW = re.compile(r"^\s*\|.*\|\s*$")
@@ -30,35 +31,6 @@ ROUNDS = 4
 Segments = list[list]
 
 
-def segments(text: str) -> Segments:
-    """Lines with protection: front matter, fences (closed by the same sign, as long, without more text) and HTML tables."""
-    lines = text.split("\n")
-    out: Segments = []
-    i = 0
-    if lines and lines[0] == "---":
-        end = next((k for k in range(1, len(lines)) if lines[k] == "---"), None)
-        if end is not None:
-            out = [[x, True] for x in lines[: end + 1]]
-            i = end + 1
-    fence, depth = "", 0
-    for line in lines[i:]:
-        m = FENCE.match(line)
-        if fence:
-            out.append([line, True])
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2]:
-                fence = ""
-            continue
-        if m and not (m[1][0] == "`" and "`" in m[2]):
-            fence = m[1]
-            out.append([line, True])
-            continue
-        low = line.lower()
-        opened = low.count("<table") - low.count("</table>")
-        out.append([line, depth > 0 or opened != 0 or "<table" in low])
-        depth = max(0, depth + opened)
-    return out
-
-
 def each_plain(segs: Segments, fix) -> Segments:
     return [[x if p else fix(x), p] for x, p in segs]
 
@@ -91,7 +63,7 @@ def drop_junk(segs: Segments) -> Segments:
     for i, (line, protected) in enumerate(segs):
         core = line.strip()
         if not protected and len(core) >= 2 and not any(c.isalnum() for c in core):
-            structural = RULE.match(core) or re.fullmatch(r"([-*_])(?: *\1){2,}", core) or core == "$$" or re.fullmatch(r"=+|-+", core) and i and any(c.isalnum() for c in segs[i - 1][0]) or re.fullmatch(r"\\+", core) or re.fullmatch(r"\|[\s|]*\|", core)
+            structural = RULE.match(core) or re.fullmatch(r"([-*_])(?: *\1){2,}", core) or core == "$$" or i and is_underline(line, segs[i - 1][0]) or re.fullmatch(r"\\+", core) or re.fullmatch(r"\|[\s|]*\|", core)
             if not structural:
                 continue
         out.append([line, protected])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import columns as K
+from quire.operators.zones import zoned  # noqa: F401 the lines that all of these work on
 
 
 def order():
@@ -21,21 +22,6 @@ def explode_lines(bodies: DataFrame) -> DataFrame:
     return bodies.where("body is not null").select("result_id", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line"))
 
 
-def with_zones(lines: DataFrame) -> DataFrame:
-    """protected: fences and what they hold, HTML tables; display: lines of display formulas; page: the page above."""
-    fence = F.col("line").rlike(K.FENCE).cast("int")
-    opened = F.regexp_count("line", F.lit(r"(?i)<table\b")) - F.regexp_count("line", F.lit(r"(?i)</table>"))
-    out = lines.withColumn("fence", fence).withColumn("fences", F.sum("fence").over(so_far()))
-    out = out.withColumn("depth", F.sum(opened).over(so_far())).withColumn("opened", opened)
-    protected = (F.col("fence") == 1) | (F.col("fences") % 2 == 1) | (F.col("depth") > 0) | (F.col("opened") < 0)
-    out = out.withColumn("protected", protected)
-    dollars = F.when(~F.col("protected"), F.regexp_count("line", F.lit(r"\$\$"))).otherwise(0)
-    out = out.withColumn("dollars", dollars).withColumn("display", (F.col("dollars") > 0) | ((F.sum("dollars").over(so_far()) - F.col("dollars")) % 2 == 1))
-    page = F.when(F.col("line").rlike(K.PAGE_MARK), F.regexp_extract("line", K.PAGE_MARK, 1).cast("int"))
-    out = out.withColumn("page", F.last(page, ignorenulls=True).over(so_far()))
-    return out.drop("fence", "fences", "depth", "opened", "dollars")
-
-
 def with_blocks(lines: DataFrame) -> DataFrame:
     """block_id: runs of plain lines that aren't blank; null between them."""
     plain = (F.trim("line") != "") & ~F.col("protected")
@@ -60,13 +46,20 @@ def repeated_runs(lines: DataFrame, least: int = 3) -> DataFrame:
     return runs.where(F.col("copies") >= least).drop("run_id")
 
 
-def repeat_groups(lines: DataFrame, least: int = 3, longest: int = 80, gap: int = 3) -> DataFrame:
-    """(result_id, line, copies, median_gap) of short lines that come back close to each other."""
-    short = lines.where(~F.col("protected")).where((F.trim("line") != "") & (F.length("line") <= longest) & ~F.col("line").rlike(K.TABLE_ROW) & ~F.col("line").rlike(K.PAGE_MARK) & F.col("line").rlike(r"\p{L}"))
+def repeat_groups(lines: DataFrame, least: int = 3, rate: float = 1.0, longest: int = 80, connector: int = 3, gap: int = 3) -> DataFrame:
+    """(result_id, line, copies, median_gap, least_copies) of short lines that come back close to each other, least_copies times
+    or more: `least`, in long bodies `rate` for 1000 lines.
+
+    Headings, table rows, lines of formulas or pictures alone and a single short word repeat by design.
+    """
+    size = lines.groupBy("result_id").agg(F.greatest(F.lit(float(least)), F.count("*") * F.lit(rate) / 1000).alias("least_copies"))
+    core = F.trim("line")
+    design = F.col("line").rlike(K.HEADING) | K.has_cells(core) | core.rlike(K.MEDIA) | (F.regexp_replace(core, K.ANY_FORMULA, "") == "") | (~core.rlike(r"\s") & (F.length(core) <= connector))
+    short = lines.where(~F.col("protected") & core.rlike(r"[\p{L}\p{N}]") & (F.length(core) <= longest) & ~design & ~F.col("line").rlike(K.PAGE_MARK)).select("result_id", core.alias("line"), "line_no")
     w = Window.partitionBy("result_id", "line").orderBy("line_no")
     gaps = short.withColumn("gap", F.col("line_no") - F.lag("line_no").over(w))
     out = gaps.groupBy("result_id", "line").agg(F.count("*").alias("copies"), F.median("gap").alias("median_gap"))
-    return out.where((F.col("copies") >= least) & (F.col("median_gap") <= gap))
+    return out.where((F.col("copies") >= least) & (F.col("median_gap") <= gap)).join(size, "result_id").where("copies >= least_copies")
 
 
 def repeated_blocks(lines: DataFrame, least: int = 3) -> DataFrame:
@@ -92,9 +85,10 @@ def hyphenations(lines: DataFrame) -> DataFrame:
 
 
 def headings(lines: DataFrame) -> DataFrame:
-    """(result_id, line_no, level, title, number, previous): ATX headings outside of protected zones."""
+    """(result_id, line_no, level, title, number, glued, previous): ATX headings outside of protected zones; a glued one has no
+    blank behind its signs."""
     out = lines.where(~F.col("protected")).withColumn("level", K.heading_level(F.col("line"))).where("level is not null")
-    out = out.select("result_id", "line_no", "level", K.heading_title(F.col("line")).alias("title"))
+    out = out.select("result_id", "line_no", "level", K.heading_title(F.col("line")).alias("title"), F.col("line").rlike(K.GLUED).alias("glued"))
     return out.withColumn("number", F.regexp_extract("title", r"^(\d+(\.\d+)*)", 1)).withColumn("previous", F.lag("level").over(order()))
 
 

@@ -18,21 +18,35 @@ from quire.streaming import events as E
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-DOCS = "docs as (select result_id, any_value(body) as body, any_value(pages) as pages from ocr_results where result_id is not null group by result_id)"
+DOCS = "recursive docs as (select result_id, any_value(body) as body, any_value(pages) as pages from ocr_results where result_id is not null group by result_id)"
 RAW = DOCS + """, split as (select result_id, string_split(body, chr(10)) as a from docs where body is not null),
-raw as (select result_id, unnest(a) as line, generate_subscripts(a, 1) - 1 as line_no from split)"""
-LINES = RAW + """, fenced as (select *, regexp_matches(line, '^ {0,3}(```|~~~)') as fence,
-  len(regexp_extract_all(line, '(?i)<table\\b')) - len(regexp_extract_all(line, '(?i)</table>')) as opened from raw),
-summed as (select *, sum(fence::int) over w as fences, sum(opened) over w as depth from fenced window w as (partition by result_id order by line_no)),
-zoned0 as (select result_id, line_no, line, (fence or fences % 2 = 1 or depth > 0 or opened < 0) as protected from summed),
-counted as (select *, case when protected then 0 else len(regexp_extract_all(line, '\\$\\$')) end as dollars,
+raw as materialized (select result_id, unnest(a) as line, generate_subscripts(a, 1) - 1 as line_no from split)"""
+OPENS = "(m.sign <> '' and not (m.sign[1] = '`' and contains(m.info, '`')))"
+LINES = RAW + f""", front as (select result_id, min(line_no) as front_end from raw r where line = '---' and line_no > 0
+  and exists (select 1 from raw f where f.result_id = r.result_id and f.line_no = 0 and f.line = '---') group by result_id),
+marked as materialized (select r.*, coalesce(f.front_end, -1) as front_end, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) as sign, trim(regexp_replace(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', '')) as info,
+  contains(lower(line), '<table') as tabled, len(regexp_extract_all(lower(line), '<table')) - len(regexp_extract_all(lower(line), '</table>')) as opened from raw r left join front f using (result_id)),
+state(result_id, line_no, fence, depth, protected) as (select result_id, front_end, '', 0, true from (select distinct result_id, front_end from marked) union all
+  select m.result_id, m.line_no, case when s.fence <> '' then case when m.sign <> '' and m.sign[1] = s.fence[1] and length(m.sign) >= length(s.fence) and m.info = '' then '' else s.fence end when {OPENS} then m.sign else '' end,
+  case when s.fence <> '' or {OPENS} then s.depth else greatest(0, s.depth + m.opened) end, s.fence <> '' or {OPENS} or s.depth > 0 or m.tabled or m.opened <> 0
+  from state s join marked m on m.result_id = s.result_id and m.line_no = s.line_no + 1),
+zoned0 as (select m.result_id, m.line_no, m.line, m.line_no <= m.front_end or coalesce(s.protected, true) as protected from marked m left join state s on s.result_id = m.result_id and s.line_no = m.line_no),
+counted as (select *, case when protected then 0 else len(regexp_extract_all(line, '\\$\\$')) end as dollars, case when protected then '' else line end as own,
   case when regexp_matches(line, '^<!-- source:page (\\d+) -->$') then regexp_extract(line, '^<!-- source:page (\\d+) -->$', 1)::int end as mark from zoned0),
 lines as (select result_id, line_no, line, protected, dollars > 0 or (sum(dollars) over w - dollars) % 2 = 1 as display,
-  last_value(mark ignore nulls) over (partition by result_id order by line_no rows unbounded preceding) as page
+  last_value(mark ignore nulls) over (partition by result_id order by line_no rows unbounded preceding) as page,
+  not protected and regexp_matches(trim(line), '^(=+|-+)$') and regexp_matches(lag(own, 1, '') over w, '[\\p{{L}}\\p{{N}}]') and not regexp_matches(lag(own, 1, '') over w, '^ {{0,3}}#{{1,6}}[ \\t]+\\S') as underline
   from counted window w as (partition by result_id order by line_no))"""
-HEADS = LINES + """, heads0 as (select *, length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) as level, trim(regexp_replace(line, '^ {0,3}#{1,6}[ \\t]+', '')) as title
-  from lines where not protected and regexp_matches(line, '^ {0,3}#{1,6}[ \\t]+\\S')),
+HEADS = LINES + """, heads0 as (select *, length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) as level, trim(regexp_replace(line, '^ {0,3}#{1,6}[ \\t]*', '')) as title, regexp_matches(line, '^ {0,3}#{1,6}[^#\\s]') as glued
+  from lines where not protected and regexp_matches(line, '^ {0,3}#{1,6}([ \\t]+\\S|[^#\\s])')),
 heads as (select *, lag(level) over (partition by result_id order by line_no) as previous from heads0)"""
+JUNK = "not protected and length(c) >= 2 and not regexp_matches(c, '[\\p{L}\\p{N}]') and not (underline or regexp_matches(c, '^(- *){3,}$|^(\\* *){3,}$|^(_ *){3,}$') or regexp_matches(c, '^[|:\\- \\t]*-[|:\\- \\t]*$') or c = '$$' or regexp_matches(c, '^(\\\\\\\\)+$'))"
+REPEATS = """, may as (select result_id, trim(line) as core, line_no from lines where not protected and regexp_matches(line, '[\\p{L}\\p{N}]') and length(trim(line)) <= 80
+  and not regexp_matches(line, '^ {0,3}#{1,6}[ \\t]+\\S') and not contains(regexp_replace(regexp_replace(trim(line), '`[^`]*`', '', 'g'), '\\\\\\|', '', 'g'), '|') and not regexp_matches(trim(line), '(?i)^(</?figure[^<>]*>|<img[^<>]*>)$')
+  and regexp_replace(trim(line), '\\$\\$[^$]+\\$\\$|\\$[^$]+\\$', '', 'g') <> '' and not (not regexp_matches(trim(line), '\\s') and length(trim(line)) <= 3) and not regexp_matches(line, '^<!-- source:page (\\d+) -->$')),
+gaps as (select *, line_no - lag(line_no) over (partition by result_id, core order by line_no) as gap from may),
+groups as (select result_id, core, count(*) as copies, median(gap)::double as median_gap, greatest(3.0::double, any_value(n) / 1000) as least from gaps join (select result_id, count(*) as n from lines group by result_id) using (result_id)
+  group by result_id, core having count(*) >= 3 and median(gap) <= 3)"""
 PROSE = LINES + """, prose as (select result_id, line_no, regexp_replace(regexp_replace(regexp_replace(line, '`[^`]*`', ' ', 'g'), '\\]\\([^()\\s]*\\)', '] ', 'g'), '(https?://|www\\.)\\S+|\\S+@\\S+', ' ', 'g') as prose
   from lines where not protected and not display and not starts_with(line, '<!--')),
 words as (select result_id, word, count(*) as n from (select result_id, unnest(regexp_extract_all(lower(prose), '\\p{L}+')) as word from prose) group by all)"""
@@ -47,42 +61,116 @@ BLOCKS = "blocks as (select * from (select *, row_number() over (partition by bl
 TEXT = r"trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))".replace('\\"', '"')
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, exact: bool = False):
+    """Registers a query; in its SQL a doubled backslash is a single one, unless it is exact."""
+
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql.replace("\\\\", "\\")
+            SQL[name] = sql if exact else sql.replace("\\\\", "\\")
         return f
 
     return add
 
 
 def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.with_zones(L.explode_lines(S.bodies(spark, sf_dir)))
+    return L.zoned(S.bodies(spark, sf_dir))
 
 
 
-@query("grade_documents")
-def grade_documents(spark, sf_dir):
-    return grading.grade(S.bodies(spark, sf_dir))
+FOLD = "trim(lower(regexp_replace(regexp_replace({0}, '^\\d+(\\.\\d+)*\\.?\\s+', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+SHORT = "(not protected and trim(line) <> '' and length(line) <= 25 and not regexp_matches(line, '^\\s*([-*+]|\\d{1,9}[.)])[ \\t]+\\S') and not regexp_matches(line, '^ {0,3}#{1,6}[ \\t]+\\S') and not contains(line, '|') and not contains(line, '$') and not regexp_matches(line, '^[<!\\[]'))"
+TABLE_ROW = "(not protected and regexp_matches(line, '^\\s*\\|.*\\|\\s*$'))"
+ENTRY_SQL = "'" + grading.ENTRY + "'"
+
+
+def sql_count(text: str, rule: str) -> str:
+    return f"len(regexp_extract_all({text}, '{rule}'))"
+
 
+def valid_sql(x: str) -> str:
+    pairs = f"{sql_count(x, '[{]')} - {sql_count(x, '[\\\\][{]')} = {sql_count(x, '[}]')} - {sql_count(x, '[\\\\][}]')}"
+    return f"trim({x}) <> '' and {pairs} and {sql_count(x, '[\\\\]left[^A-Za-z]')} = {sql_count(x, '[\\\\]right[^A-Za-z]')} and {sql_count(x, '[\\\\]begin[{]')} = {sql_count(x, '[\\\\]end[{]')}"
 
-CHECK_SQL = f"""with {HEADS}, above as (select result_id, line_no, level > last_value(level ignore nulls) over (partition by result_id order by line_no rows between unbounded preceding and 1 preceding) + 1 as jump from heads),
-seen as (select *, lead(line) over w as nxt, lead(protected) over w as nxt_p from lines window w as (partition by result_id order by line_no)),
-core as (select *, trim(line, ' ') as c from seen),
-base as (select result_id, count(*) as lines, count(*) filter (where c <> '') as filled, sum(length(line) + 1)::bigint as chars,
-  sum(length(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]', '', 'g')))::bigint as alnum,
-  count(*) filter (where not protected and c <> '' and length(c) >= 2 and not regexp_matches(c, '[\\p{{L}}\\p{{N}}]') and not (regexp_matches(c, '^([-*_])( *[-*_]){{2,}}$') or regexp_matches(c, '^ {{0,3}}(```|~~~)') or regexp_matches(c, '^[|:\\- \\t]*-[|:\\- \\t]*$') or c = '$$' or regexp_matches(c, '^(=+|-+)$') or regexp_matches(c, '^\\\\+$'))) as junk,
-  count(*) filter (where not protected and regexp_matches(line, '^\\s*\\|.*\\|\\s*$')) as table_rows,
+
+def kept_letters(rule: str) -> str:
+    return f"length(regexp_replace(text, '[^{rule}]', '', 'g'))"
+
+
+MEASURES = HEADS + REPEATS + f""",
+seen as (select l.*, trim(line) as c, lead(line) over w as nxt, lead(protected) over w as nxt_p, {SHORT} as short, {TABLE_ROW} as is_row from lines l window w as (partition by result_id order by line_no)),
+base as (select result_id, count(*) as lines, count(*) filter (where c <> '') as filled, sum(length(line) + 1)::bigint as chars, sum(length(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]', '', 'g')))::bigint as alnum,
+  count(*) filter (where c <> '' and {JUNK}) as junk, count(*) filter (where is_row) as table_rows,
   count(*) filter (where not protected and not display and not nxt_p and regexp_matches(line, '\\p{{L}}-\\s*$') and regexp_matches(nxt, '^\\s*\\p{{Ll}}')) as hyphens,
-  count(*) filter (where regexp_matches(line, '^\\[page (\\d+) not recognized\\]$')) as lost from core group by result_id)
-select b.result_id, lines, filled, chars, alnum, coalesce(h.headings, 0) as headings, coalesce(h.jumps, 0) as jumps, junk, table_rows, hyphens, lost
-from base b left join (select result_id, count(*) as headings, count(*) filter (where level > previous + 1) as jumps from heads group by result_id) h using (result_id)"""
+  count(*) filter (where regexp_matches(line, '^\\[page (\\d+) not recognized\\]$')) as lost, coalesce(string_agg(line, chr(10) order by line_no) filter (where not protected), '') as text,
+  coalesce(sum({sql_count('line', grading.GREEK_UNIT)} - {sql_count('line', grading.KNOWN_UNIT)}) filter (where not protected and regexp_matches(regexp_replace(line, '\\$\\$[^$]+\\$\\$|\\$[^$]+\\$', '', 'g'), '\\p{{Cyrillic}}')), 0)::bigint as greek_units from seen group by result_id),
+hs as (select result_id, count(*) as headings, count(*) filter (where glued or level > previous + 1) as jumps from heads group by result_id),
+depths as (select result_id, level, case when regexp_matches(title, '^\\d+(\\.\\d+)*\\.?\\s+') then len(regexp_extract_all(regexp_extract(title, '^([\\d.]+)', 1), '\\d+')) else 0 end as depth from heads),
+per_level as (select result_id, level, count(*) as n, row_number() over (partition by result_id order by count(*) desc, level) as r, sum(count(*)) over (partition by result_id) as of_all from depths group by result_id, level),
+known as (select result_id, count(distinct depth) as kinds, min(depth) as least from depths where depth > 0 group by result_id),
+ladder as (select d.result_id, count(*) filter (where d.level = p.level and d.depth > k.least) as flat_ladder from depths d join per_level p on p.result_id = d.result_id and r = 1 join known k on k.result_id = d.result_id where of_all >= 3 and 3 * n > 2 * of_all and kinds >= 2 group by d.result_id),
+unders as (select l.result_id, l.line, l.protected, last_value(case when h.level is not null then {FOLD.format('h.title')} end ignore nulls) over (partition by l.result_id order by l.line_no rows unbounded preceding) as under from lines l left join heads h on h.result_id = l.result_id and h.line_no = l.line_no),
+entries as (select distinct result_id, {FOLD.format(f"regexp_extract(line, {ENTRY_SQL}, 2)")} as title from unders where not protected and under in {grading.CONTENTS} and regexp_matches(line, {ENTRY_SQL})),
+chaps as (select e.result_id, count(*) as chapters, count(*) filter (where not exists (select 1 from heads h where h.result_id = e.result_id and {FOLD.format('h.title')} = e.title)) as lost_chapters from entries e group by e.result_id),
+runs0 as (select *, row_number() over w - sum(short::int) over w as run, row_number() over w - sum(is_row::int) over w as tab from seen window w as (partition by result_id order by line_no)),
+flat as (select result_id, count(*) as flat_runs from (select result_id, run from runs0 where short group by result_id, run having count(*) >= 6) group by result_id),
+trow as (select result_id, tab, row_number() over (partition by result_id, tab order by line_no) as k, len(string_split(replace(regexp_replace(regexp_replace(line, '^\\s*\\|', ''), '\\|\\s*$', ''), '\\|', '!'), '|')) as n, regexp_matches(line, '^[|:\\- \\t]*-[|:\\- \\t]*$') as is_rule from runs0 where is_row),
+twide as (select *, max(case when k = 2 and is_rule then n end) over (partition by result_id, tab) as width from trow),
+tfit as (select *, max((k <> 2 and n = width)::int) over (partition by result_id, tab) as fits from twide),
+broken as (select result_id, count(*) as broken_rows from tfit where width is not null and fits = 1 and n <> width group by result_id),
+rep as (select result_id, count(*) filter (where copies >= least) as repeat_groups, max(copies) filter (where copies >= least) as most_copies from groups group by result_id),
+plain as (select result_id, text, regexp_replace(replace(text, '\\$', '  '), '`[^`\\n]*`', '', 'g') as bare from base),
+found as (select *, regexp_extract_all(bare, '\\$\\$([^$]*)\\$\\$', 1) as display, regexp_extract_all(regexp_replace(bare, '\\$\\$[^$]*\\$\\$', ' ', 'g'), '\\$([^$\\s][^$\\n]*)\\$', 1) as inline from plain),
+math as (select result_id, len(display) + len(inline) as formulas, len(list_filter(list_concat(display, inline), lambda x: not ({valid_sql('x')}))) as bad_formulas, {sql_count('bare', '[$][$]')} as display_signs,
+  len(list_filter(display, lambda x: regexp_matches(x, '{grading.STRUCTURE}') or length(x) > 3000 or len(string_split(x, chr(10))) > 40)) as runaway, {kept_letters('\\p{Latin}')} as latin, {kept_letters('\\p{Cyrillic}')} as cyrillic, {kept_letters('\\p{Greek}')} as greek,
+  {kept_letters('\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}')} as cjk, {kept_letters('\\p{L}')} as letters, {kept_letters(grading.ACCENTED)} as accented, {kept_letters(grading.IMPOSSIBLE)} as impossible from found),
+measures as (select b.result_id, pages, lines, filled, chars, alnum, coalesce(headings, 0) as headings, coalesce(jumps, 0) as jumps, junk, table_rows, coalesce(broken_rows, 0) as broken_rows, hyphens, coalesce(flat_runs, 0) as flat_runs, lost, greek_units,
+  coalesce(repeat_groups, 0) as repeat_groups, coalesce(most_copies, 0)::bigint as most_copies, coalesce(flat_ladder, 0) as flat_ladder, coalesce(chapters, 0) as chapters, coalesce(lost_chapters, 0) as lost_chapters, formulas, bad_formulas, display_signs, runaway,
+  letters + impossible as sample, greatest(0, letters - case when latin = greatest(latin, cyrillic, greek, cjk) then latin + cyrillic else greatest(latin, cyrillic, greek, cjk) + latin end) + impossible as unreadable, letters, accented, cyrillic
+  from base b join docs using (result_id) join math using (result_id) left join hs using (result_id) left join ladder using (result_id) left join chaps using (result_id) left join flat using (result_id) left join broken using (result_id) left join rep using (result_id))"""
+
+
+def counted_sql(column: str, floor: float, rate: float) -> str:
+    return f"greatest(0.0, {column} - {floor}) / greatest({float(floor)}::double, {float(rate)} * lines / 1000.0)"
+
+
+def check_rows(undone: str) -> str:
+    rows = {
+        "text_density": ("0", "coalesce(pages > 0 and chars - 1 < 350 * pages, false)"), "empty_body": ("0", "alnum < 20"),
+        "unreadable_chars": ("case when sample >= 200 then unreadable / sample / 0.15 else 0 end", "sample >= 200 and cyrillic >= 0.05::double * letters and accented > 0.15::double * letters"),
+        "formulas": (counted_sql("bad_formulas", 2, 1), "false"), "runaway_math": ("0", "display_signs % 2 = 1 or runaway > 0"), "greek_units": ("greek_units", "false"),
+        "headings": (counted_sql("jumps", 1, 2), "false"), "flat_ladder": (counted_sql("flat_ladder", 0, 2), "false"), "lost_chapters": ("greatest(0, lost_chapters - 1) / greatest(1.0::double, chapters / 4)", "false"),
+        "tables": (counted_sql("broken_rows", 0, 1), "false"), "junk_lines": ("junk / greatest(filled, 1) / 0.02::double", "false"),
+        "repeats": (counted_sql("repeat_groups", 0, 1), "most_copies > 10 * greatest(3.0::double, lines / 1000)"), "hyphenation": (counted_sql("hyphens", 2, 2), "false"), "flattened_blocks": (counted_sql("flat_runs", 2, 2), "false"),
+        "lost_pages": ("0", "lost > 0"), "inspection_coverage": (f"coalesce({undone} / 0.5::double, 0)", f"coalesce({undone} > 0.5, false)"),
+    }
+    return ", ".join(f"{{'at': {k}, 'name': '{n}', 'halvings': ({rows[n][0]})::double, 'veto': {rows[n][1]}}}" for k, n in enumerate(grading.CHECKS))
 
 
-@query("body_measures", CHECK_SQL)
+LAST = "last as (select * from (select *, row_number() over (partition by result_id order by ingested_at desc) as r from result_headers) where r = 1)"
+#: Share of the chunks that an inspection left undone, as its header says it.
+UNDONE = "(1 - try_cast(regexp_extract(inspection, 'partial \\((\\d+)/(\\d+)\\)', 1) as double) / try_cast(regexp_extract(inspection, 'partial \\((\\d+)/(\\d+)\\)', 2) as double))"
+GRADE_SQL = f"""with {MEASURES}, {LAST}, m as (select measures.*, {UNDONE} as undone from measures left join last on last.result_id = measures.result_id),
+checked as (select result_id, unnest([{check_rows('undone')}]) as k from m),
+sums as (select result_id, sum(k.halvings) as s, bool_or(k.veto) as veto, coalesce(string_agg(k.name, ',' order by k.at) filter (where k.veto or 100 * pow(2, -k.halvings) < 50), '') as issues from checked group by result_id)
+select result_id, case when veto then 0 else round_even(100 * pow(2, -s), 1) end::double as score, case when not veto and 100 * pow(2, -s) >= 50 then 'ok' else 'bad' end as status, issues from sums"""
+
+
+@query("grade_documents", GRADE_SQL, True)
+def grade_documents(spark, sf_dir):
+    """Every body graded; the inspection of its header tells how many chunks were left undone."""
+    part = lambda k: F.try_element_at(F.split(F.regexp_extract("inspection", r"partial \((\d+/\d+)\)", 1), "/"), F.lit(k)).try_cast("int")
+    heads = S.headers(spark, sf_dir).select("result_id", part(2).alias("chunks"), part(1).alias("done"))
+    out = grading.grade(S.bodies(spark, sf_dir).join(heads, "result_id", "left"))
+    return out.select("result_id", "score", "status", F.array_join("issues", ",").alias("issues"))
+
+
+MEASURED = "result_id lines filled chars alnum headings jumps junk table_rows broken_rows hyphens flat_runs lost greek_units repeat_groups most_copies flat_ladder chapters lost_chapters formulas bad_formulas display_signs runaway sample unreadable".split()
+
+
+@query("body_measures", f"with {MEASURES} select {', '.join(MEASURED)} from measures", True)
 def body_measures(spark, sf_dir):
-    return grading.measures(S.bodies(spark, sf_dir)).select("result_id", "lines", "filled", "chars", "alnum", "headings", "jumps", "junk", "table_rows", "hyphens", "lost")
+    return grading.measures(S.bodies(spark, sf_dir)).select(*MEASURED)
 
 
 @query("md_lines", f"with {RAW} select result_id, count(*) as lines, count(*) filter (where trim(line) = '') as blank, max(length(line)) as longest from raw group by result_id")
@@ -112,14 +200,14 @@ def noise_stripped(spark, sf_dir):
     return lines.where(K.without_noise(F.col("line")) != F.col("line")).groupBy("result_id").agg(F.count("*").alias("changed_lines"))
 
 
-@query("junk_lines", f"with {LINES}, core as (select *, trim(line) as c from lines) select result_id, line_no::int as line_no from core where not protected and length(c) >= 2 and not regexp_matches(c, '[\\p{{L}}\\p{{N}}]') and not (regexp_matches(c, '^([-*_])( *[-*_]){{2,}}$') or regexp_matches(c, '^ {{0,3}}(```|~~~)') or regexp_matches(c, '^[|:\\- \\t]*-[|:\\- \\t]*$') or c = '$$' or regexp_matches(c, '^(=+|-+)$') or regexp_matches(c, '^\\\\+$'))")
+@query("junk_lines", f"with {LINES}, core as (select *, trim(line) as c from lines) select result_id, line_no::int as line_no from core where {JUNK}", True)
 def junk_lines(spark, sf_dir):
-    return zoned(spark, sf_dir).where(~F.col("protected") & K.is_junk(F.col("line"))).select("result_id", "line_no")
+    return zoned(spark, sf_dir).where(~F.col("protected") & K.is_junk(F.col("line"), F.col("underline"))).select("result_id", "line_no")
 
 
-@query("repeat_groups", f"with {LINES}, s as (select *, line_no - lag(line_no) over (partition by result_id, line order by line_no) as gap from lines where not protected and trim(line) <> '' and length(line) <= 80 and not regexp_matches(line, '^\\s*\\|.*\\|\\s*$') and not regexp_matches(line, '^<!-- source:page (\\d+) -->$') and regexp_matches(line, '\\p{{L}}')) select result_id, line, count(*) as copies, median(gap)::double as median_gap from s group by result_id, line having count(*) >= 3 and median(gap) <= 3")
+@query("repeat_groups", f"with {LINES}{REPEATS} select result_id, core as line, copies, median_gap from groups where copies >= least", True)
 def repeat_groups(spark, sf_dir):
-    return L.repeat_groups(zoned(spark, sf_dir))
+    return L.repeat_groups(zoned(spark, sf_dir)).select("result_id", "line", "copies", "median_gap")
 
 
 @query("repeated_line_runs", f"with {LINES}, l as (select * from lines where not protected), f as (select *, (line is distinct from lag(line) over w or lag(line_no) over w is distinct from line_no - 1) as fresh from l window w as (partition by result_id order by line_no)), r as (select *, sum(fresh::int) over (partition by result_id order by line_no) as run_id from f) select result_id, min(line) as line, min(line_no)::int as first_line, count(*) as copies from r where trim(line) <> '' and not regexp_matches(line, '^\\s*\\|.*\\|\\s*$') group by result_id, run_id having count(*) >= 3")
@@ -369,7 +457,6 @@ def page_chunks(spark, sf_dir):
     return edits.chunks(edits.page_tokens(zoned(spark, sf_dir)), 600)
 
 
-LAST = "last as (select * from (select *, row_number() over (partition by result_id order by ingested_at desc) as r from result_headers) where r = 1)"
 
 
 @query("latest_headers", f"with {LAST} select result_id, archive_id, source, status, score from last")

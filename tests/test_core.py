@@ -19,7 +19,7 @@ def bodies(spark, *texts):
 
 
 def zoned(spark, *texts):
-    return L.with_zones(L.explode_lines(bodies(spark, *texts)))
+    return L.zoned(bodies(spark, *texts))
 
 
 def plain(value):
