@@ -87,6 +87,18 @@ def oversize_heading_off(line: Column) -> Column:
 LINE_FIXES = (without_noise, path_alt_off, glued_emphasis_off, entry_number_joined, anchors_off, heading_emphasis_off, oversize_heading_off, bullet_promoted, bold_marker_spaced)
 
 
+#: Signs of one character for several letters, and what they stand for (fixed values).
+LIGATURES = (("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def plain_characters(text: Column) -> Column:
+    """Ligatures as letters, other spaces and tabs as blanks, line ends as one sign, no control characters."""
+    for sign, letters in LIGATURES:
+        text = F.replace(text, F.lit(sign), F.lit(letters))
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[\t\u00a0\u2000-\u200a\u202f\u205f\u3000]", " ")
+    return F.regexp_replace(text, "[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f]", "")
+
+
 def value_form(value: Column) -> Column:
     """Form of a table value: 9 for digits, A for letters."""
     return F.regexp_replace(F.regexp_replace(F.trim(value), r"\p{N}+", "9"), r"\p{L}+", "A")

@@ -63,13 +63,19 @@ def page_tokens(lines: DataFrame) -> DataFrame:
 
 
 def chunks(pages: DataFrame, budget: int = 2000, most_pages: int = 8) -> DataFrame:
-    """(result_id, page, chunk): pages in order, a new chunk where the budget or the number of pages would be passed."""
-    w = Window.partitionBy("result_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    listed = pages.withColumn("so_far", F.collect_list("tokens").over(w))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("have"), F.lit(0).alias("n"))
+    """(result_id, page, chunk): pages in order, a new chunk where the budget or the number of pages would be passed.
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = ((acc["have"] + x <= budget) & (acc["n"] < most_pages)) | (acc["n"] == 0)
-        return F.when(fits, F.struct(acc["chunk"].alias("chunk"), (acc["have"] + x).alias("have"), (acc["n"] + 1).alias("n"))).otherwise(F.struct((acc["chunk"] + 1).alias("chunk"), x.alias("have"), F.lit(1).alias("n")))
+    The pages of a result meet once in one row, are folded into chunks there, and come apart again.
+    """
+    listed = pages.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct("page", "tokens"))).alias("pages"))
+    kind = "array<struct<page:int,chunk:int,have:bigint,n:int>>"
 
-    return listed.select("result_id", "page", F.aggregate("so_far", start, step)["chunk"].alias("chunk"))
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        fits = F.coalesce((last["have"] + x["tokens"] <= budget) & (last["n"] < most_pages), F.lit(False))
+        chunk = F.when(fits, last["chunk"]).otherwise(F.coalesce(last["chunk"] + 1, F.lit(0)))
+        have, n = F.when(fits, last["have"]).otherwise(F.lit(0)) + x["tokens"], F.when(fits, last["n"]).otherwise(F.lit(0)) + 1
+        return F.concat(acc, F.array(F.struct(x["page"].cast("int").alias("page"), chunk.cast("int").alias("chunk"), have.cast("long").alias("have"), n.cast("int").alias("n"))))
+
+    folded = listed.select("result_id", F.explode(F.aggregate("pages", F.array().cast(kind), step)).alias("p"))
+    return folded.select("result_id", "p.page", "p.chunk")

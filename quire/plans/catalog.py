@@ -58,6 +58,7 @@ numbered as (select result_id, table_id, line_no, row_number() over (partition b
 rows as (select * from (select *, bool_or(is_rule and row_no = 2) over (partition by result_id, table_id) as ruled from numbered) where ruled),
 cells0 as (select result_id, table_id, row_no, unnest(cells) as cell, generate_subscripts(cells, 1) - 1 as col_no from rows where not is_rule)"""
 BLOCKS = "blocks as (select * from (select *, row_number() over (partition by block_key order by ingested_at) as rn from block_outputs) where rn = 1)"
+BOXED = BLOCKS + ", boxed as (select *, list_min([p[1] for p in polygon]) as x0, list_min([p[2] for p in polygon]) as y0, list_max([p[1] for p in polygon]) as x1, list_max([p[2] for p in polygon]) as y1 from blocks)"
 TEXT = r"trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'))".replace('\\"', '"')
 
 
@@ -215,7 +216,7 @@ def repeated_line_runs(spark, sf_dir):
     return L.repeated_runs(zoned(spark, sf_dir))
 
 
-@query("repeated_blocks")
+@query("repeated_blocks", f"with {LINES}, p as (select *, (trim(line) <> '' and not protected) as plain from lines), q as (select *, plain and not coalesce(lag(plain) over (partition by result_id order by line_no), false) as first from p), r as (select *, sum(first::int) over (partition by result_id order by line_no) as block_id from q), b as (select result_id, block_id, string_agg(line, chr(10) order by line_no) as text from r where plain group by result_id, block_id), f as (select *, text is distinct from lag(text) over (partition by result_id order by block_id) as fresh from b), g as (select *, sum(fresh::int) over (partition by result_id order by block_id) as run_id from f) select result_id, min(block_id)::bigint as first_block, count(*) as copies from g group by result_id, run_id having count(*) >= 3")
 def repeated_blocks(spark, sf_dir):
     return L.repeated_blocks(L.with_blocks(zoned(spark, sf_dir)))
 
@@ -241,9 +242,9 @@ def word_counts(spark, sf_dir):
     return words.word_counts(zoned(spark, sf_dir))
 
 
-@query("near_words", f"with {PROSE}, k as (select *, unnest([substr(word, 1, i - 1) || '*' || substr(word, i + 1) for i in range(1, length(word) + 1)]) as key from words where length(word) >= 6), pairs as (select r.result_id, r.word, o.word as neighbour from k r join k o on r.result_id = o.result_id and r.key = o.key where r.n = 1 and o.n >= 6) select result_id, word, min(neighbour) as neighbour from pairs group by result_id, word having count(distinct neighbour) = 1")
+@query("near_words", f"with {PROSE}, k as (select *, unnest([substr(word, 1, i - 1) || '*' || substr(word, i + 1) for i in range(1, length(word) + 1)]) as key from words where length(word) >= 6), pairs as (select r.result_id, r.word, o.word as neighbour from k r join k o on r.result_id = o.result_id and r.key = o.key where r.n = 1 and o.n >= 20) select result_id, word, min(neighbour) as neighbour from pairs group by result_id, word having count(distinct neighbour) = 1")
 def near_words(spark, sf_dir):
-    return words.near_words(words.word_counts(zoned(spark, sf_dir)), witness=6)
+    return words.near_words(words.word_counts(zoned(spark, sf_dir)))
 
 
 @query("compound_hyphens", f"with {PROSE}, h as (select result_id, form, count(*) as broken_n, replace(form, '-', '') as joined from (select result_id, unnest(regexp_extract_all(lower(prose), '\\p{{L}}+-\\p{{L}}+')) as form from prose) group by result_id, form), o as (select result_id, joined, min(form) as form, sum(broken_n)::bigint as broken_n from h group by result_id, joined having count(*) = 1) select o.result_id, joined, form, broken_n, w.n as joined_n, case when w.n >= 3 * broken_n then 'join' when broken_n >= 3 * w.n then 'break' else 'leave' end as decision from o join words w on w.result_id = o.result_id and w.word = o.joined")
@@ -251,7 +252,7 @@ def compound_hyphens(spark, sf_dir):
     return words.compounds(zoned(spark, sf_dir))
 
 
-@query("source_coverage")
+@query("source_coverage", f"with {PROSE}, t as (select result_id, unnest(texts) as t from (select check_id, any_value(result_id) as result_id, any_value(texts) as texts from ocr_error_checks where texts is not null group by check_id)), there as (select distinct result_id, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) as word from t where t is not null) select w.result_id, round(sum(case when h.word is not null then n else 0 end) / sum(n), 6)::double as share from words w left join there h on h.result_id = w.result_id and h.word = w.word group by w.result_id")
 def source_coverage(spark, sf_dir):
     z = zoned(spark, sf_dir)
     checks = S.table(spark, sf_dir, "ocr_error_checks").where("texts is not null").dropDuplicates(["check_id"])
@@ -274,7 +275,7 @@ def headings_off_mode(spark, sf_dir):
     return L.off_mode(L.headings(zoned(spark, sf_dir)))
 
 
-@query("section_parents")
+@query("section_parents", f"with {HEADS} select h.result_id, h.line_no::int as line_no, h.level::int as level, (select max(p.line_no) from heads p where p.result_id = h.result_id and p.line_no < h.line_no and p.level < h.level)::int as parent from heads h")
 def section_parents(spark, sf_dir):
     return L.section_path(L.headings(zoned(spark, sf_dir))).select("result_id", "line_no", "level", "parent")
 
@@ -294,13 +295,13 @@ def empty_columns(spark, sf_dir):
     return T.empty_columns(T.cells(T.rows(zoned(spark, sf_dir))))
 
 
-@query("split_tables")
+@query("split_tables", f"with {ROWS}, t as (select result_id, table_id, min(line_no) as line_no, max(line_no) as last_line, list_aggregate(arg_min(cells, row_no), 'string_agg', '|') as head from rows group by result_id, table_id), n as (select *, lag(head) over w as before, lag(last_line) over w as before_last from t window w as (partition by result_id order by line_no)) select result_id, line_no::int as line_no, before_last::int as previous_line from n where head = before and not exists (select 1 from lines l where l.result_id = n.result_id and l.line_no > before_last and l.line_no < n.line_no and trim(l.line) <> '' and not regexp_matches(l.line, '^<!-- source:page (\\d+) -->$'))")
 def split_tables(spark, sf_dir):
     z = zoned(spark, sf_dir)
     return T.split_tables(T.rows(z), z)
 
 
-@query("padded_tables")
+@query("padded_tables", f"with {ROWS}, w as (select *, max(length(cell)) over (partition by result_id, table_id, col_no) as width from cells0), r as (select result_id, table_id, row_no, 1 + sum(width + 3) as total, string_agg(cell, ' | ' order by col_no) as narrow, string_agg(rpad(cell, width::int, ' '), ' | ' order by col_no) as wide from w group by result_id, table_id, row_no) select result_id, table_id::bigint as table_id, row_no::int as row_no, '| ' || case when total <= 120 then wide else narrow end || ' |' as line from r")
 def padded_tables(spark, sf_dir):
     return T.padded(T.cells(T.rows(zoned(spark, sf_dir))))
 
@@ -366,7 +367,7 @@ def structure_differences(spark, sf_dir):
     return both.where(~F.col("headings").eqNullSafe(F.col("stated_headings")) | ~F.col("images").eqNullSafe(F.col("stated_images")) | ~F.col("tables").eqNullSafe(F.col("stated_tables"))).select("result_id", "headings", "stated_headings", "images", "stated_images", "tables", "stated_tables")
 
 
-@query("reading_order")
+@query("reading_order", f"with {BOXED} select result_id, page_id, block_key, row_number() over (partition by result_id, page_id order by case block_type when 'PageHeader' then 0 when 'Footnote' then 2 when 'PageFooter' then 3 else 1 end, round(y0 / 1.25), x0, block_id)::int as place from boxed")
 def reading_order(spark, sf_dir):
     return layout.reading_order(S.blocks(spark, sf_dir)).select("result_id", "page_id", "block_key", F.col("place").cast("int").alias("place"))
 
@@ -376,12 +377,12 @@ def block_boxes(spark, sf_dir):
     return S.blocks(spark, sf_dir).select("block_key", *layout.box())
 
 
-@query("common_elements")
+@query("common_elements", f"with {BOXED}, e as (select *, max(y1) over p as height, block_id = min(block_id) over p or block_id = max(block_id) over p as edge from boxed window p as (partition by result_id, page_id)), t as (select result_id, block_key, page_id, y0, height, trim(regexp_replace(lower({TEXT}), '[\\d\\s]+', ' ', 'g')) as text from e where edge and html is not null and html <> ''), n as (select *, coalesce(y0 - lag(y0) over (partition by result_id, text order by y0, block_key) <= 0.02 * height, false)::int as beside, page_id - dense_rank() over (partition by result_id, text order by page_id) as island from t where text <> ''), r as (select result_id, text, island, count(distinct page_id) as n, max(beside) as beside from n group by all), h as (select result_id, text from r join (select result_id, count(distinct page_id) as pages from blocks group by result_id) using (result_id) group by result_id, text having sum(n) >= 4 and max(beside) = 1 and (max(n) >= 3 or sum(n) >= 0.2 * max(pages))) select n.result_id, block_key from n join h on h.result_id = n.result_id and h.text = n.text")
 def common_elements(spark, sf_dir):
     return layout.common_elements(S.blocks(spark, sf_dir))
 
 
-@query("image_furniture")
+@query("image_furniture", f"with {BOXED}, p as (select result_id, block_key, page_id, x0 / height as x, y0 / height as y from (select *, max(y1) over (partition by result_id, page_id) as height from boxed) where block_type = 'Picture' and (y1 <= 0.15::double * height or y0 >= 0.85::double * height)) select a.result_id, a.block_key, count(distinct b.page_id) as pages from p a join p b on a.result_id = b.result_id and abs(a.x - b.x) <= 0.015::double and abs(a.y - b.y) <= 0.015::double group by a.result_id, a.block_key having count(distinct b.page_id) >= 3")
 def image_furniture(spark, sf_dir):
     return layout.image_furniture(S.blocks(spark, sf_dir))
 
@@ -406,7 +407,7 @@ def contents(spark, sf_dir):
     return layout.contents(S.blocks(spark, sf_dir))
 
 
-@query("joined_paragraphs")
+@query("joined_paragraphs", f"with {BLOCKS}, f as (select result_id, block_key, page_id, block_id, {TEXT} as text from blocks where block_type in ('Text', 'TextInlineMath') and html is not null and html <> ''), n as (select *, lead(block_key) over w as next_key, lead(page_id) over w as next_page, lead(text) over w as next_text from f where text <> '' window w as (partition by result_id order by page_id, block_id)) select result_id, block_key, next_key from n where next_page = page_id + 1 and (regexp_matches(text, '\\p{{L}}-$') or not regexp_matches(text, '[.!?:;…][\"''»”)]*$')) and regexp_matches(next_text, '^\\p{{Ll}}')")
 def joined_paragraphs(spark, sf_dir):
     return layout.joined_paragraphs(S.blocks(spark, sf_dir))
 
@@ -416,11 +417,42 @@ def table_grids(spark, sf_dir):
     return layout.table_grid(S.blocks(spark, sf_dir)).select("result_id", "block_key", "n_rows", "n_cells")
 
 
-@query("merged_tables")
+@query("merged_tables", f"with {BLOCKS}, g as (select result_id, block_key, page_id, block_id, len(regexp_extract_all(html, '<t[dh]>')) / greatest(len(regexp_extract_all(html, '<tr>')), 1) as columns, regexp_extract(html, '(?s)<tr>(.*?)</tr>', 1) as first_row from blocks where block_type = 'Table' and html is not null), n as (select *, lead(block_key) over w as next_key, lead(page_id) over w as next_page, lead(columns) over w as next_columns, lead(first_row) over w as next_first from g window w as (partition by result_id order by page_id, block_id)), c as (select *, list_filter([trim(regexp_replace(x, '<[^>]*>', '', 'g')) for x in regexp_extract_all(next_first, '(?s)<t[dh]>(.*?)</t[dh]>', 1)], lambda y: y <> '') as cells from n) select result_id, block_key, next_key, next_first = first_row as repeats_header from c where next_page = page_id + 1 and columns = next_columns and (next_first = first_row or (len(cells) > 0 and 2 * len(list_filter(cells, lambda y: regexp_matches(y, '^[-–+±]?\\d[\\d.,\\s]*%?$'))) >= len(cells)))")
 def merged_tables(spark, sf_dir):
     return layout.merged_tables(S.blocks(spark, sf_dir))
 
 
+@query("quote_levels", f"with {BOXED}, p as (select *, min(x0) over w as lft, max(x1) over w as rgt from boxed where block_type = 'Text' window w as (partition by result_id, page_id)), l as (select *, floor((x0 - lft) / greatest(rgt - lft, 1.0) / 0.02::double + 1e-9)::int as level from p) select result_id, block_key, level from l where level >= 1 and x1 <= rgt - 0.02::double * (rgt - lft)")
+def quote_levels(spark, sf_dir):
+    return layout.quote_levels(S.blocks(spark, sf_dir))
+
+
+@query("list_levels", f"with {BOXED} select result_id, block_key, dense_rank() over (partition by result_id, page_id order by floor(x0 / 5.0))::int as level from boxed where block_type = 'ListItem' and x0 is not null")
+def list_levels(spark, sf_dir):
+    return layout.list_levels(S.blocks(spark, sf_dir))
+
+
+@query("footnotes", f"with {BLOCKS}, t as (select result_id, block_key, {TEXT} as text from blocks where block_type = 'Footnote' and html is not null) select result_id, block_key, nullif(regexp_extract(text, '^(\\d{{1,3}}|[*†‡]+)[.)]?\\s+\\S', 1), '') as mark, trim(regexp_replace(text, '^(\\d{{1,3}}|[*†‡]+)[.)]?\\s+', '')) as text from t")
+def footnotes(spark, sf_dir):
+    return layout.footnotes(S.blocks(spark, sf_dir))
+
+
+@query("numbered_margins")
+def numbered_margins(spark, sf_dir):
+    return layout.numbered_margins(S.blocks(spark, sf_dir))
+
+
+@query("heading_heights")
+def heading_heights(spark, sf_dir):
+    return layout.heading_heights(S.blocks(spark, sf_dir))
+
+
+@query("plain_block_texts", f"with {BLOCKS} select block_key, sha256(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace({TEXT}, 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬅ', 'st'), 'ﬆ', 'st'), '\\r\\n?', chr(10), 'g'), '[\\t\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g')) as digest from blocks where html is not null")
+def plain_block_texts(spark, sf_dir):
+    """A digest of each block's text with plain characters, so texts that are equal but for them meet."""
+    return S.blocks(spark, sf_dir).where("html is not null").select("block_key", F.sha2(K.plain_characters(layout.visible_text(F.col("html"))), 256).alias("digest"))
+
+
 @query("blocks_to_markdown")
 def blocks_to_markdown(spark, sf_dir):
     return layout.to_markdown(S.blocks(spark, sf_dir))
@@ -452,9 +484,9 @@ def page_tokens(spark, sf_dir):
     return edits.page_tokens(zoned(spark, sf_dir))
 
 
-@query("page_chunks")
+@query("page_chunks", f"with {LINES}, p as (select result_id, coalesce(page, 0) as page, ceil(sum(length(line) + 1) / 3)::bigint as tokens from lines group by result_id, coalesce(page, 0)), o as materialized (select *, row_number() over (partition by result_id order by page) as k from p), c(result_id, page, k, chunk, have, n) as (select result_id, page, k, 0, tokens, 1 from o where k = 1 union all select o.result_id, o.page, o.k, case when have + tokens <= 2000 and n < 8 then chunk else chunk + 1 end, case when have + tokens <= 2000 and n < 8 then have + tokens else tokens end, case when have + tokens <= 2000 and n < 8 then n + 1 else 1 end from c join o on o.result_id = c.result_id and o.k = c.k + 1) select result_id, page::int as page, chunk::int as chunk from c")
 def page_chunks(spark, sf_dir):
-    return edits.chunks(edits.page_tokens(zoned(spark, sf_dir)), 600)
+    return edits.chunks(edits.page_tokens(zoned(spark, sf_dir)))
 
 
 
