@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.operators import formulas, grids, headings, lists, prose
 from quire.operators.zones import is_underline, segments
 
 HEADING = re.compile(r"^( {0,3})(#{1,6})[ \t]+(\S.*)$")
@@ -26,7 +27,7 @@ LATIN_LIKE = "aceopxyABCEHKMOPTXyk"
 CYRILLIC_LIKE = "асеорхуАВСЕНКМОРТХук"
 TO_LATIN = str.maketrans(CYRILLIC_LIKE, LATIN_LIKE)
 TO_CYRILLIC = str.maketrans(LATIN_LIKE, CYRILLIC_LIKE)
-ROUNDS = 4
+ROUNDS = 8
 
 Segments = list[list]
 
@@ -39,7 +40,7 @@ def fix_line(line: str) -> str:
     line = NOISE.sub("", line).rstrip()
     line = re.sub(r"!\[[^\]\n]*[\w-]\.(?:png|jpe?g|gif|svg|tiff?|webp|bmp)\]\(", "![](", line)
     line = re.sub(r"(?<=[^\W\d_])\*\*([^\W\d_]+)\*\*", r"\1", re.sub(r"\*\*([^\W\d_]+)\*\*(?=[^\W\d_])", r"\1", line))
-    line = re.sub(r"^(\d+)\. (\d+)\.(?=\s)", r"\1.\2.", line)
+    line = prose.decimals_joined(prose.roman_joined(re.sub(r"^(\d+)\. (\d+)\.(?=\s)", r"\1.\2.", line)))
     line = re.sub(r"<span id=[^<>]*></span>", "", line)
     line = re.sub(r"(?<!!)\[([^\]\n]+)\]\(#[^()\s]*\)", r"\1", line)
     line = re.sub(r"^( {0,3})•[ \t]+(?=\S)", r"\1- ", line)
@@ -95,20 +96,23 @@ def heading_rows(segs: Segments) -> list[tuple[int, int, str]]:
     return [(i, len(m[2]), m[3]) for i, (x, p) in enumerate(segs) if not p and (m := HEADING.match(x))]
 
 
-def level_numbered(segs: Segments) -> Segments:
-    """One level per depth of numbering, from the depth most headings have."""
+def level_numbered(segs: Segments, settled: set[int]) -> Segments:
+    """One level per depth of numbering, from the depth most headings have; headings that the contents settled are the evidence
+    where there are any."""
     rows = [(i, level, m[1].rstrip(".").count(".") + 1) for i, level, title in heading_rows(segs) if (m := re.match(r"(\d+(?:\.\d+)*\.?)\s", title))]
     if len(rows) < 2:
         return segs
     by: dict[int, Counter] = {}
-    for _, level, depth in rows:
+    for _, level, depth in [r for r in rows if r[0] in settled] or rows:
         by.setdefault(depth, Counter())[level] += 1
     top = min(by)
     deep = [d for d in by if d >= 2 and sum(by[d].values()) >= 3]
     anchor = min(deep) if deep else min(by, key=lambda d: (-sum(by[d].values()), d))
     usual = min(by[anchor], key=lambda v: (-by[anchor][v], v))
-    base = min(max(1, usual - (anchor - top)), max(1, 6 - (max(by) - top)))
+    base = min(max(1, usual - (anchor - top)), max(1, 6 - (max(d for _, _, d in rows) - top)))
     for i, _, depth in rows:
+        if i in settled:
+            continue
         level = min(6, base + depth - top)
         segs[i] = [re.sub(r"#{1,6}", "#" * level, segs[i][0], count=1), False]
     return segs
@@ -196,38 +200,56 @@ def tables(segs: Segments) -> Segments:
     return out
 
 
+def in_display(segs: Segments) -> list[bool]:
+    """Lines of display formulas, their signs included."""
+    out, dollars = [], 0
+    for line, protected in segs:
+        own = 0 if protected else line.count("$$")
+        out.append(own > 0 or dollars % 2 == 1)
+        dollars += own
+    return out
+
+
 def trim_repeats(segs: Segments, least: int = 3) -> Segments:
-    """Of runs of equal blocks, then of equal lines, one copy stays."""
-    blocks: list[Segments] = []
-    for s in segs:
-        blank = not s[1] and not s[0].strip()
-        if not blocks or blank != (not blocks[-1][0][1] and not blocks[-1][0][0].strip()):
-            blocks.append([])
-        blocks[-1].append(s)
-    kept: list[Segments] = []
-    text = ["\n".join(s[0] for s in b) for b in blocks]
-    i = 0
-    while i < len(blocks):
-        j = i + 2
-        while j < len(blocks) and text[j] == text[i] and text[i].strip() and not blocks[i][0][1]:
+    """Of runs of equal blocks, then of equal lines within a block, one copy stays; tables and display formulas are left alone."""
+    inner = in_display(segs)
+    groups: list[list[int]] = []
+    blank = lambda i: not segs[i][1] and not segs[i][0].strip()
+    for i in range(len(segs)):
+        if not groups or blank(i) != blank(groups[-1][0]):
+            groups.append([])
+        groups[-1].append(i)
+    text = ["\n".join(segs[i][0] for i in g) for g in groups]
+    fixed = [any(segs[i][1] or inner[i] or ROW.match(segs[i][0]) for i in g) for g in groups]
+    kept: list[int] = []
+    k = 0
+    while k < len(groups):
+        j = k + 2
+        while j < len(groups) and text[j] == text[k] and text[k].strip() and not fixed[k] and not fixed[j]:
             j += 2
-        n = (j - i) // 2
-        if n >= least:
-            kept.append(blocks[i])
-            i = j - 1
-        else:
-            kept.append(blocks[i])
-            i += 1
-    flat = [s for b in kept for s in b]
+        kept += groups[k]
+        k = j - 1 if (j - k) // 2 >= least else k + 1
     out: Segments = []
     i = 0
-    while i < len(flat):
+    while i < len(kept):
         j = i + 1
-        while j < len(flat) and flat[j] == flat[i] and not flat[i][1] and flat[i][0].strip() and not ROW.match(flat[i][0]):
+        line, protected = segs[kept[i]]
+        while j < len(kept) and not protected and line.strip() and not inner[kept[i]] and segs[kept[j]] == [line, False] and not inner[kept[j]] and not ROW.match(line):
             j += 1
-        out += flat[i : i + 1] if j - i >= least else flat[i:j]
+        out += [segs[k] for k in (kept[i : i + 1] if j - i >= least else kept[i:j])]
         i = j
-    return out
+    return [[x if p or inner_span(x) else formulas.without_loops(cut_spans(x)), p] for x, p in out]
+
+
+def inner_span(line: str) -> bool:
+    """Too short to hold a loop."""
+    return len(line) < 18
+
+
+def cut_spans(line: str) -> str:
+    for a, b in reversed(formulas.repeated_spans(line)) if line.count("$") >= 12 else ():
+        line = line[:a] + line[b:]
+    return line
 
 
 def rejoin_hyphens(segs: Segments) -> Segments:
@@ -278,23 +300,42 @@ def collapse_blanks(segs: Segments) -> str:
     return text + "\n" if text else ""
 
 
+def levels(segs: Segments) -> Segments:
+    """Heading levels: the printed contents first, numbers, number forms, what hangs below them, copies of a title, gaps."""
+    segs = headings.lost(headings.unstyled(segs))
+    settled = headings.outlined(segs, headings.records(segs))
+    segs = headings.number_forms(level_numbered(segs, settled))
+    segs = headings.voted(headings.nested(segs, settled), settled)
+    return headings.gaps_closed(close_levels(segs), settled)
+
+
+def one_round(text: str) -> str:
+    segs = drop_junk(each_plain(segments(text), fix_line))
+    segs = fix_headings(headings.spaced_titles(segs))
+    segs = drop_running_headings(prose.without_furniture(headings.one_contents_heading(segs)))
+    segs = formulas.mended(levels(segs))
+    segs = lists.normalized(lists.without_stray_bullets(segs))
+    segs = grids.repaired(tables(grids.glued_headers(segs)))
+    segs = rejoin_hyphens(segs)
+    segs = prose.crushed_joined(prose.emphasis_dropped(segs))
+    segs = prose.spaced_joined(join_cut_paragraphs(segs))
+    segs = prose.tokens_repaired(prose.compounds_settled(segs))
+    segs = formulas.stubs_cut(grids.laid_out(segs))
+    return collapse_blanks(trim_repeats(segs))
+
+
+class Unsettled(ValueError):
+    """The chain still changes a body after ROUNDS rounds."""
+
+
 def cleaned(text: str) -> str:
-    """The whole chain, repeated until it changes nothing, at most ROUNDS times."""
+    """The whole chain, repeated until it changes nothing; Unsettled if that takes more than ROUNDS rounds."""
     for _ in range(ROUNDS):
-        segs = each_plain(segments(text), fix_line)
-        segs = drop_junk(segs)
-        segs = fix_headings(segs)
-        segs = drop_running_headings(segs)
-        segs = close_levels(level_numbered(segs))
-        segs = tables(segs)
-        segs = rejoin_hyphens(segs)
-        segs = join_cut_paragraphs(segs)
-        segs = trim_repeats(segs)
-        new = collapse_blanks(segs)
+        new = one_round(text)
         if new == text:
-            break
+            return text
         text = new
-    return text
+    raise Unsettled(f"still changing after {ROUNDS} rounds")
 
 
 def clean(bodies: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import columns as K
-from quire.operators import cleaning, edits, layout, words
+from quire.operators import cleaning, edits, findings, inspection, layout, words
 from quire.operators import lines as L
 from quire.operators import tables as T
 from quire.plans import grading
@@ -479,6 +479,31 @@ def placed_edits(spark, sf_dir):
     return edits.placed(S.table(spark, sf_dir, "edit_replies"), L.explode_lines(S.bodies(spark, sf_dir)))
 
 
+@query("findings")
+def all_findings(spark, sf_dir):
+    return findings.findings(S.bodies(spark, sf_dir))
+
+
+def edit_lists(spark, sf_dir):
+    """Bodies after the edits of the replies, and the outcome of every edit."""
+    return inspection.edited(S.bodies(spark, sf_dir), S.table(spark, sf_dir, "edit_replies").dropDuplicates(["reply_id"]))
+
+
+@query("edited_bodies")
+def edited_bodies(spark, sf_dir):
+    return edit_lists(spark, sf_dir)[0]
+
+
+@query("edit_outcomes")
+def edit_outcomes(spark, sf_dir):
+    return edit_lists(spark, sf_dir)[1]
+
+
+@query("line_addresses", f"with {LINES}, p as (select *, coalesce(page, 0) as page0 from lines), n as (select *, row_number() over (partition by result_id, page0 order by line_no) as k from p) select result_id, line_no::int as line_no, page0 || '.' || k || ': ' || line as address from n")
+def line_addresses(spark, sf_dir):
+    return inspection.numbered(S.bodies(spark, sf_dir))
+
+
 @query("page_tokens", f"with {LINES} select result_id, coalesce(page, 0) as page, ceil(sum(length(line) + 1) / 3)::bigint as tokens from lines group by result_id, coalesce(page, 0)")
 def page_tokens(spark, sf_dir):
     return edits.page_tokens(zoned(spark, sf_dir))
