@@ -32,7 +32,8 @@ def defect(name: Column, content: Column) -> Column:
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, size, source_hash, kind, defect) of the files below a folder; earlier results and hidden files are left out."""
+    """(path, name, size, source_hash, kind, defect) of the files below a folder; earlier results and hidden files are
+    left out, and so are files without content, which the reader doesn't list."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     out = raw.select("path", name.alias("name"), F.col("length").alias("size"), K.url_hash(F.col("content")).alias("source_hash"), extension(name).alias("kind"), defect(name, F.col("content")).alias("defect"))

@@ -66,8 +66,8 @@ def test_spans_and_soundness():
     assert formulas.spans(r"a $x_1$ and \$5 or `$y$` $$z$$") == [(2, 7), (25, 30)]
     assert formulas.spans(r"open $\alpha + 1") == [(5, 16)] and formulas.spans("costs 5$ and 6$") == []
     sound = [r"\frac{a}{b}", r"\left( x \right)", r"\begin{cases} a & b \\ c & d \end{cases}", "x_1^2"]
-    broken = ["", " ", r"\frac{a}{b", r"\left( x", "a & b", r"\begin{array} a", r"x \end{array}", "a^", r"x \\", "{)}{"]
-    assert all(map(formulas.is_sound, sound)) and not any(formulas.is_sound(x) for x in broken[:9])
+    broken = ["", " ", r"\frac{a}{b", r"\left( x", "a & b", r"\begin{array} a", r"x \end{array}", "a^", "}{"]
+    assert all(map(formulas.is_sound, sound)) and not any(map(formulas.is_sound, broken))
 
 
 @pytest.mark.parametrize(
@@ -239,7 +239,7 @@ def test_findings():
     assert kinds("The va-\nlve") == [(0, "hyphenation")] and kinds("The va-\n\n\n![x](y.png)\nlve") == [(0, "hyphenation-gap")] and kinds("The va-\nValve") == [] and kinds("```\nva-\nlve\n```") == []
     assert kinds("\n".join(["ab"] * 6)) == [(0, "flattened-block")] and kinds("\n".join(["- ab"] * 6)) == []
     assert kinds("# A Title of the Valve. Then comes more prose") == [(0, "run-in-heading")] and kinds("# " + "valve " * 40) == [(0, "flattened-block")]
-    assert kinds("see $" + "a + b " * 9 + "$") == [(0, "broken-formula")] and kinds("see $\\begin{array}{l} x$") == [(0, "broken-formula")] and kinds("see $a + b$") == []
+    assert kinds("see $" + "a + b " * 9 + "c$") == [(0, "broken-formula")] and kinds("see $\\begin{array}{l} x$") == [(0, "broken-formula")] and kinds("see $a + b$") == []
     assert kinds("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |") == [(3, "broken-table")] and kinds("a v a l v e b") == [(0, "letter-spacing")]
     assert kinds("") == []
 
