@@ -12,6 +12,7 @@ from quire.operators import cleaning, edits, findings, inspection, layout, words
 from quire.operators import lines as L
 from quire.operators import tables as T
 from quire.plans import grading
+from quire.sources import shared
 from quire.sources import tables as S
 from quire.streaming import events as E
 
@@ -330,7 +331,18 @@ def lost_pages(spark, sf_dir):
     return lines.where(F.col("line").rlike(K.LOST_PAGE)).select("result_id", F.regexp_extract("line", K.LOST_PAGE, 1).cast("int").alias("page"))
 
 
-@query("line_fixes")
+FIXED = "regexp_replace(regexp_replace(line, '[­​-‍﻿]', '', 'g'), '[ \\t]+$', '')"
+for rule, new in (
+    (r"!\[[^\]\n]*[\w-]\.(png|jpe?g|gif|svg|tiff?|webp|bmp)\]\(", "![]("), (r"\*\*(\p{L}+)\*\*(\p{L})", r"\1\2"), (r"(\p{L})\*\*(\p{L}+)\*\*", r"\1\2"), (r"^(\d+)\. (\d+)\.(\s)", r"\1.\2.\3"),
+    (r"<span id=[^<>]*></span>", ""), (r"([^!]|^)\[([^\]\n]+)\]\(#[^()\s]*\)", r"\1\2"), (r"^( {0,3}#{1,6}[ \t]+)\*\*([^*]+)\*\*[ \t]*$", r"\1\2"),
+):
+    FIXED = f"regexp_replace({FIXED}, '{rule}', '{new}', 'g')"
+LINE_FIXES_SQL = f"""with {LINES}, f as (select result_id, line_no, line, {FIXED} as x from lines where not protected),
+g as (select *, case when regexp_matches(x, '^ {{0,3}}#{{1,6}}[ \\t]+\\S') and length(x) > 200 then trim(regexp_replace(x, '^ {{0,3}}#{{1,6}}[ \\t]*', '')) else x end as y from f),
+h as (select *, regexp_replace(regexp_replace(y, '^( {{0,3}})•[ \\t]+(\\S)', '\\1- \\2'), '^(\\s*[-*+] \\*\\*\\d+[.)]\\*\\*)(\\S)', '\\1 \\2') as fixed from g) select result_id, line_no::int as line_no, fixed from h where fixed <> line"""
+
+
+@query("line_fixes", LINE_FIXES_SQL, True)
 def line_fixes(spark, sf_dir):
     z = zoned(spark, sf_dir).where(~F.col("protected"))
     fixed = F.col("line")
@@ -453,7 +465,16 @@ def plain_block_texts(spark, sf_dir):
     return S.blocks(spark, sf_dir).where("html is not null").select("block_key", F.sha2(K.plain_characters(layout.visible_text(F.col("html"))), 256).alias("digest"))
 
 
-@query("blocks_to_markdown")
+MARKDOWN_SQL = f"""with {BLOCKS}, flow as (select *, regexp_extract(html, '^<h([1-6])', 1) as level, {TEXT} as text,
+  [('| ' || array_to_string([{TEXT.replace('html', 'c')} for c in regexp_extract_all(r, '(?s)<t[dh]>(.*?)</t[dh]>', 1)], ' | ') || ' |') for r in regexp_extract_all(html, '(?s)<tr>(.*?)</tr>', 1)] as rows
+  from blocks where html is not null and html <> '' and block_type not in ('PageHeader', 'PageFooter', 'ListGroup')),
+md as (select result_id, page_id, block_id, case block_type when 'SectionHeader' then repeat('#', case when level <> '' then level::int else 1 end) || ' ' || text when 'ListItem' then '- ' || text
+  when 'Code' then '```' || chr(10) || text || chr(10) || '```' when 'Equation' then '$$ ' || text || ' $$'
+  when 'Table' then case when len(rows) > 0 then rows[1] || chr(10) || regexp_replace(regexp_replace(rows[1], '[^|]+', ' --- ', 'g'), '^ --- ', '') || case when len(rows) > 1 then chr(10) || array_to_string(rows[2:], chr(10)) else '' end else text end else text end as md from flow)
+select result_id, string_agg(md, chr(10) || chr(10) order by page_id, block_id, md) as body from md where md <> '' group by result_id"""
+
+
+@query("blocks_to_markdown", MARKDOWN_SQL)
 def blocks_to_markdown(spark, sf_dir):
     return layout.to_markdown(S.blocks(spark, sf_dir))
 
@@ -587,8 +608,6 @@ def events_sessions(spark, sf_dir):
 @query("streamed_lines", f"with {RAW} select result_id, count(*) as lines from raw group by result_id")
 def streamed_lines(spark, sf_dir):
     """Bodies read as a stream of files, one batch after the other, then the batches together."""
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "_checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared.fresh(spark, "stream")
     E.drain(E.read_stream(spark, sf_dir, "ocr_results"), f"{base}/out", f"{base}/state", lambda df: L.explode_lines(df.where("result_id is not null").dropDuplicates(["result_id"])).groupBy("result_id").agg(F.count("*").alias("lines")))
     return spark.read.parquet(f"{base}/out").groupBy("result_id").agg(F.max("lines").alias("lines"))

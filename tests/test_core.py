@@ -43,7 +43,10 @@ def test_sql_agrees(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() >= 0
+    """What no SQL says has rules of its own in test_passes; here it has to give rows of whole tables."""
+    rows = catalog.QUERIES[name](spark, DATA).collect()
+    assert rows or name == "numbered_margins"
+    assert len(rows) == len({str(r) for r in rows})
 
 
 def test_zones(spark):
