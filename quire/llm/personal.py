@@ -5,7 +5,9 @@ them and replaced by typed placeholders with a pseudonym. The pseudonym of a num
 keyed Feistel network permutes its digits (and another one its letters), so equal values have equal pseudonyms in every
 document and different values of one format different ones; with the key it can be turned back. Identity numbers are
 validated by their check digits and ranges, and the permutation is repeated until a valid number has a valid pseudonym and
-an invalid one an invalid one. Dates of birth are permuted among the days of two centuries, in their own format. Names, mail
+an invalid one an invalid one. Given names are learned from the corpus beside the common ones: a first word of names that stand
+behind a cue in LEARNED documents or more, and in half of all documents in which a capitalised word follows it; so a name is
+found where no cue stands. Dates of birth are permuted among the days of two centuries, in their own format. Names, mail
 and street addresses have no format to keep; they get a keyed hash.
 
 The key comes from the caller, from spark.quire.pseudonym.key or from QUIRE_PSEUDONYM_KEY. Without one a random key is drawn
@@ -22,8 +24,11 @@ import hmac
 import os
 import re
 import secrets
+from collections import Counter
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,9 @@ from quire.llm import common as C
 FOUND = "doc_id bigint, kind string, value string, pseudonym string, start int, stop int"
 ORDER = ("EMAIL", "ID", "PHONE", "ADDRESS", "NAME")
 ROUNDS = 8
+#: Documents in which a given name has to stand behind a cue, and its share of those in which it opens a capitalised pair; the most
+#: names that are sent along with the tasks (the most frequent ones; given names are far fewer in any corpus).
+LEARNED, CUED_SHARE, NAMES = 3, 0.5, 100_000
 #: Days among which dates of birth are permuted.
 FIRST, LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
@@ -126,6 +134,12 @@ def is_person(value: str) -> bool:
     return not any(w.lower() in NOT_PERSON for w in words) and any(len(w) > 2 for w in words)
 
 
+#: A capitalised word before another one; the words that open a sentence as often as a name are told apart by their counts.
+NAME_PAIR = re.compile(rf"(?<![\w.-])(?P<v>(?P<g>[{UP}][{LOW}]{{2,}}(?:-[{UP}][{LOW}]+)?)(?:[ \t]+\n?[ \t]*|\n[ \t]*)(?:{INI}{S})?(?:{CAP}|{CAPS}))(?!\w)")
+
+FIRST_OF_PAIR = re.compile(rf"(?<![\w.-])([{UP}][{LOW}]{{2,}}(?:-[{UP}][{LOW}]+)?)(?=(?:[ \t]+\n?[ \t]*|\n[ \t]*)(?:{INI}{S})?(?:{CAP}|{CAPS})(?!\w))")
+
+
 def is_phone(value: str, before: str) -> bool:
     digits = re.sub(r"\D", "", re.sub(r"(?:ext|x|доб|poste|Durchwahl).*", "", value))
     if not 7 <= len(digits) <= 15 or re.fullmatch(r"\d{4}[-.]\d\d[-.]\d\d", value.strip()):
@@ -154,9 +168,10 @@ NUMBER_AFTER = re.compile(r"\s*(?:No\.?\s*|NO\.?\s*|Nr\.?\s*)?\d")
 
 
 class Literals:
-    """One automaton of all literals and given names."""
+    """One automaton of all literals and given names, the learned ones among them."""
 
-    def __init__(self):
+    def __init__(self, learned: frozenset[str] = frozenset()):
+        self.learned = learned
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -166,6 +181,8 @@ class Literals:
                 by.setdefault(w, []).append(kind)
         for g in {*GIVEN, *(g.upper() for g in GIVEN)}:
             by.setdefault(g, []).append("GIVEN")
+        for g in learned:
+            by.setdefault(g, []).append("LEARNED")
         for w, kinds in by.items():
             self.automaton.add_word(w, (len(w), tuple(kinds)))
         self.automaton.make_automaton()
@@ -179,9 +196,6 @@ class Literals:
         return out
 
 
-_literals: list[Literals] = []
-
-
 def windows(places: list[tuple[int, int]], n: int, reach: int = WINDOW) -> list[tuple[int, int]]:
     """Stretches of the text around the places, merged where they meet."""
     out: list[list[int]] = []
@@ -194,12 +208,10 @@ def windows(places: list[tuple[int, int]], n: int, reach: int = WINDOW) -> list[
     return [(a, b) for a, b in out]
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
+def spans(text: str, literals: Literals) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal data, without overlaps, in the order of the text."""
-    if not _literals:
-        _literals.append(Literals())
     out: list[tuple[int, int, str]] = []
-    near = _literals[0].places(text.replace("\n", " "))
+    near = literals.places(text.replace("\n", " "))
     n = len(text)
 
     def free(a: int, b: int) -> bool:
@@ -245,6 +257,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     given = [p for p in near.get("GIVEN", ()) if not text[p[0] - 1 : p[0]].isalpha() and not text[p[1] : p[1] + 1].isalpha()]
     if given:
         take(NAME_GIVEN, "NAME", "v", windows(given, n, 50), person)
+    learned = [p for p in near.get("LEARNED", ()) if not text[p[0] - 1 : p[0]].isalpha() and not text[p[1] : p[1] + 1].isalpha()]
+    for at, _end in learned:
+        m = NAME_PAIR.match(text, at)
+        if m and m["g"] in literals.learned and is_person(m["v"]) and free(*m.span("v")):
+            out.append((*m.span("v"), "NAME"))
     if "0" in text or "1" in text:
         take(BORN, "DATE", "v", whole, lambda m: day_of(m["v"]) is not None)
     return sorted(out)
@@ -413,35 +430,76 @@ def key_of(spark: SparkSession, key: str | None = None) -> str:
     return key or spark.conf.get("spark.quire.pseudonym.key", None) or os.environ.get("QUIRE_PSEUDONYM_KEY") or secrets.token_hex(32)
 
 
+def given_names(documents: DataFrame, least: int = LEARNED, share: float = CUED_SHARE) -> DataFrame:
+    """(name, cued, pairs): first words of capitalised pairs (documents: text) that are given names by where they stand: behind a
+    cue in `least` documents or more, and in a `share` of the documents in which they open a pair. Each task counts its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        literals = Literals()
+        cued: Counter = Counter()
+        pairs: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                near = literals.places(text.replace("\n", " "))
+                behind = set()
+                for a, b in windows(near.get("CUE", ()), len(text), 70):
+                    for m in NAME_CUED.finditer(text, a, b):
+                        if (g := NAME_PAIR.fullmatch(m["v"])) and is_person(m["v"]):
+                            behind.add(g["g"])
+                cued.update(behind)
+                pairs.update(set(FIRST_OF_PAIR.findall(text)))
+            if len(pairs) > 500_000:
+                yield counts(cued, pairs)
+        yield counts(cued, pairs)
+
+    def counts(cued: Counter, pairs: Counter) -> pa.RecordBatch:
+        names = list(pairs | cued)
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([cued[n] for n in names], pa.int64()), pa.array([pairs[n] for n in names], pa.int64())], names=["name", "cued", "pairs"])
+        cued.clear()
+        pairs.clear()
+        return out
+
+    texts = documents.select("text").where("text is not null and text <> ''")
+    counted = texts.mapInArrow(run, "name string, cued bigint, pairs bigint").groupBy("name").agg(F.sum("cued").alias("cued"), F.sum("pairs").alias("pairs"))
+    return counted.where((F.col("cued") >= least) & (F.col("cued") >= share * F.col("pairs")))
+
+
+def learned_names(documents: DataFrame) -> frozenset[str]:
+    names = given_names(documents).orderBy(F.desc("cued"), "name").limit(NAMES)
+    return frozenset(r["name"] for r in names.select("name").toLocalIterator()) - {*GIVEN}
+
+
 def personal_data(documents: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, kind, value, pseudonym, start, stop) of all personal data of documents (doc_id, text)."""
     key = key_of(documents.sparkSession, key)
+    learned = learned_names(documents)
 
-    def run(doc, text, feistel):
-        for a, b, kind in spans(text):
+    def run(doc, text, feistel, literals):
+        for a, b, kind in spans(text, literals):
             yield doc, kind, text[a:b], pseudonym(kind, text[a:b], feistel), a, b
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
-    return C.arrow_rows(docs, run, FOUND, lambda: (Feistel(key),))
+    return C.arrow_rows(docs, run, FOUND, lambda: (Feistel(key), Literals(learned)))
 
 
 def redacted(documents: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_replaced): every text with typed placeholders [KIND:pseudonym]."""
     key = key_of(documents.sparkSession, key)
+    learned = learned_names(documents)
 
-    def run(doc, text, feistel):
+    def run(doc, text, feistel, literals):
         if not text:
             yield doc, text, 0
             return
         out, at = [], 0
-        found_spans = spans(text)
+        found_spans = spans(text, literals)
         for a, b, kind in found_spans:
             out += [text[at:a], f"[{kind}:{pseudonym(kind, text[a:b], feistel)}]"]
             at = b
         yield doc, "".join(out) + text[at:], len(found_spans)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return C.arrow_rows(docs, run, "doc_id bigint, text string, n_replaced int", lambda: (Feistel(key),))
+    return C.arrow_rows(docs, run, "doc_id bigint, text string, n_replaced int", lambda: (Feistel(key), Literals(learned)))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -505,7 +505,7 @@ def test_personal():
         "": [],
     }
     for text, kinds in cases.items():
-        assert [k for _, _, k in personal.spans(text)] == kinds, text
+        assert [k for _, _, k in personal.spans(text, personal.Literals())] == kinds, text
 
 
 def test_feistel():
@@ -534,7 +534,17 @@ def test_formats_are_kept():
     days = {personal.pseudonym("DATE", f"{d:02d}.{m:02d}.1950", f) for d in range(1, 29) for m in range(1, 13)}
     assert len(days) == 28 * 12
     assert personal.pseudonym("PHONE", "0049 30 23125", f) == personal.pseudonym("PHONE", "+49 30 23125", f)
-    assert [k for _, _, k in personal.spans("Ms Tanaka, born 03.02.1950, came on 04.05.2012; Frau Weiß and Dr. Okafor too.")] == ["NAME", "DATE", "NAME", "NAME"]
+    assert [k for _, _, k in personal.spans("Ms Tanaka, born 03.02.1950, came on 04.05.2012; Frau Weiß and Dr. Okafor too.", personal.Literals())] == ["NAME", "DATE", "NAME", "NAME"]
+
+
+def test_given_names_are_learned(spark):
+    cued = [(k, f"The survey was signed by Priya Raghunathan{'ab'[k % 2]}. Nothing else.") for k in range(4)] + [(k, f"Checked by: Upper Valve{'xy'[k % 2]} men.") for k in range(4, 8)]
+    other = [(10, "Then Priya Okonkwo came."), (11, "The Upper Shaft is old."), (12, "An Upper Gallery is old."), (13, "Our Upper Basin."), (14, "Its Upper Chamber."), (15, "No Upper Deck.")]
+    df = spark.createDataFrame(cued + other, "doc_id bigint, text string")
+    assert {r["name"]: (r.cued, r.pairs) for r in personal.given_names(df).collect()} == {"Priya": (4, 5)}
+    got = {r.doc_id: r.value for r in personal.personal_data(df, "k").where("kind = 'NAME' and doc_id >= 10").collect()}
+    assert got == {10: "Priya Okonkwo"}
+    assert personal.spans(other[0][1], personal.Literals()) == []
 
 
 def test_no_key_no_way_back(spark):
