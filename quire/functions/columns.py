@@ -99,6 +99,11 @@ def plain_characters(text: Column) -> Column:
     return F.regexp_replace(text, "[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f]", "")
 
 
+def hyphens_joined(text: Column) -> Column:
+    """Words that a hyphen breaks over a line end are whole; soft hyphens go."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\p{L})[-\u00ad\u2010]\n(\p{Ll})", "$1$2"), "\u00ad", "")
+
+
 def value_form(value: Column) -> Column:
     """Form of a table value: 9 for digits, A for letters."""
     return F.regexp_replace(F.regexp_replace(F.trim(value), r"\p{N}+", "9"), r"\p{L}+", "A")

@@ -315,7 +315,7 @@ def one_round(text: str) -> str:
     segs = drop_running_headings(prose.without_furniture(headings.one_contents_heading(segs)))
     segs = formulas.mended(levels(segs))
     segs = lists.normalized(lists.without_stray_bullets(segs))
-    segs = grids.repaired(tables(grids.glued_headers(segs)))
+    segs = grids.repaired(grids.entries_whole(tables(grids.glued_headers(segs))))
     segs = rejoin_hyphens(segs)
     segs = prose.crushed_joined(prose.emphasis_dropped(segs))
     segs = prose.spaced_joined(join_cut_paragraphs(segs))
@@ -324,6 +324,21 @@ def one_round(text: str) -> str:
     return collapse_blanks(trim_repeats(segs))
 
 
+def final_lines(segs: Segments) -> list[int | None]:
+    """The line each segment has after blanks are collapsed; none for a blank that goes."""
+    out: list[int | None] = []
+    n, last = -1, ""
+    end = max((i for i, (x, p) in enumerate(segs) if p or x.strip()), default=-1)
+    for i, (line, protected) in enumerate(segs):
+        blank = not protected and not line.strip()
+        if i > end or blank and (n < 0 or last == ""):
+            out.append(None)
+            continue
+        n, last = n + 1, "" if blank else line or " "
+        out.append(n)
+    return out
+
+
 class Unsettled(ValueError):
     """The chain still changes a body after ROUNDS rounds."""
 

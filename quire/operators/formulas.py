@@ -45,6 +45,13 @@ def inside(span: str) -> str:
     return span[n : len(span) - n if span.endswith("$" * n) and len(span) >= 2 * n else len(span)]
 
 
+def unpaired(line: str) -> bool:
+    """A dollar sign that opens or closes nothing stands outside of all formulas and code."""
+    for a, b in reversed(spans(line)):
+        line = line[:a] + " " * (b - a) + line[b:]
+    return bool(re.search(r"(?<!\\)\$", code_masked(line)))
+
+
 def on_spans(line: str, fix) -> str:
     """The line with fix(content, display) for the content of each closed formula; None takes a formula out."""
     out, at = [], 0

@@ -206,6 +206,27 @@ def glued_headers(segs: Segments) -> Segments:
     return out
 
 
+def entries_whole(segs: Segments) -> Segments:
+    """In rows that end in a page number a break inside of the title is a blank; an entry without one goes on in the row below."""
+    out: Segments = []
+    for line, protected in segs:
+        if not protected and ROW.match(line) and re.search(r"\|\s*\d{1,4}\s*\|\s*$", line):
+            line = BREAK.sub(" ", line)
+            head = cells(line)
+            if out and not out[-1][1] and ROW.match(out[-1][0]) and not RULE.match(out[-1][0]):
+                above = cells(out[-1][0])
+                if len(above) == len(head) >= 2 and above[0] and not above[-1] and not head[0] and head[1][:1].islower() and len(head) > 2:
+                    out[-1] = [row([f"{a} {b}".strip() for a, b in zip(above, head)]), False]
+                    continue
+        out.append([line, protected])
+    return out
+
+
+def math_cells_open(segs: Segments) -> Segments:
+    """A formula alone in a cell of an HTML table stands on a line of its own, with blank lines around it, so that it is rendered."""
+    return [[re.sub(r"(<t[dh][^<>]*>)\s*(\$\$[^$]+\$\$)\s*(</t[dh]>)", r"\1\n\n\2\n\n\3", x) if p and "<t" in x and "$$" in x else x, p] for x, p in segs]
+
+
 def laid_out(segs: Segments, ceiling: int = 120) -> Segments:
     """Columns of equal width where the table isn't wider than the ceiling, else one blank on each side."""
     for a, b in blocks(segs):

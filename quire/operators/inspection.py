@@ -129,6 +129,48 @@ def decoded(reply: str) -> list[dict]:
     return []
 
 
+def units(lines: list[str], protected: list[bool]) -> dict[int, tuple[int, int]]:
+    """Lines of a display formula cut over several lines share one address: line -> (first, last)."""
+    out: dict[int, tuple[int, int]] = {}
+    first = None
+    for i, (line, p) in enumerate(zip(lines, protected)):
+        if not p and line.count("$$") % 2:
+            if first is None:
+                first = i
+            else:
+                out.update((k, (first, i)) for k in range(first, i + 1))
+                first = None
+    return out
+
+
+def realigned(lines: list[str], edits: list[dict], reach: int = 3) -> list[dict]:
+    """Edits with all their lines moved by the one small step that confirms more quotes than their own numbers do."""
+    pages = pages_of(lines)
+
+    def confirmed(step: int) -> int:
+        at = [(resolved(pages, e.get("page"), (e.get("line") or 0) + step, len(lines)), e.get("old") or "") for e in edits]
+        return sum(i is not None and bool(old) and old in lines[i] for i, old in at)
+
+    best = max(range(-reach, reach + 1), key=lambda s: (confirmed(s), -abs(s)))
+    return [{**e, "line": e["line"] + best} if e.get("line") else e for e in edits] if confirmed(best) > confirmed(0) else edits
+
+
+def values_kept(old: str, new: str) -> bool:
+    """A row keeps its values, whatever cells they stand in."""
+    flat = lambda x: Counter(" ".join(grids.cells(x)).split())
+    return flat(old) == flat(new)
+
+
+def accepted(body: str, touched: set[int]) -> tuple[str, list[int]]:
+    """The body with the noise of edited lines taken off again, and edited rows that are off their table's grid."""
+    from quire.operators.cleaning import NOISE
+
+    segs = segments(body)
+    lines = [NOISE.sub("", x).rstrip() if i in touched and not p else x for i, (x, p) in enumerate(segs)]
+    off = grids.collapsed([[x, p] for x, (_, p) in zip(lines, segs)])
+    return "\n".join(lines), sorted(i for i in touched if i in off)
+
+
 # Guards
 
 

@@ -74,6 +74,36 @@ def without_furniture(segs: Segments) -> Segments:
     return [s for i, s in enumerate(segs) if i not in gone] if gone else segs
 
 
+def word_pattern(records: list[str]) -> re.Pattern:
+    """One pattern of words: `word` stands for itself, `word*` for all that begins with it, `word.` for it and a full stop."""
+    parts = [re.escape(r[:-1]) + r"\w*" if r.endswith("*") else re.escape(r[:-1]) + r"\." if r.endswith(".") else re.escape(r) + r"\b" for r in sorted(filter(None, records), key=len, reverse=True)]
+    return re.compile(rf"(?<!\w)(?:{'|'.join(parts)})", re.I) if parts else re.compile(r"(?!)")
+
+
+NOTE = re.compile(r"^\s*\[?(?:image|picture|figure|photo|diagram|bild|abbildung|image|изображение|рисунок)\s*(?:[:—–-].*)?\]?\s*$", re.I)
+REFERENCE = re.compile(r"^ {0,3}\[([^\]\n]+)\]:\s*\S+.*$")
+
+
+def fabrications_dropped(segs: Segments) -> Segments:
+    """What a language model puts into a transcript by itself: links to pictures go, links to addresses leave their text, notes in
+    place of pictures go unless they repeat a caption, and so do reference definitions that nothing refers to."""
+    captions = {" ".join(WORD.findall(x.casefold())) for x, p in segs if not p and CAPTION.match(x.strip())}
+    used = {m.casefold() for x, p in segs if not p and not REFERENCE.match(x) for m in re.findall(r"\[([^\]\n]+)\](?!\()", x)}
+    out = []
+    for line, protected in segs:
+        if not protected:
+            if NOTE.match(line) and line.strip().startswith("[") and not any(c and c in " ".join(WORD.findall(line.casefold())) for c in captions):
+                continue
+            if (m := REFERENCE.match(line)) and m[1].casefold() not in used:
+                continue
+            new = re.sub(r"(?<!!)\[([^\]\n]+)\]\((?:https?:|www\.)[^()\s]*\)", r"\1", re.sub(r"!\[[^\]\n]*\]\([^()\s]*\)", "", line))
+            if line.strip() and not new.strip():
+                continue
+            line = new
+        out.append([line, protected])
+    return out
+
+
 SENTENCES = re.compile(r"[.!?…](?:\s|$)")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import columns as K
-from quire.operators import cleaning, edits, findings, inspection, layout, words
+from quire.operators import cleaning, edits, findings, inspection, layout, post, words
 from quire.operators import lines as L
 from quire.operators import tables as T
 from quire.plans import grading
@@ -510,6 +510,11 @@ def edit_lists(spark, sf_dir):
     return inspection.edited(S.bodies(spark, sf_dir), S.table(spark, sf_dir, "edit_replies").dropDuplicates(["reply_id"]))
 
 
+@query("repair_zones")
+def repair_zones(spark, sf_dir):
+    return post.body_zones(S.bodies(spark, sf_dir))
+
+
 @query("edited_bodies")
 def edited_bodies(spark, sf_dir):
     return edit_lists(spark, sf_dir)[0]
@@ -590,6 +595,21 @@ def score_pivot(spark, sf_dir):
     return h.groupBy("lang").pivot("status", ["ok", "bad", "in_progress"]).count().na.fill(0, ["ok", "bad", "in_progress"])
 
 
+@query("score_table", f"with {LAST}, p as (select a.lang, l.engine, l.score from last l join archives a using (archive_id)) select lang, engine, count(*) as files, count(score) as scored, round(avg(score), 4) as mean_score, min(score) as least, max(score) as most, quantile_cont(score, 0.5) as middle from p group by lang, engine")
+def score_table(spark, sf_dir):
+    """Scores of each language and engine: mean, extremes and median."""
+    h = S.headers(spark, sf_dir).join(S.table(spark, sf_dir, "archives").select("archive_id", "lang"), "archive_id")
+    return h.groupBy("lang", "engine").agg(F.count("*").alias("files"), F.count("score").alias("scored"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("least"), F.max("score").alias("most"), F.percentile("score", F.lit(0.5)).alias("middle"))
+
+
+@query("source_recall", f"with {PROSE}, t as (select result_id, unnest(texts) as t from (select check_id, any_value(result_id) as result_id, any_value(texts) as texts from ocr_error_checks where texts is not null group by check_id)), there as (select result_id, word, count(*) as n from (select result_id, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) as word from t where t is not null) group by all) select h.result_id, round(sum(case when w.word is not null then h.n else 0 end) / sum(h.n), 6)::double as share from there h left join words w on h.result_id = w.result_id and h.word = w.word group by h.result_id")
+def source_recall(spark, sf_dir):
+    """Share of the words of a result's check texts that its body has: the other way of source_coverage."""
+    checks = S.table(spark, sf_dir, "ocr_error_checks").where("texts is not null").dropDuplicates(["check_id"])
+    there = checks.select("result_id", F.explode("texts").alias("t")).where("t is not null").select("result_id", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("result_id", "word").agg(F.count("*").alias("n"))
+    return words.coverage(there, words.word_counts(zoned(spark, sf_dir))).select("result_id", F.round("share", 6).alias("share"))
+
+
 @query("events_tumbling", "select date_trunc('hour', ts) as start_ts, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def events_tumbling(spark, sf_dir):
     return E.tumbling(S.table(spark, sf_dir, "events"))

@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 
-from quire.operators import cleaning, findings, formulas, grids, headings, inspection, layout, lists, prose
+from quire.operators import cleaning, findings, formulas, grids, headings, inspection, layout, lists, post, prose
 from quire.operators.zones import read, segments
+from quire.sources import engines
 
 
 def segs(text):
@@ -324,3 +325,83 @@ def test_heights():
         h = [random.choice([8, 10, 14, 20]) for _ in range(12)]
         want = {v: k + 1 for k, v in enumerate(sorted(set(h), reverse=True))}
         assert layout.clusters(h) == [want[v] for v in h]
+
+
+def test_zones_to_mend():
+    body = "# A\n### B\n\nThe men went\n\nto the river\n\nand came back.\n\nThen it\n\nrained all\n\nnight long.\n\n$$the men went to the river$$\n\nso $\\frac{a$ is\n\n| a | b |\n|---|---|\n| 1 |\n| 1 | 2 |\n\na v a l v e b"
+    assert [(k, a, b) for k, a, b, _ in post.zones(body)] == [("ladder", 0, 1), ("crushed", 3, 13), ("swallowed", 15, 15), ("formula", 17, 17), ("table", 19, 22), ("spacing", 24, 24)]
+    assert list(post.zones("# A\n## B\n\nA valve.")) == [] and list(post.zones("")) == []
+
+
+@pytest.mark.parametrize(
+    "kind, old, new, why",
+    [
+        ("crushed", "The men went\n\nto the ri-\n\nver.", "The men went to the river.", None),
+        ("crushed", "The men went\n\nto the river.", "The men went to the quay.", "content changed"),
+        ("crushed", "The men\n\nwent.", "", "empty"),
+        ("crushed", "The men\n\nwent.", "The men\n\nwent.", "echo"),
+        ("crushed", "The men\n\nwent.", "The men | went.", "new bars"),
+        ("crushed", "The val-\n\nves went.", "The valves went.", "word not attested"),
+        ("crushed", "The men\n\nwent.", "```\nThe men went.\n```", "protected"),
+        ("swallowed", "$$x = 1 the men went to it$$", "$x = 1$ the men went to it", None),
+        ("swallowed", "$$x = 1 the men went to it$$", "$x = 2$ the men went to it", "content changed"),
+        ("formula", "so $\\frac{a$ is", "so $\\frac{a}{}$ is", None),
+        ("formula", "so $\\frac{a$ is", "so $\\frac{b}{}$ is", "content changed"),
+        ("formula", "so $\\frac{a$ is", "so $\\frac{a{$ is", "not sound"),
+    ],
+)
+def test_block_verdicts(kind, old, new, why):
+    assert post.block_verdict(kind, old, new, Counter(["river"])) == why
+
+
+def test_table_and_spacing_verdicts():
+    table = "| a | b |\n|---|---|\n| 1 2 |  |"
+    assert post.table_verdict(table, "| a | b |\n|---|---|\n| 1 | 2 |") is None and post.table_verdict(table, "| a | b |\n|---|---|\n| 2 | 1 |") == "values moved"
+    assert post.table_verdict(table, "| a | b |\n|---|---|\n| 1 | 3 |") == "values changed" and post.table_verdict(table, "| a | b |\n|---|---|\n| 1 2 |") == "wrong width" and post.table_verdict(table, None) == "rows changed"
+    assert post.respaced("a v a l v e b", "a valve b") == "a valve b" and post.respaced("a v a l v e b", "avalveb") == "avalveb" and post.respaced("the v a l v e", "thevalve") is None and post.respaced("a v a l v e", "a valse") is None
+
+
+def test_ladders():
+    heads = [(1, "A"), (3, "B"), (3, "C"), (1, "D")]
+    assert post.ladder_needs_repair(heads) and not post.ladder_needs_repair([(1, "A"), (2, "B")]) and post.ladder_needs_repair([(1, "A"), (2, "a")])
+    assert post.relevelled(heads, [(1, 2, "B"), (2, 2, "C")]) == ([1, 2, 3, 1], ["regression"])  # a level in use isn't emptied
+    levels, why = post.relevelled([(1, "A"), (2, "B"), (2, "C")], [(9, 1, "x"), (1, 2, "other"), (1, 7, "B"), (1, 5, "B"), (2, 4, "C")])
+    assert levels == [1, 2, 2] and why == ["no such heading", "other title", "no such level", "too far", "regression"]
+
+
+def test_small_rules():
+    assert formulas.unpaired("a $ b") and not formulas.unpaired("a $b$ `$` \\$")
+    rule = prose.word_pattern(["fig.", "tab*", "valve"])
+    assert [bool(rule.search(x)) for x in ("see Fig. 3", "figs", "tables", "valves", "a valve")] == [True, False, True, False, True] and not prose.word_pattern([]).search("x")
+    assert text(prose.fabrications_dropped(segs("A [map](http://x) of ![q](y.png) it\n[Image: a quay]\n![z](w.png)\n[1]: http://a\n[2]: http://b\nsee [2]\nFigure 3. The quay\n[Figure: figure the quay]"))) == "A map of  it\n[2]: http://b\nsee [2]\nFigure 3. The quay\n[Figure: figure the quay]"
+    assert text(grids.entries_whole(segs("| 1 | The upper<br>valve | 3 |\n| 2 | The lower |  |\n|  | shaft | 4 |"))) == "| 1 | The upper valve | 3 |\n| 2 | The lower shaft | 4 |"
+    assert grids.math_cells_open([["<td>$$x$$</td>", True]]) == [["<td>\n\n$$x$$\n\n</td>", True]]
+    assert cleaning.final_lines(segs("\n\na\n\n\nb\n")) == [None, None, 0, 1, None, 2, None]
+    assert inspection.units(["a", "$$", "x", "$$", "$$y$$"], [False] * 5) == {1: (1, 3), 2: (1, 3), 3: (1, 3)}
+    lines = ["a valve", "the quay", "a shaft"]
+    assert [e["line"] for e in inspection.realigned(lines, [edit(2, "valve", "x"), edit(3, "quay", "y")])] == [1, 2] and inspection.realigned(lines, [edit(1, "valve", "x")])[0]["line"] == 1
+    assert inspection.values_kept("| a | b |", "| b | a |") and not inspection.values_kept("| a | b |", "| b | c |")
+    assert inspection.accepted("a\u200b  \n| x | y |\n|---|---|\n| 1 |\n| 1 | 2 |", {0, 3}) == ("a\n| x | y |\n|---|---|\n| 1 |\n| 1 | 2 |", [3])
+
+
+def test_engines(spark):
+    rows = [("p/a.md", "a.md", "md", b"x\r\ny"), ("p/b.pdf", "b.pdf", "pdf", b"%PDF"), ("p/c.pdf", "c.pdf", "pdf", b""), ("p/d.djvu", "d.djvu", "djvu", b"AT")]
+    queue = spark.createDataFrame(rows, "path string, name string, kind string, content binary")
+
+    def call(content, name):
+        if not content:
+            raise ValueError(name)
+        return name.upper(), 2
+
+    registry = engines.Registry(engines.Texts())
+    registry.register(engines.Called("reader", ("pdf", "md"), call))
+    assert registry.of("pdf").name == "reader" and registry.of("md").name == "texts" and registry.of("djvu") is None
+    assert {tuple(r) for r in registry.convert(queue).collect()} == {("p/a.md", "x\ny", 1, "texts"), ("p/b.pdf", "B.PDF", 2, "reader"), ("p/c.pdf", None, None, "reader"), ("p/d.djvu", None, None, None)}
+
+
+def test_hyphens_of_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import columns as K
+
+    assert spark.createDataFrame([("the va-\nlve of soft\u00adware",)], "t string").select(K.hyphens_joined(F.col("t")).alias("t")).collect()[0].t == "the valve of software"
