@@ -253,7 +253,7 @@ def cut_spans(line: str) -> str:
 
 
 def rejoin_hyphens(segs: Segments) -> Segments:
-    """actu- / ator is joined if the body has the word at least twice, and hyphenated on one line less than three times."""
+    """A word broken over two lines is joined if the body has the word at least twice, and hyphenated on one line less than three times."""
     plain = [x for x, p in segs if not p]
     counts = Counter(w.lower() for x in plain for w in WORD.findall(x))
     hyphened = Counter(w.lower() for x in plain for w in re.findall(r"[^\W\d_]+-[^\W\d_]+", x))

@@ -66,11 +66,14 @@ def read(text: str) -> Iterator[tuple[int, str, bool, bool, int | None, bool]]:
         above = "" if protected else line
 
 
-def zoned(bodies: DataFrame, *carried: str) -> DataFrame:
-    """One row per line of bodies (result_id, body): (result_id, carried..., line_no, line, protected, display, page, underline)."""
+def zoned(bodies: DataFrame, *carried: str, counts: tuple[str, ...] = (), count=None) -> DataFrame:
+    """One row per line of bodies (result_id, body): (result_id, carried..., line_no, line, protected, display, page, underline).
+
+    count(body) gives the bigint columns `counts` of a whole body; they stand in the row of its first line, and are null below.
+    """
     names = ["result_id", *carried]
     kinds = dict(bodies.select(*names).dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", line_no int, line string, protected boolean, display boolean, page int, underline boolean"
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", line_no int, line string, protected boolean, display boolean, page int, underline boolean" + "".join(f", {n} bigint" for n in counts)
     out = to_arrow_schema(bodies.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +86,8 @@ def zoned(bodies: DataFrame, *carried: str) -> DataFrame:
                     c.extend([values[k]] * len(rows[0]))
                 for c, values in zip(columns[len(names) :], rows):
                     c.extend(values)
+                for c, value in zip(columns[len(names) + 6 :], count(body) if counts else ()):
+                    c.extend([value] + [None] * (len(rows[0]) - 1))
                 if len(columns[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
                     columns = [[] for _ in out]

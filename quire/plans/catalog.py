@@ -96,7 +96,7 @@ def valid_sql(x: str) -> str:
 
 
 def kept_letters(rule: str) -> str:
-    return f"length(regexp_replace(text, '[^{rule}]', '', 'g'))"
+    return f"length(regexp_replace(body, '[^{rule}]', '', 'g'))"
 
 
 MEASURES = HEADS + REPEATS + f""",
@@ -125,7 +125,7 @@ plain as (select result_id, text, regexp_replace(replace(text, '\\$', '  '), '`[
 found as (select *, regexp_extract_all(bare, '\\$\\$([^$]*)\\$\\$', 1) as display, regexp_extract_all(regexp_replace(bare, '\\$\\$[^$]*\\$\\$', ' ', 'g'), '\\$([^$\\s][^$\\n]*)\\$', 1) as inline from plain),
 math as (select result_id, len(display) + len(inline) as formulas, len(list_filter(list_concat(display, inline), lambda x: not ({valid_sql('x')}))) as bad_formulas, {sql_count('bare', '[$][$]')} as display_signs,
   len(list_filter(display, lambda x: regexp_matches(x, '{grading.STRUCTURE}') or length(x) > 3000 or len(string_split(x, chr(10))) > 40)) as runaway, {kept_letters('\\p{Latin}')} as latin, {kept_letters('\\p{Cyrillic}')} as cyrillic, {kept_letters('\\p{Greek}')} as greek,
-  {kept_letters('\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}')} as cjk, {kept_letters('\\p{L}')} as letters, {kept_letters(grading.ACCENTED)} as accented, {kept_letters(grading.IMPOSSIBLE)} as impossible from found),
+  {kept_letters('\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}')} as cjk, {kept_letters('\\p{L}')} as letters, {kept_letters(grading.ACCENTED)} as accented, {kept_letters(grading.IMPOSSIBLE)} as impossible from found join docs using (result_id)),
 measures as (select b.result_id, pages, lines, filled, chars, alnum, coalesce(headings, 0) as headings, coalesce(jumps, 0) as jumps, junk, table_rows, coalesce(broken_rows, 0) as broken_rows, hyphens, coalesce(flat_runs, 0) as flat_runs, lost, greek_units,
   coalesce(repeat_groups, 0) as repeat_groups, coalesce(most_copies, 0)::bigint as most_copies, coalesce(flat_ladder, 0) as flat_ladder, coalesce(chapters, 0) as chapters, coalesce(lost_chapters, 0) as lost_chapters, formulas, bad_formulas, display_signs, runaway,
   letters + impossible as sample, greatest(0, letters - case when latin = greatest(latin, cyrillic, greek, cjk) then latin + cyrillic else greatest(latin, cyrillic, greek, cjk) + latin end) + impossible as unreadable, letters, accented, cyrillic

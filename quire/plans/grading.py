@@ -6,6 +6,8 @@ score halves with every h of defect, the total with the sum of all halvings; a v
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,28 @@ KNOWN_UNIT = r"\$\$?\s*\d+(\s|~)+\\mu\\Omega\s*\$\$?"
 STRUCTURE = r"(?m)^ {0,3}#{1,6}[ \t]+\S|!\[[^\]\n]*\]\(|^[|:\- \t]*-[|:\- \t]*$"
 ACCENTED = "À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿĀ-ďĒ-ĥĨ-İĴ-ķĹ-ľŃ-ňŌ-őŔ-ťŨ-ž"
 IMPOSSIBLE = r"\x{FFFD}\x{E000}-\x{F8FF}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F"
-SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "cjk": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"}
+#: What is counted among the characters of a whole body.
+LETTERS = {"latin": r"\p{Latin}", "cyrillic": r"\p{Cyrillic}", "greek": r"\p{Greek}", "cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]", "letters": r"\p{L}", "accented": f"[{ACCENTED}]", "impossible": r"[\uFFFD\uE000-\uF8FF\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"}
+_kinds: dict[str, tuple[bool, ...]] = {}
 
 
 def folded(title: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(title, NUMBERED, ""), r"[^\p{L}\p{N}]+", " ")))
 
 
+def letters_of(body: str) -> list[int]:
+    """Characters of a body by LETTERS; kinds of characters are few, so each is looked into once."""
+    import regex
+
+    out = [0] * len(LETTERS)
+    for c, n in Counter(body).items():
+        if (kinds := _kinds.get(c)) is None:
+            kinds = _kinds[c] = tuple(bool(regex.match(rule, c)) for rule in LETTERS.values())
+        for k, has in enumerate(kinds):
+            out[k] += n * has
+    return out
+
+
 def valid_formula(x: Column) -> Column:
     """Not empty, and braces, \\left and \\right, \\begin and \\end in pairs."""
     n = lambda rule: F.regexp_count(x, F.lit(rule))
@@ -51,7 +68,7 @@ def spans(text: Column) -> tuple[Column, Column]:
 def measures(bodies: DataFrame, longest: int = 25, least_run: int = 6, longest_repeat: int = 80, connector: int = 3, gap: int = 3) -> DataFrame:
     """One row per body (result_id, body, pages and, if there are, chunks and done): counts that the checks are made of."""
     extra = [c for c in ("chunks", "done") if c in bodies.columns]
-    z = L.zoned(bodies, "pages", *extra).repartition("result_id")
+    z = L.zoned(bodies, "pages", *extra, counts=tuple(LETTERS), count=letters_of).repartition("result_id")
     line, plain = F.col("line"), ~F.col("protected")
     core = F.trim("line")
     z = z.withColumn("level", F.when(plain, K.heading_level(line))).withColumn("core", core)
@@ -78,7 +95,7 @@ def measures(bodies: DataFrame, longest: int = 25, least_run: int = 6, longest_r
     z = z.withColumn("gap", F.col("line_no") - F.lag("line_no").over(same)).withColumn("copy", F.row_number().over(same))
     count = lambda c: F.count(F.when(c, 1))
     by = z.groupBy("result_id", "may", "core").agg(
-        F.count("*").alias("copies"), F.median("gap").alias("median_gap"), F.max("pages").alias("pages"), *[F.max(c).alias(c) for c in extra],
+        F.count("*").alias("copies"), F.median("gap").alias("median_gap"), F.max("pages").alias("pages"), *[F.max(c).alias(c) for c in (*extra, *LETTERS)],
         count(core != "").alias("filled"), F.sum(F.length("line") + 1).alias("chars"), F.sum(K.alnum(line)).alias("alnum"),
         count(F.col("level").isNotNull()).alias("headings"), count((F.col("level") > F.col("above") + 1) | (plain & line.rlike(K.GLUED))).alias("jumps"),
         count(plain & (core != "") & K.is_junk(line, F.col("underline"))).alias("junk"), count(row).alias("table_rows"),
@@ -95,15 +112,13 @@ def measures(bodies: DataFrame, longest: int = 25, least_run: int = 6, longest_r
     sums = ["copies", "filled", "chars", "alnum", "headings", "jumps", "junk", "table_rows", "broken_rows", "hyphens", "flat_runs", "lost", "greek_units"]
     grouped = (F.col("may") == 1) & (F.col("median_gap") <= gap)
     out = by.groupBy("result_id").agg(
-        *[F.sum(c).alias("lines" if c == "copies" else c) for c in sums], *[F.max(c).alias(c) for c in ("pages", *extra)],
+        *[F.sum(c).alias("lines" if c == "copies" else c) for c in sums], *[F.max(c).alias(c) for c in ("pages", *extra, *LETTERS)],
         F.collect_list(F.when(grouped & (F.col("copies") >= 3), F.col("copies"))).alias("repeats"),
         *[F.flatten(F.collect_list(c)).alias(c) for c in ("text", "heads", "written", "chapters")],
     )
     out = out.withColumn("text", F.array_join(F.transform(F.array_sort("text"), lambda x: x["line"]), "\n"))
     display, inline = spans(F.col("text"))
     out = out.withColumn("display", display).withColumn("inline", inline)
-    letters = {name: F.length(F.regexp_replace("text", f"[^{rule}]", "")) for name, rule in SCRIPTS.items()}
-    out = out.select("*", *[c.alias(n) for n, c in letters.items()], F.length(F.regexp_replace("text", r"\P{L}", "")).alias("letters"), F.length(F.regexp_replace("text", f"[^{ACCENTED}]", "")).alias("accented"), F.length(F.regexp_replace("text", f"[^{IMPOSSIBLE}]", "")).alias("impossible"))
     main = F.greatest("latin", "cyrillic", "greek", "cjk")
     own = F.when(F.col("latin") == main, F.col("latin") + F.col("cyrillic")).otherwise(main + F.col("latin"))
     levels = F.transform("heads", lambda h: h["level"])

@@ -18,7 +18,8 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "block_outputs").dropDuplicates(["block_key"])
+    """Blocks, a delivery repeated is one. Exchanged by result, so windows over results and pages need no other exchange."""
+    return table(spark, sf_dir, "block_outputs").repartition("result_id").dropDuplicates(["result_id", "block_key"])
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:

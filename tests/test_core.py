@@ -73,7 +73,7 @@ def test_repeats_and_runs(spark):
 def test_words(spark):
     z = zoned(spark, " ".join(["turbine"] * 20) + " turbme turbino `turbina`")
     assert [(r.word, r.neighbour) for r in words.near_words(words.word_counts(z)).collect()] == [("turbino", "turbine")]
-    z = zoned(spark, "cost-effective costeffective costeffective costeffective")
+    z = zoned(spark, "deep-water deepwater deepwater deepwater")
     assert [r.decision for r in words.compounds(z).collect()] == ["join"]
 
 
@@ -112,7 +112,7 @@ def test_clean_passes():
     assert c("## **Title**\n\n```\n#  keep  \n```\n") == "## Title\n\n```\n#  keep  \n```\n"
     assert c("| a |  |\n| --- | --- |\n| 1 |  |\n") == "| a   |\n| --- |\n| 1   |\n"
     assert c("| a | b | c |\n|---|---|---|\n| X<br>Y | 1<br>2 | 3<br>4 |\n") == "| a   | b   | c   |\n| --- | --- | --- |\n| X   | 1   | 3   |\n| Y   | 2   | 4   |\n"
-    assert c("the actuator and the actuator, actu-\nator of it\n") == "the actuator and the actuator, actuator\nof it\n"
+    assert c("the spillway and the spillway, spill-\nway of it\n") == "the spillway and the spillway, spillway\nof it\n"
     assert c("one two three four\n\n<!-- source:page 2 -->\n\nfive six\n") == "one two three four five six\n\n<!-- source:page 2 -->\n"
     assert c("# 1 A\n#### 1.1 B\n#### 1.2 C\n#### 1.3 D\n") == "### 1 A\n#### 1.1 B\n#### 1.2 C\n#### 1.3 D\n"
     assert c("") == ""
