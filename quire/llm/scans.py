@@ -36,7 +36,7 @@ EDGE = 3
 #: Signs a letter is read as, and the letters they may stand for (fixed values).
 SIGNS = {"0": "oоuö", "1": "liіт", "5": "s", "9": "g", "6": "bбgó", "8": "bвß", "3": "зэe", "4": "ч", "7": "т", "@": "aа", "!": "il", "|": "li", "+": "tт", "$": "s", "€": "e"}
 #: Letters that are read for others: what stands there, what was printed (fixed values).
-LETTERS = [("c", "e"), ("e", "c"), ("rn", "m"), ("m", "rn"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("п", "л"), ("п", "н"), ("л", "п"), ("н", "п"), ("и", "н"), ("н", "и"), ("ш", "щ"), ("щ", "ш"), ("ь", "ы"), ("с", "е"), ("е", "с"), ("б", "6")]
+LETTERS = [("c", "e"), ("e", "c"), ("rn", "m"), ("m", "rn"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("l", "t"), ("t", "l"), ("и", "й"), ("й", "и"), ("п", "л"), ("п", "н"), ("л", "п"), ("н", "п"), ("и", "н"), ("н", "и"), ("ш", "щ"), ("щ", "ш"), ("ь", "ы"), ("с", "е"), ("е", "с"), ("б", "6")]
 RATIO = 20
 LEAST = 5
 WORD = re.compile(r"[^\W\d_]+")
