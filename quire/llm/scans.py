@@ -44,6 +44,8 @@ LONG = re.compile(r"[^\W\d_]{3,}")
 MIXED = re.compile(r"(?<![\w@!+|$€/\\.:-])(?=[\d@!+|$€]*[^\W\d_])(?:[^\W\d_]|[0-9@!+|$€](?=[\w@!+|$€]*[^\W\d_])|(?<=[^\W\d_])[0-9@!+|$€])+(?![\w@|$€/\\])")
 HYPHEN = re.compile(r"[-¬­‐][ \t]*\n")
 BROKEN = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})[ \t]?([-¬­‐])[ \t]*\n(?:[ \t]*\n)*[ \t]*([^\W\d_]{2,})")
+#: The same with signs among the letters of its halves.
+BROKEN_MIXED = re.compile(r"(?<![\w@!+|$€])([\w@!+|$€]{2,})[ \t]?[-¬­‐][ \t]*\n(?:[ \t]*\n)*[ \t]*([\w@!+|$€]{2,})")
 MARK = re.compile(r"^[ \t]*<!-- ?source:page[^>]*-->[ \t]*$", re.M)
 LOST = re.compile(r"^[ \t]*\[page \d+ not recognized\][ \t]*$", re.M)
 SUSPENDED = frozenset("und oder bzw sowie bis wie and or to nor et ou ni и или либо da".split())
@@ -481,7 +483,8 @@ def common_words(words: DataFrame, wrong: DataFrame, bound: int = C.VOCABULARY_B
 def candidates(records: DataFrame, field: str, known) -> DataFrame:
     """Kinds that the record shows by itself, and words to be looked up: (field_name, rec_id, kind, word, other, n).
 
-    n counts a word with signs in it, which the vocabulary doesn't hold. The text of html comes from without_tags.
+    n counts a word with signs in it or broken over a line end, which the vocabulary doesn't hold. The text of html comes from
+    without_tags.
     """
 
     def run(field_name, rec, value, known):
@@ -498,6 +501,12 @@ def candidates(records: DataFrame, field: str, known) -> DataFrame:
             start = text.rfind("\n", 0, m.start()) + 1
             plain = sign == "-" and junk_share(text[start : m.start(2)]) < 0.4
             yield field_name, rec, "hyphen", (a + b).lower(), b.lower() if plain else None, None
+            if (a + b).lower() not in known:
+                yield field_name, rec, "misread", (a + b).lower(), None, 1
+        if SIGN.search(low) and HYPHEN.search(text):
+            for a, b in BROKEN_MIXED.findall(low):
+                if not (a + b).isalpha() and MIXED.fullmatch(a + b):
+                    yield field_name, rec, "misread", a + b, None, 1
         low = without_marks(low)
         odd = set(LONG.findall(low)) - known
         signed = bool(SIGN.search(low))
@@ -550,11 +559,12 @@ def noise(bodies: DataFrame, checks: DataFrame, blocks: DataFrame) -> DataFrame:
     cand = C.cut(C.once(cand))
     plain = cand.where("kind in ('header', 'pageno')").select("field_name", "rec_id", "kind", "word", F.lit(None).cast("string").alias("printed"))
     signed = cand.where("kind = 'misread' and n is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    wrong = wrong.unionByName(misreadings(signed, words))
+    wrong = wrong.unionByName(misreadings(signed.join(wrong.select("word"), "word", "left_anti"), words))
     misread = cand.where("kind = 'misread'").join(wrong, "word").select("field_name", "rec_id", "kind", "word", "printed")
-    # a broken word: the vocabulary has it whole, or else doesn't have its second half
+    # a broken word: the vocabulary has it whole, or what it is a misreading of, or else doesn't have its second half
     broken = cand.where("kind = 'hyphen'")
-    whole = broken.join(words.where("n >= 2").select("word", F.lit(True).alias("is_word")), "word", "left")
+    entire = words.where("n >= 2").select("word").unionByName(wrong.select("word")).distinct()
+    whole = broken.join(entire.withColumn("is_word", F.lit(True)), "word", "left")
     half = words.where("n >= 2").select(F.col("word").alias("other"), F.lit(True).alias("half_word"))
     hyphen = whole.where("is_word").unionByName(whole.where("is_word is null and other is not null").join(half, "other", "left_anti").select(*whole.columns))
     hyphen = hyphen.select("field_name", "rec_id", "kind", "word", F.col("word").alias("printed"))

@@ -303,6 +303,16 @@ def test_scans(spark):
     assert got == {("body", 0, "hyphen"), ("body", 1, "misread"), ("texts", 9, "header"), ("texts", 9, "pageno")} | {("html", k, "header") for k in range(3)} | {("html", k + 10, "pageno") for k in range(3)}
 
 
+def test_broken_and_misread(spark):
+    prose = "The valve was closed before noon and the third delivery came late. Третьей очереди нет.\n"
+    bodies = body(spark, "The del-\nivcry came.", "The de1i-\nvery came.", "Третьеи очереди.", "The valve closcd.", *[prose * 3] * 9).select("field_name", "rec_id", "text")
+    none = spark.createDataFrame([], "field_name string, rec_id bigint, texts array<string>")
+    blocks = spark.createDataFrame([], "block_key bigint, result_id bigint, page_id int, block_id int, block_type string, html string")
+    rows = scans.noise(bodies, none, blocks).where("rec_id < 4").collect()
+    assert {(r.rec_id, r.kind) for r in rows} == {(0, "hyphen"), (0, "misread"), (1, "misread"), (2, "misread"), (3, "misread")}
+    assert {r.printed for r in rows if r.kind == "misread"} == {"delivery", "третьей", "closed"}
+
+
 def test_header_of_short_pages():
     leads = ["Upper", "Second", "Old", "Worn", "Late", "Dry", "Cold", "Last"]
     pages = "\n\n".join(f"Ledger of the old quay\n\n{w} valves were closed before noon." for w in leads)
