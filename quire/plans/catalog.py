@@ -11,7 +11,7 @@ from quire.functions import columns as K
 from quire.operators import cleaning, edits, findings, inspection, layout, post, words
 from quire.operators import lines as L
 from quire.operators import tables as T
-from quire.plans import grading
+from quire.plans import finish, grading
 from quire.sources import shared
 from quire.sources import tables as S
 from quire.streaming import events as E
@@ -356,6 +356,11 @@ def clean_markdown(spark, sf_dir):
     return cleaning.clean(S.bodies(spark, sf_dir))
 
 
+@query("finished_results")
+def finished_results(spark, sf_dir):
+    return finish.finished(S.bodies(spark, sf_dir), S.headers(spark, sf_dir))
+
+
 @query("clean_grades")
 def clean_grades(spark, sf_dir):
     b = S.bodies(spark, sf_dir)

@@ -29,14 +29,22 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, source_hash, body) of the Markdown files of one folder level, in order of their names."""
+    """(path, name, source_hash, body) of the Markdown files of one folder level, in order of their names.
+
+    The hash of a finished result is that of its content without its own header, so a result is found to be what it was made of.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    out = raw.select("path", name.alias("name"), K.url_hash(F.col("content")).alias("source_hash"), F.decode("content", "UTF-8").alias("body"))
+    text = F.decode("content", "UTF-8")
+    own = F.regexp_extract(text, HEADER, 1).rlike(OWN_HEADER)
+    digest = F.when(own, K.url_hash(F.encode(F.regexp_replace(text, HEADER, ""), "UTF-8"))).otherwise(K.url_hash(F.col("content")))
+    out = raw.select("path", name.alias("name"), digest.alias("source_hash"), text.alias("body"))
     return out.withColumn("body", F.regexp_replace("body", "\r\n?", "\n")).orderBy(F.lower("name"), "name")
 
 
-HEADER = r"(?s)^---\n(.*?)\n---\n?"
+HEADER = r"(?s)^---\n(.*?)\n---\n{0,2}"
+#: What tells the header of a result from front matter that the source has itself.
+OWN_HEADER = r"(?m)^source_hash: "
 
 
 def split_header(df: DataFrame, body: str = "body") -> DataFrame:
@@ -65,6 +73,26 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status").parquet(path)
 
 
+def write_markdown(df: DataFrame, folder: str) -> None:
+    """One file a row (target, text) in a folder that all executors reach; a file is there as a whole or not at all, so a task that
+    is run again does no harm. Targets that lead out of the folder are refused."""
+    import os
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.normpath(os.path.join(folder, r["target"]))
+            if os.path.dirname(path) != os.path.normpath(folder):
+                raise ValueError(f"target outside of the folder: {r['target']}")
+            part = f"{path}.{os.getpid()}.part"
+            with open(part, "w", encoding="utf-8", newline="\n") as f:
+                f.write(r["text"] or "")
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(part, path)
+
+    df.select("target", "text").foreachPartition(write)
+
+
 def unfinished(sources: DataFrame, results: DataFrame) -> DataFrame:
     """Sources that have no finished result of the same content."""
     done = results.where("status in ('ok', 'bad')").select("source", "source_hash").distinct()

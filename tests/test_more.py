@@ -8,8 +8,10 @@ from quire.functions import columns as K
 from quire.operators import findings, layout
 from quire.operators import lines as L
 from quire.operators import tables as T
-from quire.plans import catalog, grading
+from quire.plans import catalog, finish, grading
 from quire.sources import media, provider, queue
+from quire.sources import tables as S
+from quire.streaming import assembly
 from quire.streaming import events as E
 
 BLOCK = "block_key bigint, result_id bigint, page_id int, block_id int, block_type string, html string, polygon array<array<double>>, section_hierarchy map<int,string>, ingested_at timestamp"
@@ -219,3 +221,43 @@ def test_stream_leaves_late_rows_out(spark, tmp_path):
         q.awaitTermination()
     got = {(r.start_ts.day, r.n, r.total) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 1, 1.0), (3, 2, 3.0), (6, 1, 1.0)}
+
+
+def test_finished_results(spark, tmp_path):
+    body = "**T**itle of it\n\nThe valve was closed by hand before noon, and nobody measured it again.\n\nva-\nlve\n"
+    bodies = spark.createDataFrame([(1, body, 1), (2, None, 1), (3, "", 1)], "result_id bigint, body string, pages int")
+    sources = spark.createDataFrame([(1, "a.pdf"), (9, "b.pdf")], "result_id bigint, source string")
+    rows = {r.result_id: r for r in finish.finished(bodies, sources).collect()}
+    assert set(rows) == {1, 3} and rows[1].target == "a.md" and rows[1].findings == 1 and rows[3].target == "result-3.md" and rows[3].status == "bad" and "empty_body" in rows[3].issues
+    S.write_markdown(finish.finished(bodies, sources), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.md", "result-3.md"]
+    files = {r["name"]: r for r in S.split_header(S.markdown_files(spark, str(tmp_path))).collect()}
+    assert files["a.md"].header["source"] == "a.pdf" and files["a.md"].header["status"] == rows[1].status and files["a.md"].body.startswith("Title of it")
+    from quire.functions import columns as K
+
+    clean = spark.createDataFrame([(files["a.md"].body,)], "b string").select(K.url_hash(F.encode("b", "UTF-8")).alias("h")).collect()[0].h
+    assert files["a.md"].source_hash == clean
+    with pytest.raises(Exception, match="outside of the folder"):
+        S.write_markdown(spark.createDataFrame([("../x.md", "t")], "target string, text string"), str(tmp_path))
+
+
+def test_pages_are_assembled(spark, tmp_path):
+    """A body leaves when it is whole, over several batches; one that waits too long leaves with marks for what is missing."""
+    from datetime import datetime
+
+    at = lambda h, m=0: datetime(2026, 1, 1, h, m)
+    batches = [
+        [(1, 1, 2, "one", at(1)), (2, 1, 3, "a", at(1)), (2, 1, 3, "again", at(1)), (None, 1, 1, "x", at(1))],
+        [(1, 2, 2, "two", at(1, 5)), (2, 3, 3, "c", at(1, 10)), (4, 1, 1, "whole", at(1, 10))],
+        [(3, 1, 2, "late", at(9))],
+        [(5, 1, 2, "later", at(20))],
+    ]
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "result_id bigint, page int, of int, text string, ts timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = assembly.assembled(spark.readStream.schema(schema).parquet(folder))
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    got = {r.result_id: r for r in spark.read.parquet(out).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1].body == "<!-- source:page 1 -->\n\none\n\n<!-- source:page 2 -->\n\ntwo" and got[1].lost == 0 and got[4].body.endswith("whole")
+    assert got[2].body == "<!-- source:page 1 -->\n\na\n\n<!-- source:page 2 -->\n\n[page 2 not recognized]\n\n<!-- source:page 3 -->\n\nc" and (got[2].lost, got[2].pages) == (1, 3) and got[3].lost == 1
