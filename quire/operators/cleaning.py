@@ -25,6 +25,7 @@ NOISE = re.compile("[­​-‍﻿]")
 WORD = re.compile(r"[^\W\d_]+")
 LATIN_LIKE = "aceopxyABCEHKMOPTXyk"
 CYRILLIC_LIKE = "асеорхуАВСЕНКМОРТХук"
+CYRILLIC, LATIN = re.compile("[Ѐ-ӿ]"), re.compile("[A-Za-z]")
 TO_LATIN = str.maketrans(CYRILLIC_LIKE, LATIN_LIKE)
 TO_CYRILLIC = str.maketrans(LATIN_LIKE, CYRILLIC_LIKE)
 ROUNDS = 8
@@ -37,15 +38,25 @@ def each_plain(segs: Segments, fix) -> Segments:
 
 
 def fix_line(line: str) -> str:
+    """A rule is tried only where a sign of it stands in the line."""
     line = NOISE.sub("", line).rstrip()
-    line = re.sub(r"!\[[^\]\n]*[\w-]\.(?:png|jpe?g|gif|svg|tiff?|webp|bmp)\]\(", "![](", line)
-    line = re.sub(r"(?<=[^\W\d_])\*\*([^\W\d_]+)\*\*", r"\1", re.sub(r"\*\*([^\W\d_]+)\*\*(?=[^\W\d_])", r"\1", line))
-    line = prose.decimals_joined(prose.roman_joined(re.sub(r"^(\d+)\. (\d+)\.(?=\s)", r"\1.\2.", line)))
-    line = re.sub(r"<span id=[^<>]*></span>", "", line)
-    line = re.sub(r"(?<!!)\[([^\]\n]+)\]\(#[^()\s]*\)", r"\1", line)
-    line = re.sub(r"^( {0,3})•[ \t]+(?=\S)", r"\1- ", line)
-    line = re.sub(r"^(\s*[-*+] \*\*\d+[.)]\*\*)(?=\S)", r"\1 ", line)
-    return WORD.sub(one_script, line)
+    if not line:
+        return line
+    if "![" in line:
+        line = re.sub(r"!\[[^\]\n]*[\w-]\.(?:png|jpe?g|gif|svg|tiff?|webp|bmp)\]\(", "![](", line)
+    if "**" in line:
+        line = re.sub(r"(?<=[^\W\d_])\*\*([^\W\d_]+)\*\*", r"\1", re.sub(r"\*\*([^\W\d_]+)\*\*(?=[^\W\d_])", r"\1", line))
+        line = re.sub(r"^(\s*[-*+] \*\*\d+[.)]\*\*)(?=\S)", r"\1 ", line)
+    if ". " in line or "II" in line or "V" in line or "X" in line:
+        line = prose.decimals_joined(prose.roman_joined(re.sub(r"^(\d+)\. (\d+)\.(?=\s)", r"\1.\2.", line)))
+    if "<span" in line:
+        line = re.sub(r"<span id=[^<>]*></span>", "", line)
+    if "](#" in line:
+        line = re.sub(r"(?<!!)\[([^\]\n]+)\]\(#[^()\s]*\)", r"\1", line)
+    if "•" in line:
+        line = re.sub(r"^( {0,3})•[ \t]+(?=\S)", r"\1- ", line)
+    # only a word of both scripts can have a letter of the wrong one
+    return WORD.sub(one_script, line) if CYRILLIC.search(line) and LATIN.search(line) else line
 
 
 def one_script(m: re.Match) -> str:

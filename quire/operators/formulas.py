@@ -136,7 +136,12 @@ LOOPED = {(3, 80, 6): re.compile(r"(.{3,80}?)\1{5}", re.S), (81, 400, 3): re.com
 
 
 def looped(text: str, low: int, high: int, times: int) -> list[tuple[int, int, int]]:
-    return repeats(text, low, high, times) if LOOPED[low, high, times].search(text) else []
+    """As repeats, but with two necessary conditions first: a unit of p characters that comes `times` in a row leaves
+    (times - 1) p - 7 stretches of eight characters or more that were there before, and has a back-reference that holds."""
+    n = len(text) - 7
+    if n - len({text[i : i + 8] for i in range(n)}) < (times - 1) * low - 7 or not LOOPED[low, high, times].search(text):
+        return []
+    return repeats(text, low, high, times)
 
 
 def is_loop(span: str) -> bool:

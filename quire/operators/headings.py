@@ -50,6 +50,8 @@ def number_of(title: str) -> tuple[int, ...]:
 
 def spaced_titles(segs: Segments) -> Segments:
     """`I n t r o` reads Intro if the body's words spell it in one way with the fewest words."""
+    if not any(sum(len(x) == 1 and x.isalpha() for x in title.split(" ")) >= 3 for _, _, title in rows(segs)):
+        return segs
     known = Counter(w for x, p in segs if not p for w in re.findall(r"[^\W\d_]{2,}", x.casefold()))
     for i, _, title in rows(segs):
         pieces = title.split(" ")

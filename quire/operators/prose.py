@@ -161,6 +161,8 @@ SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?: [^\W\d_]){2,}(?![^\W\d_])")
 
 def spaced_joined(segs: Segments, least: int = 2) -> Segments:
     """`i m p o r t a n t` is one word if the body has it elsewhere."""
+    if not any(not p and SPACED.search(x) for x, p in segs):
+        return segs
     counts = words_of(segs)
 
     def fix(m: re.Match) -> str:
@@ -175,6 +177,8 @@ COMPOUND = re.compile(r"(?<![\w-])([^\W\d_]+)-([^\W\d_]+)(?![\w-])")
 
 def compounds_settled(segs: Segments, ratio: int = 3) -> Segments:
     """A word written with and without a hyphen is written the way that is `ratio` times as frequent; several breaks of one are left."""
+    if not any(not p and "-" in x and COMPOUND.search(x) for x, p in segs):
+        return segs
     counts = words_of(segs)
     broken = Counter(m.group().casefold() for x, p in segs if not p for m in COMPOUND.finditer(x))
     forms: dict[str, set] = defaultdict(set)

@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(result_id, body, pages, lang): a record delivered twice is one."""
-    return table(spark, sf_dir, "ocr_results").where("result_id is not null").select("result_id", "archive_id", "body", "pages", "lang").dropDuplicates(["result_id"])
+    """(result_id, body, pages, lang): a record delivered twice is one.
+
+    Kernels over bodies take far longer than their bytes tell, so the exchange keeps all of spark.sql.shuffle.partitions.
+    """
+    rows = table(spark, sf_dir, "ocr_results").where("result_id is not null").select("result_id", "archive_id", "body", "pages", "lang")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "result_id").dropDuplicates(["result_id"])
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
