@@ -281,6 +281,26 @@ def test_walk_weighs_edits():
     assert lookalikes.canonical(token, "latin", lookalikes.Trie(list(own.items())), own, budget=0.5)[0] != "контрасте"
 
 
+def test_every_word_within_the_budget(spark):
+    latin = str.maketrans("котрасе", "kotpace")
+    known = ["контраст", "контраста", "контрастам", "контрастера", "тест", "straße", "both", "valve", "note"]
+    words = spark.createDataFrame([(w, 5) for w in known], "word string, n bigint")
+    # one letter off at any place, most letters Latin ones: the word tells that they are Cyrillic
+    want = {}
+    for word in known[:4]:
+        for i in range(len(word)):
+            off = word[:i] + ("к" if word[i] != "к" else "о") + word[i + 1 :]
+            want[off.translate(latin) if i != 2 else off[0] + off[1:].translate(latin)] = off
+    # short words, sharp s, Greek capitals and tokens of several words
+    want |= {"тecтa": "теста", "Str\u0430ße": "Straße", "Βοth": "Both", "cafe\u200b\u0301": "café", "v\u0430lve\u2011тecтa.": "valve-теста.", "a\u00adnd/кот": "and/кот"}
+    got = {r.token: r for r in lookalikes.spellings(spark.createDataFrame([(t, "latin") for t in want], "token string, script string"), words).collect()}
+    assert {t: got[t].canonical for t in want} == want
+    assert all(got[t].matched for t in ("Str\u0430ße", "Βοth")) and not got["тecтa"].matched
+    # a correct short word of another script is a letter off some word
+    assert lookalikes.canonical("кот", "latin", lookalikes.Trie([("not", 9)]), {"not": 9})[:3] == ("кот", False, False)
+    assert {tuple(r[2:]) for r in lookalikes.unusual("body", 1, "the v\u0430lve\u2011box, a PDF\u2011box") } == {("v\u0430lve\u2011box,", "latin", None), ("PDF\u2011box", "latin", "PDF-box")}
+
+
 def test_one_form(spark):
     plain = "The valve was near the café, and the upper valve was closed (again)."
     other = "The v\u0430lve was near\u00a0the cafe\u0301, and the upper ｖａｌｖｅ was clo\u00adsed (ag\u0430in)."
