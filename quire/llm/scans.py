@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 from quire.llm.markup import BLOCK_TAG, FENCED, FORMULA, INLINE_CODE, TAG, blanked
-from quire.llm.quality import HEAD, PROSE, SENTENCE_END, SUSPECT, junk_share, line_kinds
+from quire.llm.quality import HEAD, PROSE, SENTENCE_END, junk_share, line_kinds
 
 CANDIDATES = "field_name string, rec_id bigint, kind string, word string, other string, n bigint"
 #: Characters from which a line counts as long: it is compared with others word by word.
@@ -42,7 +42,7 @@ LEAST = 5
 WORD = re.compile(r"[^\W\d_]+")
 LONG = re.compile(r"[^\W\d_]{3,}")
 MIXED = re.compile(r"(?<![\w@!+|$€/\\.:-])(?=[\d@!+|$€]*[^\W\d_])(?:[^\W\d_]|[0-9@!+|$€](?=[\w@!+|$€]*[^\W\d_])|(?<=[^\W\d_])[0-9@!+|$€])+(?![\w@|$€/\\])")
-HYPHEN = re.compile(r"[-¬­‐][ \t]*\n")
+HYPHENS = {sign: re.compile(sign + r"[ \t]*\n") for sign in "-¬­‐"}
 BROKEN = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,})[ \t]?([-¬­‐])[ \t]*\n(?:[ \t]*\n)*[ \t]*([^\W\d_]{2,})")
 #: The same with signs among the letters of its halves.
 BROKEN_MIXED = re.compile(r"(?<![\w@!+|$€])([\w@!+|$€]{2,})[ \t]?[-¬­‐][ \t]*\n(?:[ \t]*\n)*[ \t]*([\w@!+|$€]{2,})")
@@ -260,19 +260,31 @@ def text_lines(texts: list) -> tuple[list[list[str]], list[tuple[int, int, str,
 RESIDUE = re.compile(r"&(?:amp;)*lt;/?[A-Za-z][^<>\n]{0,80}?&(?:amp;)*gt;|</?[A-Za-z][^<>\n]*>|\{\|[^\n]*|~?\\[A-Za-z]+(?:\{[\w:.-]*\})?|&[a-z]+;|\]\([^()\s]*\)|\{\{[^{}\n]*\}\}|[A-Z]:\\\S+|(?<!\S)\S*@\S*\.\S+", re.M)
 
 
+def hyphens(text: str) -> list[int]:
+    """Places of the hyphens at line ends."""
+    return sorted(m.start() for sign, rule in HYPHENS.items() if sign in text for m in rule.finditer(text))
+
+
 UNSEEN = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff]")
+UNSEEN_SIGNS = "\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+
 
+def has_unseen(text: str) -> bool:
+    """UNSEEN is in the text; one sign after the other is sought faster than all of them."""
+    return not text.isascii() and any(c in text for c in UNSEEN_SIGNS)
 
-def readable(text: str) -> str:
-    """The text without its lines of junk."""
-    if not SUSPECT.search(text):
-        return text
-    return "\n".join(x for x in text.split("\n") if junk_share(x) <= 0.5)
+
+def readable(text: str, words: set[str], signed: bool) -> str:
+    """The lines of a text that aren't junk and hold one of the words or, if there are some, signs among letters."""
+    lines = text.split("\n")
+    if len(words) * len(lines) < 20_000:
+        lines = [x for x in lines if any(w in x for w in words) or signed and SIGN.search(x)]
+    return "\n".join(x for x in lines if junk_share(x) <= 0.5)
 
 
 def without_marks(text: str) -> str:
     """Tags, commands, targets and paths of foreign markup are no words of the text; invisible signs don't end a word."""
-    if UNSEEN.search(text):
+    if has_unseen(text):
         text = UNSEEN.sub("", text)
     return RESIDUE.sub(" ", text) if "<" in text or "\\" in text or "{" in text or "](" in text or "&" in text or "@" in text else text
 
@@ -319,15 +331,12 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 OTHER_ENTITY = r"&(?!(?:amp|lt|gt|quot|nbsp|#39);)"
 
 
-def where_it_shows(text: Column, hint: str, pattern: str, new: str) -> Column:
-    return F.when(text.rlike(hint), F.regexp_replace(text, pattern, new)).otherwise(text)
-
-
 def without_tags(html: Column) -> Column:
     """The text of a block with its entities as they stand: code and formulas blanked, blocks on lines of their own."""
-    text = where_it_shows(html, "<(?:pre|math|code)", r"(?is)<(pre|math|code)\b[^>]*>.*?</\1>", "\u0000")
-    text = F.regexp_replace(text, r"(?i)</?(?:p|li|ul|ol|table|tr|div|h[1-6]|content-ref)\b[^<>]*>|<br\s*/?>", "\n")
-    return F.btrim(where_it_shows(text, "</?[A-Za-z]", r"</?[A-Za-z][^<>]*>", ""), F.lit("\n"))
+    aside = html.contains("<pre") | html.contains("<math") | html.contains("<code")
+    text = F.when(aside, F.regexp_replace(html, r"(?is)<(pre|math|code)\b[^>]*>.*?</\1>", "\u0000")).otherwise(html)
+    text = F.regexp_replace(text, r"(?i)<(?:/?(?:p|li|ul|ol|table|tr|div|h[1-6]|content-ref)\b[^<>]*|br\s*/?)>", "\n")
+    return F.btrim(F.regexp_replace(text, r"</?[A-Za-z][^<>]*>", ""), F.lit("\n"))
 
 
 def vocabulary(texts: DataFrame, html: DataFrame) -> DataFrame:
@@ -350,7 +359,8 @@ def vocabulary(texts: DataFrame, html: DataFrame) -> DataFrame:
     return raw.select(word.alias("word"), "n").where(F.length("word") >= 3).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-SIGN = re.compile(r"[^\W\d_][0-9@!+|$€]|[0-9@!+|$€][^\W\d_]")
+#: A sign before or behind a letter.
+SIGN = re.compile(r"[0-9@!+|$€](?:(?=[^\W\d_])|(?<=[^\W\d_].))")
 
 
 #: Words of more signs, readings or letters than these are compared with the vocabulary instead of being spelled out.
@@ -487,13 +497,14 @@ def candidates(records: DataFrame, field: str, known) -> DataFrame:
     without_tags.
     """
 
-    def run(field_name, rec, value, known):
+    def run(field_name, rec, value, known, fine):
         text, has = kept(field, value)
         for kind in sorted(has):
             yield field_name, rec, kind, None, None, None
-        text = UNSEEN.sub("", text) if UNSEEN.search(text) else text
+        text = UNSEEN.sub("", text) if has_unseen(text) else text
         low = text.lower()
-        for m in BROKEN.finditer(text) if HYPHEN.search(text) else ():
+        ends = hyphens(text)
+        for m in BROKEN.finditer(text) if ends else ():
             a, sign, b = m[1], m[2], m[3]
             if b.lower() in SUSPENDED and sign == "-" or b[0].isupper() and not a.isupper():
                 continue
@@ -503,15 +514,22 @@ def candidates(records: DataFrame, field: str, known) -> DataFrame:
             yield field_name, rec, "hyphen", (a + b).lower(), b.lower() if plain else None, None
             if (a + b).lower() not in known:
                 yield field_name, rec, "misread", (a + b).lower(), None, 1
-        if SIGN.search(low) and HYPHEN.search(text):
+        signed = bool(SIGN.search(low))
+        if signed and ends:
             for a, b in BROKEN_MIXED.findall(low):
                 if not (a + b).isalpha() and MIXED.fullmatch(a + b):
                     yield field_name, rec, "misread", a + b, None, 1
         low = without_marks(low)
-        odd = set(LONG.findall(low)) - known
-        signed = bool(SIGN.search(low))
+        # stretches without a space that have known words only are remembered
+        odd = set()
+        for x in set(low.split()) - fine:
+            if others := [w for w in LONG.findall(x) if w not in known]:
+                odd.update(others)
+            elif len(fine) < C.VOCABULARY_BOUND:
+                fine.add(x)
+        signed = signed and bool(SIGN.search(low))
         if odd or signed:
-            low = readable(low)
+            low = readable(low, odd, signed)
             odd = {w for w in odd if w in low}
             for w in odd:
                 yield field_name, rec, "misread", w, None, None
@@ -519,14 +537,14 @@ def candidates(records: DataFrame, field: str, known) -> DataFrame:
                 for w, n in Counter(w for w in MIXED.findall(low) if len(w) > 2 and not w.isalpha()).items():
                     yield field_name, rec, "misread", w, None, n
 
-    return C.arrow_rows(C.narrow(records), run, CANDIDATES, lambda: (known.value,))
+    return C.arrow_rows(C.narrow(records), run, CANDIDATES, lambda: (known.value, set()))
 
 
 def block_edges(blocks: DataFrame) -> DataFrame:
     """Headers and page numbers among the blocks of a result, by the edges of its pages."""
     flow = blocks.where(F.col("block_type").isin("Text", "TextInlineMath", "Caption", "Footnote") & ~F.col("html").rlike("<(?:pre|math|table|ul|ol)") & F.col("page_id").isNotNull())
-    flow = flow.select("block_key", "result_id", "page_id", "block_id", F.btrim(without_tags(F.col("html")), F.lit(" \t\n")).alias("line")).where("line <> '' and not contains(line, '\n')")
-    # short blocks and long ones are ranked apart, so the one doesn't hide the other; deliveries of one block share its rank
+    flow = flow.select("block_key", "result_id", "page_id", "block_id", F.explode(F.array(F.btrim(without_tags(F.col("html")), F.lit(" \t\n")))).alias("line")).where("line <> '' and not contains(line, '\n')")
+    # (a filter doesn't go below explode, where it would read the tags again); short blocks and long ones are ranked apart, so the one doesn't hide the other; deliveries of one block share its rank
     long = F.length("line") > LONG_LINE
     page = Window.partitionBy("result_id", "page_id", long)
     first = F.dense_rank().over(page.orderBy("block_id", "block_key"))
@@ -732,7 +750,7 @@ def closed(tags: list[str]) -> bool:
 
 def joined_words(s: Seen, joined: set[str]) -> None:
     edits = []
-    for m in BROKEN.finditer(s.text) if joined and HYPHEN.search(s.text) else ():
+    for m in BROKEN.finditer(s.text) if joined and hyphens(s.text) else ():
         if (m[1] + m[3]).lower() in joined:
             tags = structure(s.source[m.end(1) : m.start(3)])
             # the second half goes up where the tags between have to stay

@@ -366,6 +366,24 @@ def test_readings_beyond_the_bounds(spark):
     assert {(r.word, r.printed) for r in got} == set(zip(many, words))
 
 
+def test_scans_read_a_text_once(spark, monkeypatch):
+    # tags of a block are read once, not again in each filter
+    blocks = spark.createDataFrame([(1, 5, 0, 0, "Text", "<p>Upper shaft</p>")], "block_key bigint, result_id bigint, page_id int, block_id int, block_type string, html string")
+    assert scans.block_edges(blocks)._jdf.queryExecution().optimizedPlan().toString().count("content-ref") == 1
+    # only lines with a word to look up are searched for junk
+    kernels, graded = [], []
+    monkeypatch.setattr(C, "arrow_rows", lambda df, kernel, *rest: kernels.append((kernel, rest[-1])))
+    monkeypatch.setattr(C, "narrow", lambda df: df)
+    monkeypatch.setattr(scans, "junk_share", lambda line, share=scans.junk_share: graded.append(line) or share(line))
+    known = spark.sparkContext.broadcast(frozenset("the valve was closed".split()))
+    scans.candidates(None, "body", known)
+    run, setup = kernels[0]
+    text = "The valve was closed ^^.\n" * 50 + "The va1ve was\u200b read.\nThe gau- \nge\n¤¬¦ gaugc ¤¬¦ %%% ¤¬¦ ¬¬¬\n"
+    rows = set(run("body", 1, text, *setup()))
+    assert {(r[2], r[3], r[5]) for r in rows} == {("misread", "read", None), ("misread", "gau", None), ("hyphen", "gauge", None), ("misread", "gauge", 1), ("misread", "va1ve", 1)}
+    assert len(graded) <= 5
+
+
 def test_scan_repair():
     pages = [f"Old quay | {k}\nLine {chr(97 + k) * 3} goes on\nto the end of {chr(97 + k) * 4} va-\nlves here." for k in range(3)]
     text = scans.repaired("texts", pages, {"thc": "the"}, {"valves"})
