@@ -634,5 +634,5 @@ def events_sessions(spark, sf_dir):
 def streamed_lines(spark, sf_dir):
     """Bodies read as a stream of files, one batch after the other, then the batches together."""
     base = shared.fresh(spark, "stream")
-    E.drain(E.read_stream(spark, sf_dir, "ocr_results"), f"{base}/out", f"{base}/state", lambda df: L.explode_lines(df.where("result_id is not null").dropDuplicates(["result_id"])).groupBy("result_id").agg(F.count("*").alias("lines")))
+    E.drain(E.read_stream(spark, sf_dir, "ocr_results"), f"{base}/out", f"{base}/state", lambda df: L.explode_lines(df.where("result_id is not null and body is not null").dropDuplicates(["result_id"])).groupBy("result_id").agg(F.count("*").alias("lines")))
     return spark.read.parquet(f"{base}/out").groupBy("result_id").agg(F.max("lines").alias("lines"))

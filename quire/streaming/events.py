@@ -23,9 +23,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A table of the folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table of the folder as a stream of its files; a table is one file, or a folder of files of any names."""
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, transform) -> None:

@@ -223,6 +223,24 @@ def test_stream_leaves_late_rows_out(spark, tmp_path):
     assert got == {(1, 1, 1.0), (3, 2, 3.0), (6, 1, 1.0)}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_lines_of_a_file_or_a_folder(spark, tmp_path, files):
+    """A table is one file, or a folder of files; a result that comes again, in its file or a later one, or once without a body, counts once."""
+    rows = [(1, "a\nb"), (2, ""), (3, None), (3, "a\n\nb\n"), (None, "x"), (4, None), (1, "a\nb"), (5, "a"), (3, None), (2, "")]
+    path = tmp_path / "ocr_results.parquet"
+    con = duckdb.connect()
+    if files > 1:
+        path.mkdir()
+    for k in range(files):
+        part = path / f"part-{k:05}.parquet" if files > 1 else path
+        con.execute("create or replace table t (result_id bigint, body varchar, pages int)")
+        con.executemany("insert into t values (?, ?, 1)", rows[k * 4 : k * 4 + 4] if files > 1 else rows)
+        con.execute(f"copy t to '{part}' (format parquet)")
+    got = sorted(map(tuple, catalog.QUERIES["streamed_lines"](spark, str(tmp_path)).collect()))
+    con.execute(f"create view ocr_results as from '{path}{'/*.parquet' if files > 1 else ''}'")
+    assert got == sorted(con.execute(catalog.SQL["streamed_lines"]).fetchall()) == [(1, 2), (2, 1), (3, 4), (5, 1)]
+
+
 def test_finished_results(spark, tmp_path):
     body = "**T**itle of it\n\nThe valve was closed by hand before noon, and nobody measured it again.\n\nva-\nlve\n"
     bodies = spark.createDataFrame([(1, body, 1), (2, None, 1), (3, "", 1)], "result_id bigint, body string, pages int")
